@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLANKS = " \t\n\r\f\x0b"
@@ -26,25 +26,30 @@ def count_of(text: Column, mark: str) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
 
 
-def outer_object(text: Column) -> Column:
-    """The text from its first ``{`` to its last ``}``, or all of it when there is no such pair."""
-    opening = F.instr(text, "{")
-    closing = F.length(text) - F.instr(F.reverse(text), "}") + 1
-    has_pair = (opening > 0) & (F.instr(text, "}") > 0) & (closing > opening)
-    return F.when(has_pair, F.substr(text, opening, closing - opening + 1)).otherwise(text)
-
-
 def unfence(text: Column, labels: str) -> Column:
     """Without the three-backtick fences of a quoted code block and their language label."""
     return strip(F.regexp_replace(text, f"```(?:{labels})?", ""))
 
 
-def json_object(text: Column, fields: list[str]) -> Column:
-    """The text's JSON object as a struct of texts, or null when it is anything but one object.
+def with_object(df: DataFrame, text: Column, fields: list[str], into: str) -> DataFrame:
+    """Adds the text's JSON object as a struct of texts, null when it is anything but one object.
 
     A field that holds a list or an object keeps its JSON. Parsing the text as the only element of
-    a list is what makes Spark refuse text that goes on after the object.
+    a list is what makes Spark refuse text that goes on after the object. Exploding the one result
+    keeps the optimizer from repeating the parse for every field read and filter set later.
     """
     schema = f"array<struct<{', '.join(f'`{name}`: string' for name in fields)}>>"
     parsed = F.from_json(F.concat(F.lit("["), text, F.lit("]")), schema)
-    return F.when(F.size(parsed) == 1, parsed[0])
+    one = F.transform(F.array(parsed), lambda objects: F.when(F.size(objects) == 1, objects[0]))
+    return df.select("*", F.explode(one).alias(into))
+
+
+def with_quoted_object(df: DataFrame, text: Column, fields: list[str], into: str) -> DataFrame:
+    """As ``with_object``, for an object in a reply: from its first ``{`` to its last ``}``."""
+    reply = F.col("_reply")
+    opening = F.instr(reply, "{")
+    closing = F.length(reply) - F.instr(F.reverse(reply), "}") + 1
+    has_pair = (opening > 0) & (F.instr(reply, "}") > 0) & (closing > opening)
+    outer = F.when(has_pair, F.substr(reply, opening, closing - opening + 1)).otherwise(reply)
+    unfenced = df.withColumn("_reply", text).withColumn("_outer", outer)
+    return with_object(unfenced, F.col("_outer"), fields, into).drop("_reply", "_outer")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.periods import period
-from ..functions.text import count_of, json_object, outer_object, strip, unfence, whole_word
+from ..functions.text import count_of, strip, unfence, whole_word, with_quoted_object
 
 # What statements start with, by what they do.
 READ_VERBS = ("select", "show", "describe", "desc", "explain", "with", "use")
@@ -123,8 +123,8 @@ def review_replies(df: DataFrame, reply: str) -> DataFrame:
     The kept ``sql`` is the text as written, without closing semicolons: running the stripped form
     would change what its literals match.
     """
-    body = json_object(outer_object(unfence(F.col(reply), "json|sql")), ["sql", "explanation"])
-    parsed = df.withColumn("_body", body).withColumn("_sql", F.coalesce(F.col("_body.sql"), F.lit("")))
+    bodies = with_quoted_object(df, unfence(F.col(reply), "json|sql"), ["sql", "explanation"], "_body")
+    parsed = bodies.withColumn("_sql", F.coalesce(F.col("_body.sql"), F.lit("")))
     judged = classify_statements(parsed, "_sql")
     malformed = degenerate_reason(F.col("_sql"))
     unanswered = F.coalesce(F.nullif(F.col("_body.explanation"), F.lit("")), F.lit("cannot answer from the schema"))

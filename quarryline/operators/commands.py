@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import json_object
+from ..functions.text import with_object
 
 # What a command means where it does not say.
 ACTION = "set_filter"
@@ -27,10 +27,9 @@ def normalize_commands(df: DataFrame, body: str = "body") -> DataFrame:
     A typed command value comes before a named action, and that before nested parameters. Bodies
     that are not JSON are no commands and are left out. Works on a stream as on a table.
     """
-    sent = json_object(F.col(body), ["command_type", "command_value", *_NAMED, "parameters"])
-    parsed = df.withColumn("_body", sent).filter("_body is not null")
-    b = F.col("_body")
-    nested = json_object(b["parameters"], _NAMED)
+    sent = with_object(df, F.col(body), ["command_type", "command_value", *_NAMED, "parameters"], "_body")
+    parsed = with_object(sent.filter("_body is not null"), F.col("_body.parameters"), _NAMED, "_nested")
+    b, nested = F.col("_body"), F.col("_nested")
     typed = _given(b["command_type"]) & _given(b["command_value"])
     named = _given(b["action"])
 
@@ -58,8 +57,8 @@ def apply_filters(
 ) -> DataFrame:
     """The rows that pass a worksheet's filters, the last command per field being the one in force.
 
-    The filters in force are at most one per field. They enter the plan as one scalar subquery, a
-    map from field to value, so the table is filtered where it is scanned and nothing is joined.
+    There is at most one filter in force per field. They enter the plan as one scalar subquery, so
+    the table is filtered where it is scanned and nothing is joined.
     """
     names = fields or df.columns
     in_force = (
@@ -67,9 +66,10 @@ def apply_filters(
         .groupBy("field")
         .agg(F.max_by("value", seq).alias("value"))
     )
-    chosen = in_force.agg(F.map_from_entries(F.collect_list(F.struct("field", "value")))).scalar()
+    filters = in_force.agg(F.collect_list(F.struct("field", "value"))).scalar()
 
-    def passes(name: str) -> Column:
-        return ~F.map_contains_key(chosen, F.lit(name)) | F.col(f"`{name}`").cast("string").eqNullSafe(chosen[name])
+    def passes(rule: Column) -> Column:
+        met = [(rule["field"] != name) | F.col(f"`{name}`").cast("string").eqNullSafe(rule["value"]) for name in names]
+        return reduce(Column.__and__, met)
 
-    return df.filter(reduce(Column.__and__, [passes(name) for name in names]))
+    return df.withColumn("_filters", filters).filter(F.forall("_filters", passes)).drop("_filters")

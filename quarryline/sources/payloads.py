@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import fit_cells
-from ..functions.text import json_object, outer_object, strip, unfence
+from ..functions.text import strip, unfence, with_quoted_object
 
 
 def unnest_json_tables(df: DataFrame, payload: str, keep: list[str]) -> DataFrame:
@@ -24,8 +24,9 @@ def unnest_json_tables(df: DataFrame, payload: str, keep: list[str]) -> DataFram
     names = F.transform(items(table["columns"]), lambda name: F.coalesce(strip(name), F.lit("null")))
     rows = F.transform(items(table["rows"]), items)
     filled = F.filter(rows, lambda row: F.size(row) > 0)
-    body = outer_object(unfence(F.col(payload), "(?i:json)"))
-    parsed = df.select(*keep, json_object(body, ["columns", "rows"]).alias("_table")).select(
+    parsed = with_quoted_object(
+        df.select(*keep, payload), unfence(F.col(payload), "(?i:json)"), ["columns", "rows"], "_table"
+    ).select(
         *keep,
         F.when(table.isNull(), "not json")
         .when((F.size(names) == 0) | (F.size(filled) == 0), "no tabular data")
