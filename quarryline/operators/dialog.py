@@ -23,7 +23,7 @@ def transcripts(turns: DataFrame, message: str | None = None, turns_per_part: in
     said = F.coalesce(F.col(message), F.col("text")) if message else F.col("text")
     who = F.when(F.col("role").isin(*CALLERS), CALLER_NAME).otherwise(OTHER_NAME)
     spoken = turns.select("conv_id", "turn", F.concat(who, F.lit(": "), F.nullif(said, F.lit(""))).alias("line"))
-    part = F.floor(F.col("turn") / turns_per_part).cast("bigint").alias("part")
+    part = F.expr(f"turn div {int(turns_per_part)}").alias("part")
     lines = F.sort_array(F.collect_list(F.struct("turn", "line")))
     scripts = (
         spoken.filter(F.col("line").isNotNull())
