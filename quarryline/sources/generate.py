@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_ROWS = 20
@@ -38,11 +38,18 @@ class Field:
         raise ValueError(f"unknown field kind {self.kind!r}")
 
 
+def _drawn(fields: list[Field], request: Column) -> list[Column]:
+    """Each value is drawn by modulo from request, row number and the column's position."""
+    return [
+        field.column(request * 31 + F.col("row_no") * 17 + F.lit(position * 7)).alias(field.name)
+        for position, field in enumerate(fields)
+    ]
+
+
 def synthetic_rows(requests: DataFrame, fields: list[Field], request_id: str, n_rows: str | None = None) -> DataFrame:
     """The requested number of rows for every request, the same on each run.
 
-    Each value is drawn by modulo from request, row number and column position. A large request is
-    cut into chunks that are spread over the cluster before rows are made.
+    A large request is cut into chunks that are spread over the cluster before rows are made.
     """
     wanted = F.coalesce(F.col(n_rows), F.lit(DEFAULT_ROWS)) if n_rows else F.lit(DEFAULT_ROWS)
     chunks = (
@@ -54,8 +61,9 @@ def synthetic_rows(requests: DataFrame, fields: list[Field], request_id: str, n_
     rows = chunks.select(
         request_id, F.explode(F.expr(f"sequence(_from, least(_from + {_CHUNK}, _wanted) - 1)")).alias("row_no")
     )
-    draws = [
-        field.column(F.col(request_id) * 31 + F.col("row_no") * 17 + F.lit(position * 7)).alias(field.name)
-        for position, field in enumerate(fields)
-    ]
-    return rows.select(request_id, "row_no", *draws)
+    return rows.select(request_id, "row_no", *_drawn(fields, F.col(request_id)))
+
+
+def synthetic_table(spark: SparkSession, fields: list[Field], n: int = DEFAULT_ROWS) -> DataFrame:
+    """One table of n invented rows."""
+    return spark.range(n).withColumnRenamed("id", "row_no").select(*_drawn(fields, F.lit(0)))

@@ -3,7 +3,7 @@ import json
 import pytest
 
 from quarryline.functions.cells import to_rectangular
-from quarryline.sources.generate import Field, synthetic_rows
+from quarryline.sources.generate import Field, synthetic_rows, synthetic_table
 from quarryline.sources.payloads import page_warnings, stitch_pages, unnest_json_tables
 from quarryline.sources.uploads import label_source, plan_uploads
 
@@ -119,7 +119,7 @@ def test_label_source(rows, text, label):
     assert label_source(rows([(text,)], "t string"), "t").first().source_label == label
 
 
-def test_synthetic_rows_do_not_change(rows):
+def test_synthetic_rows_do_not_change(spark, rows):
     fields = [Field("kind", "choice", choices=("x", "y")), Field("n", "number", low=5, high=9)]
     requests = rows([(1, 25_000), (2, None), (3, 0)], "id long, n_rows long")
     made = synthetic_rows(requests, fields, "id", "n_rows")
@@ -127,6 +127,7 @@ def test_synthetic_rows_do_not_change(rows):
     assert counts == {1: 25_000, 2: 20}
     assert made.select("id", "row_no").distinct().count() == 25_020
     assert made.filter("n not between 5 and 9 or kind not in ('x', 'y')").count() == 0
+    assert synthetic_table(spark, fields).count() == 20 and synthetic_table(spark, fields, 3).columns == ["kind", "n"]
     assert made.exceptAll(synthetic_rows(requests.repartition(3), fields, "id", "n_rows")).isEmpty()
 
 
