@@ -183,7 +183,6 @@ def _probe_findings(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     of_kind = {kind: [k.name for k in kinds if k.kind == kind] for kind in ("date", "dist", "range")}
     parts = []
     if of_kind["date"]:
-        day = "yyyy-MM-dd"
         parts.append(
             daily_verdict(df, of_kind["date"]).select(
                 "column",
@@ -192,8 +191,8 @@ def _probe_findings(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
                     F.format_string(
                         "%s days %s..%s, per-day count ",
                         "n_days",
-                        F.date_format("first_day", day),
-                        F.date_format("last_day", day),
+                        F.col("first_day").cast("date").cast("string"),
+                        F.col("last_day").cast("date").cast("string"),
                     ),
                     F.when(F.col("varies"), "varies").otherwise(
                         F.format_string("constant at %s: a line would be flat or straight", "first_count")

@@ -84,7 +84,7 @@ def _plain(field: T.StructField) -> Column:
     """A value as chart tools and the type inference read it: no exponents, no zone letters."""
     value = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-        text = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
+        text = F.substring_index(value.cast("string"), ".", 1)
     elif isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         wide = F.rtrim(value.try_cast("decimal(38,18)").cast("string"), F.lit("0"))
         wide = F.when(wide.endswith("."), F.concat(wide, F.lit("0"))).otherwise(wide)
