@@ -46,10 +46,4 @@ def with_object(df: DataFrame, text: Column, fields: list[str], into: str) -> Da
 
 def with_quoted_object(df: DataFrame, text: Column, fields: list[str], into: str) -> DataFrame:
     """As ``with_object``, for an object in a reply: from its first ``{`` to its last ``}``."""
-    reply = F.col("_reply")
-    opening = F.instr(reply, "{")
-    closing = F.length(reply) - F.instr(F.reverse(reply), "}") + 1
-    has_pair = (opening > 0) & (F.instr(reply, "}") > 0) & (closing > opening)
-    outer = F.when(has_pair, F.substr(reply, opening, closing - opening + 1)).otherwise(reply)
-    unfenced = df.withColumn("_reply", text).withColumn("_outer", outer)
-    return with_object(unfenced, F.col("_outer"), fields, into).drop("_reply", "_outer")
+    return with_object(df, F.regexp_replace(text, r"(?s)^[^{]*(\{.*\})[^}]*\z", "$1"), fields, into)

@@ -135,3 +135,13 @@ def test_payload_as_sent_by_json_dumps(rows):
     body = {"columns": ["q\"uote", "line\nbreak"], "rows": [["a}b", "{c"], ["é", "```"]]}
     found = unnest_json_tables(rows([(1, json.dumps(body))], "id int, payload string"), "payload", ["id"])
     assert [r.cells for r in found.orderBy("row_no").collect()] == [["a}b", "{c"], ["é", ""]]
+
+
+def test_long_payloads_are_read_whole(rows):
+    body = {"columns": ["n", "text"], "rows": [[str(i), "{é} " * 50] for i in range(5000)]}
+    reply = "words " * 50_000 + "```json\n" + json.dumps(body, ensure_ascii=False) + "\n```" + " words" * 50_000
+    df = rows([(1, reply), (2, "{" * 300_000), (3, "}" * 300_000 + "{")], "id int, payload string")
+    found = unnest_json_tables(df, "payload", ["id"])
+    assert found.filter("id = 1").count() == 5000
+    assert {r.status for r in found.filter("id > 1").collect()} == {"not json"}
+    assert found.filter("id = 1 and (columns[0] <> 'n' or cells[1] <> repeat('{é} ', 50))").count() == 0
