@@ -26,7 +26,8 @@ def last_n_per_user(df: DataFrame, user: str, order: list[str], n: int = 3) -> D
     """The latest n rows of every user.
 
     Spark keeps only n rows per user in each task before the exchange (WindowGroupLimit), so one
-    user owning much of the table does not fill a task.
+    user owning much of the table does not fill a task. It does so for n up to
+    ``spark.sql.optimizer.windowGroupLimitThreshold``.
     """
     latest = W.partitionBy(user).orderBy(*[F.col(c).desc_nulls_last() for c in order])
     return df.withColumn("_place", F.row_number().over(latest)).filter(F.col("_place") <= n).drop("_place")

@@ -6,6 +6,7 @@ import re
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.charts import (
     AGGREGATE_OF,
@@ -18,6 +19,7 @@ from ..operators.charts import (
     shelf_query,
 )
 from ..operators.profile import is_dated
+from ..sources.csv import export_snapshot
 
 # The marks a shelf layout may ask for, and the charts that run along a date.
 MARKS = ("Automatic", "Bar", "Line", "Area", "Circle", "Square", "Pie", "Text", "Shape", "GanttBar", "Multipolygon")
@@ -44,7 +46,7 @@ class ChartSpec:
     """A chart of one table."""
 
     table: str
-    chart_type: str = "bar"
+    chart_type: str = "table"
     dimension: str | None = None
     measure: str | None = None
     measure2: str | None = None
@@ -138,3 +140,17 @@ def view_query(df: DataFrame, spec: ChartSpec) -> DataFrame:
     if spec.chart_type == "scatter":
         return scatter_points(df, spec.dimension, spec.measure, spec.measure2, aggregation)
     return category(df, spec.dimension, spec.measure, aggregation, spec.color_field)
+
+
+def snapshot_view(df: DataFrame, spec: ChartSpec, path: str, limit: int | None = None) -> None:
+    """Writes a chart's dataset as CSV, series in the order of time; a series needs dated rows.
+
+    ``limit=SNAPSHOT_ROWS`` keeps the first periods or rows only.
+    """
+    dataset = view_query(df, spec)
+    date = date_dimension(df, settle(spec))
+    if date and _along(settle(spec)):
+        if df.filter(F.col(f"`{date}`").isNotNull()).isEmpty():
+            raise ValueError(f"no dated rows in `{spec.table}` to chart {date!r} over time")
+        dataset = dataset.orderBy(date)
+    export_snapshot(dataset, path, limit=limit)

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.charts import ShelfField, category, crosstab, geo_pairs, scatter_points, series, share_of_total, shelf_query
-from ..plans.view import ChartSpec, Shelves, view_query
+from ..operators.infer import cast_typed
+from ..plans.view import ChartSpec, Shelves, snapshot_view, view_query
+from ..session import workspace
+from ..sources.csv import scan_csv
 from .base import Check, table
 
 
@@ -88,6 +91,19 @@ def _donut(spark, sf):
     return view_query(table(spark, sf, "orders"), spec).select("o_orderpriority", "share", "label")
 
 
+def _snapshot(spark, sf):
+    """A line's dataset written as CSV, and read back as any other file."""
+    spec = ChartSpec(
+        table="lines", chart_type="area", dimension="l_shipdate", measure="l_orderkey", aggregation="COUNT",
+        date_granularity="month",
+    )
+    path = workspace(spark, "snapshot")
+    snapshot_view(table(spark, sf, "lineitem"), spec, path)
+    text = scan_csv(spark, path)
+    typed = cast_typed(text, {"l_shipdate": "DATETIME", "Lines": "BIGINT"})
+    return typed.withColumnRenamed("Lines", "n_lines")
+
+
 def _shelves(spark, sf):
     spec = ChartSpec(
         table="orders",
@@ -188,6 +204,12 @@ CHECKS = {
                   CAST(round(avg(o_totalprice) / (SELECT avg(o_totalprice) FROM orders) * 100, 1) AS VARCHAR) || '%' AS label
            FROM orders GROUP BY 1""",
     ),
+    "snapshot_view": Check(
+        _snapshot,
+        """SELECT l_shipdate, CAST(sum(v) OVER (ORDER BY l_shipdate) AS BIGINT) AS n_lines
+           FROM (SELECT date_trunc('month', l_shipdate)::TIMESTAMP AS l_shipdate, count(*) AS v
+                 FROM lineitem GROUP BY 1)""",
+    ),
     "view_query_shelves": Check(
         _shelves,
         """SELECT o_orderstatus, o_orderpriority, round(avg(o_totalprice), 5) AS avg_o_totalprice

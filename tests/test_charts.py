@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from quarryline.operators.charts import ShelfField, category, crosstab, geo_pairs, scatter_points, series, share_of_total, shelf_query
-from quarryline.plans.view import ChartSpec, Shelves, title_of, view_query
+from quarryline.plans.view import ChartSpec, Shelves, snapshot_view, title_of, view_query
 
 
 @pytest.fixture(scope="module")
@@ -120,3 +120,24 @@ def test_columns_are_pruned(spark):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
     plan = category(lines, "l_returnflag", "l_quantity")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in plan
+
+
+def test_snapshots(visits, tmp_path):
+    spec = ChartSpec(table="visits", chart_type="bar", dimension="at", aggregation="COUNT")
+
+    def written(folder):
+        return [line for f in sorted((tmp_path / folder).glob("*.csv")) for line in f.read_text().splitlines()]
+
+    snapshot_view(visits, spec, str(tmp_path / "all"))
+    days = ["2026-01-01 00:00:00,2", "2026-01-15 00:00:00,1", "2026-02-01 00:00:00,1"]
+    assert [line for line in written("all") if line != "at,Visits"] == days
+    snapshot_view(visits, spec, str(tmp_path / "first"), limit=2)
+    assert [line for line in written("first") if line != "at,Visits"] == days[:2]
+    with pytest.raises(ValueError, match="no dated rows"):
+        snapshot_view(visits.filter("at is null"), spec, str(tmp_path / "none"))
+
+
+def test_a_gantt_of_dates_keeps_its_shelves(visits):
+    layout = Shelves(mark="GanttBar", cols=(ShelfField("at", "tday"),), rows=(ShelfField("channel"),))
+    found = view_query(visits, ChartSpec(table="visits", shelves=layout))
+    assert found.columns == ["tday_at", "channel"] and found.count() == 5
