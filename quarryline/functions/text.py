@@ -1,4 +1,4 @@
-"""Text expressions. All are native columns, so they stay inside code generation."""
+"""Text expressions, all of built-in functions."""
 
 from __future__ import annotations
 

@@ -140,7 +140,7 @@ def review_replies(df: DataFrame, reply: str) -> DataFrame:
         (readable & F.col("ok")).alias("ok"),
         F.when(readable, F.col("kind")).otherwise("unknown").alias("kind"),
         reason.alias("reason"),
-        F.regexp_replace(strip(F.col("_sql")), r";+\s*\z", "").alias("sql"),
+        F.regexp_replace(strip(F.col("_sql")), r"(?<!;);++\s*\z", "").alias("sql"),
         F.coalesce(F.col("_body.explanation"), F.lit("")).alias("explanation"),
         (readable & F.col("ok") & F.col("needs_confirmation")).alias("needs_confirmation"),
     )

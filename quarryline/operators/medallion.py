@@ -42,6 +42,8 @@ def _text_columns(df: DataFrame) -> list[str]:
 def dimension_scores(df: DataFrame) -> DataFrame:
     """Every text column with its distinct values and whether it groups: more than one value, but repeats."""
     names = _text_columns(df)
+    if not names:
+        raise ValueError("the table has no text column")
     counts = df.agg(
         F.count("*").alias("_total"), *[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(names)]
     )

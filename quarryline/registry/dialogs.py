@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.commands import apply_filters, commands_since, normalize_commands
@@ -53,27 +53,22 @@ def _sent(spark, sf) -> DataFrame:
     status = F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("user_id") % 3 + 1).cast("int"))
     priority = F.when(F.col("user_id") % 2 == 0, "2-HIGH").otherwise("5-LOW")
     orders = F.lit("Orders").alias("worksheet")
+    def json(**fields) -> Column:
+        return F.to_json(F.struct(*[value.alias(name) for name, value in fields.items()]))
+
+    kind, word = F.col("event_type"), F.lit
+    chosen = F.struct(orders, word("o_orderpriority").alias("field"), priority.alias("value"))
     body = (
-        F.when(
-            F.col("event_type") == "view",
-            F.to_json(F.struct(F.lit("set_filter").alias("action"), orders, F.lit("o_orderstatus").alias("field"), status.alias("value"))),
-        )
-        .when(
-            F.col("event_type") == "click",
-            F.to_json(F.struct(F.struct(orders, F.lit("o_orderpriority").alias("field"), priority.alias("value")).alias("parameters"))),
-        )
-        .when(
-            F.col("event_type") == "purchase",
-            F.to_json(F.struct(F.lit("set_filter").alias("command_type"), F.col("props").alias("command_value"), F.lit("x").alias("action"))),
-        )
-        .when(
-            F.col("event_type") == "signup",
-            F.to_json(F.struct(F.lit("clear").alias("action"), orders, F.lit("").alias("field"), F.col("value").alias("value"))),
-        )
-        .otherwise(F.concat(F.lit("oops "), "props"))
+        F.when(kind == "view", json(action=word("set_filter"), worksheet=orders, field=word("o_orderstatus"), value=status))
+        .when(kind == "click", json(parameters=chosen))
+        .when(kind == "purchase", json(command_type=word("set_filter"), command_value=F.col("props"), action=word("x")))
+        .when(kind == "signup", json(action=word("clear"), worksheet=orders, field=word(""), value=F.col("value")))
+        .otherwise(F.concat(word("oops "), "props"))
     )
     return table(spark, sf, "events").select(
-        F.col("event_id").alias("seq"), F.format_string("cmd_%s_%s", "event_id", "user_id").alias("command_id"), body.alias("body")
+        F.col("event_id").alias("seq"),
+        F.format_string("cmd_%s_%s", "event_id", "user_id").alias("command_id"),
+        body.alias("body"),
     )
 
 

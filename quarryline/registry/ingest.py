@@ -317,10 +317,9 @@ FROM (SELECT doc_id, regexp_matches(lower(text), '{_WORDS_SQL["invented"]}') AS
 
 def _label_requests(spark, sf):
     """Requests that name kinds of data, so that every label occurs."""
-    said = F.concat_ws(
-        " ", F.element_at(F.array(*map(F.lit, ("Fake", "the latest", "some", "random official"))), (F.col("user_id") % 4 + 1).cast("int")),
-        "event_type", F.lit("figures"), "props",
-    ).alias("request")
+    kinds = F.array(*map(F.lit, ("Fake", "the latest", "some", "random official")))
+    kind = F.element_at(kinds, (F.col("user_id") % 4 + 1).cast("int"))
+    said = F.concat_ws(" ", kind, "event_type", F.lit("figures"), "props").alias("request")
     return label_source(table(spark, sf, "events").select("event_id", said), "request")
 
 

@@ -60,7 +60,7 @@ WITH statements AS (SELECT event_id, user_id, ts, CASE event_id % {len(_TEMPLATE
 _STRIPPED = r"""trim(regexp_replace(regexp_replace(sql,
     '''(?:[^''\\]|\\[\s\S])*''|"(?:[^"\\]|\\[\s\S])*"|/\*[\s\S]*?\*/|--[^\n]*|#[^\n]*', ' ', 'g'), '\s+', ' ', 'g'))"""
 _VERBS = "drop delete truncate alter update rename replace grant revoke merge copy vacuum optimize insert".split()
-_HIDDEN = "CASE " + " ".join(f"WHEN regexp_matches(s, '(?i)\\b{v}\\b\\s*([^\\s(]|$)') THEN '{v}'" for v in _VERBS) + " END"
+_HIDDEN = " ".join(f"WHEN regexp_matches(s, '(?i)\\b{v}\\b\\s*([^\\s(]|$)') THEN '{v}'" for v in _VERBS)
 _JUDGED_SQL = f"""
 parts AS (SELECT *, [trim(x) for x in string_split({_STRIPPED}, ';') if trim(x) <> ''] AS list FROM statements),
 single AS (SELECT *, len(list) AS n, coalesce(list[1], '') AS s FROM parts),
@@ -72,7 +72,7 @@ kinds AS (SELECT *, CASE
     WHEN verb = 'create' AND regexp_matches(s, '(?i)^create\\s+(temporary\\s+)?(catalog|schema|database|table|index|view)\\b') THEN 'create'
     WHEN verb = 'insert' THEN CASE WHEN regexp_matches(s, '(?i)^insert\\s+overwrite\\b') THEN 'destructive' ELSE 'create' END
     WHEN verb IN ('select', 'show', 'describe', 'desc', 'explain', 'with', 'use') THEN 'read'
-    ELSE 'unknown' END AS raw_kind, {_HIDDEN} AS verb_inside FROM verbs),
+    ELSE 'unknown' END AS raw_kind, CASE {_HIDDEN} END AS verb_inside FROM verbs),
 hidden AS (SELECT *, CASE WHEN raw_kind = 'read' THEN verb_inside END AS smuggled,
     raw_kind = 'read' AND regexp_matches(s, '(?i)\\binto\\s+(outfile|dumpfile)\\b') AS to_file FROM kinds),
 judged AS (SELECT *, CASE WHEN smuggled IS NOT NULL OR to_file THEN 'destructive' ELSE raw_kind END AS kind, CASE

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DEFAULT_ROWS = 20
-_CHUNK = 10_000
+# Rows of one chunk: enough to be worth a task, and of the order of the number of chunks.
+_CHUNK = "greatest(10000, cast(ceil(sqrt(_wanted)) as bigint))"
 
 
 @dataclass(frozen=True)
@@ -55,11 +56,12 @@ def synthetic_rows(requests: DataFrame, fields: list[Field], request_id: str, n_
     chunks = (
         requests.select(F.col(request_id), wanted.cast("bigint").alias("_wanted"))
         .filter("_wanted > 0")
-        .select(request_id, "_wanted", F.explode(F.expr(f"sequence(0, _wanted - 1, {_CHUNK})")).alias("_from"))
+        .select("*", F.expr(_CHUNK).alias("_step"))
+        .select("*", F.explode(F.expr("sequence(0, _wanted - 1, _step)")).alias("_from"))
         .repartition(request_id, "_from")
     )
     rows = chunks.select(
-        request_id, F.explode(F.expr(f"sequence(_from, least(_from + {_CHUNK}, _wanted) - 1)")).alias("row_no")
+        request_id, F.explode(F.expr("sequence(_from, least(_from + _step, _wanted) - 1)")).alias("row_no")
     )
     return rows.select(request_id, "row_no", *_drawn(fields, F.col(request_id)))
 

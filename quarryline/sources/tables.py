@@ -38,9 +38,21 @@ def replace_table(df: DataFrame, table: str) -> DataFrame:
     return df.sparkSession.table(table)
 
 
+# What Spark would store by dropping a fraction or a time of day.
+_LOSSY = {("double", "int"), ("double", "bigint"), ("timestamp_ntz", "date"), ("timestamp", "date")}
+
+
 def append_table(df: DataFrame, table: str) -> DataFrame:
-    """Rows added by column name: a column the table lacks is an error, one the rows lack is null."""
+    """Rows added by column name: a column the table lacks is an error, one the rows lack is null.
+
+    Values that the table's type would cut short are refused as well.
+    """
     spark = df.sparkSession
+    kept_as = {name.lower(): kind for name, kind in spark.table(table).dtypes}
+    moves = [(name, kind, kept_as.get(name.lower())) for name, kind in df.dtypes]
+    cut = [f"`{name}` from {kind} to {kept}" for name, kind, kept in moves if (kind, kept) in _LOSSY]
+    if cut:
+        raise ValueError(f"cannot append to `{table}`: values would be cut short in {', '.join(cut)}")
     spark.sql(f"INSERT INTO {_quoted(table)} BY NAME SELECT * FROM {{rows}}", rows=df)
     return spark.table(table)
 

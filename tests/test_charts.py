@@ -116,8 +116,10 @@ def test_titles(visits):
     assert title_of(visits, ChartSpec(table="visits", chart_type="bar", dimension="at", title="Visits")) == "Visits"
 
 
-def test_columns_are_pruned(spark):
+def test_columns_and_filters_reach_the_scan(spark):
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    plan = series(lines, "l_shipdate", cumulative=True)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(l_shipdate)]" in plan and "ReadSchema: struct<l_shipdate:timestamp_ntz>" in plan
     plan = category(lines, "l_returnflag", "l_quantity")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<l_quantity:double,l_returnflag:string>" in plan
 

@@ -58,6 +58,15 @@ def test_a_folder_is_one_table(spark, tmp_path):
     assert sorted(map(tuple, scan_csv(spark, str(tmp_path / "in")).collect())) == [("1", "2"), ("3", "4\n5")]
 
 
+@pytest.mark.parametrize("note", ["plain", '"two\r\nlines"'])
+def test_files_of_other_systems_go_together(spark, tmp_path, note):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "1.csv").write_bytes(f"\ufeffa,b\r\n1,{note}\r\n".encode())
+    (tmp_path / "in" / "2.csv").write_bytes(b"\xef\xbb\xbfa,b\n2,x\n")
+    text = note.strip('"').replace("\r\n", "\n")
+    assert sorted(map(tuple, scan_csv(spark, str(tmp_path / "in")).collect())) == [("1", text), ("2", "x")]
+
+
 def test_clean_names():
     assert clean_name("  Unit Price (USD) ") == "Unit_Price_USD_"
     assert clean_names(["A b", "9"]) == ["A_b", "c_9"]

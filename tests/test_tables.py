@@ -56,6 +56,17 @@ def test_flat(spark, rows, schema):
         load_flat(rows([(9, "z")], "id int, name string"), name, "merge")
 
 
+def test_append_widens_but_does_not_cut(spark, rows, schema):
+    name = f"{schema}.amounts"
+    load_flat(rows([(1, 1.5)], "n bigint, v double"), name)
+    assert load_flat(rows([(2, 7)], "n int, v int"), name, "append") == (1, 2)
+    with pytest.raises(ValueError, match="`N` from double to bigint"):
+        load_flat(rows([(2.5,)], "N double"), name, "append")
+    with pytest.raises(Exception):
+        load_flat(rows([("x",)], "n string"), name, "append")
+    assert {tuple(r) for r in spark.table(name).collect()} == {(1, 1.5), (2, 7.0)}
+
+
 def test_table_columns_leaves_lineage_out(spark, rows, schema):
     load_bronze(rows([(1,)], "id int"), f"{schema}.t", "one.csv")
     assert table_columns(spark, f"{schema}.t_bronze") == ["id"]
