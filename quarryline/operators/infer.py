@@ -31,9 +31,13 @@ SPARK_TYPES = {
 _SMALL, _BIG, _FRACTION, _TRUTH, _MOMENT, _DAY, _OTHER = (1 << i for i in range(7))
 
 
+def _is_grouped(text: Column) -> Column:
+    return text.contains(",") & text.rlike(GROUPED)
+
+
 def ungroup_number(text: Column) -> Column:
     """``1,476,625`` as ``1476625``; anything that is not a grouped number is left alone."""
-    return F.when(text.rlike(GROUPED), F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
+    return F.when(_is_grouped(text), F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
 
 
 def _shape(text: Column) -> Column:
@@ -43,7 +47,7 @@ def _shape(text: Column) -> Column:
     length = F.length(text)
     digits = F.replace(text, F.lit(","), F.lit(""))
     whole = F.when((length > 9) & (F.abs(digits.try_cast("double")) > INT_LIMIT), _BIG).otherwise(_SMALL)
-    is_number = text.rlike(NUMBER) | (text.contains(",") & text.rlike(GROUPED))
+    is_number = text.rlike(NUMBER) | _is_grouped(text)
     return (
         F.when(text.isNull(), 0)
         .when(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from ..functions.aggregates import aggregate, aggregate_alias
 from ..sources.csv import drop_empty_rows
 from ..sources.tables import INGESTED_AT, business_columns
+from .profile import distinct_counts
 
 
 def dedup_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -44,16 +45,7 @@ def dimension_scores(df: DataFrame) -> DataFrame:
     names = _text_columns(df)
     if not names:
         raise ValueError("the table has no text column")
-    counts = df.agg(
-        F.count("*").alias("_total"), *[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(names)]
-    )
-    scored = F.array(
-        *[
-            F.struct(F.lit(i).alias("position"), F.lit(c).alias("column"), F.col(f"d{i}").alias("distinct_values"))
-            for i, c in enumerate(names)
-        ]
-    )
-    return counts.select(F.col("_total").alias("n_rows"), F.inline(scored)).withColumn(
+    return distinct_counts(df.select(*[F.col(f"`{c}`") for c in names])).withColumn(
         "groups", (F.col("distinct_values") > 1) & (F.col("distinct_values") < F.col("n_rows"))
     )
 

@@ -17,6 +17,7 @@ SHOWN_VALUES = 12
 SHOWN_DAYS = 60
 
 PARALLEL_TABLES = 8
+WIDE_TABLE = 24
 
 _NUMERIC = (T.IntegralType, T.FloatType, T.DoubleType, T.DecimalType)
 _DATED = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -38,17 +39,47 @@ def _on_side(row: DataFrame, structs: list[Column]) -> DataFrame:
     return row.select(F.inline(F.array(*structs)))
 
 
-def _distinct_row(df: DataFrame, approx: bool) -> DataFrame:
-    count = F.approx_count_distinct if approx else F.count_distinct
-    return df.agg(F.count("*").alias("n"), *[count(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(df.columns)])
+def _value_text(field: T.StructField) -> Column:
+    """A value as text, equal texts for equal values only."""
+    value = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
+        value = value + F.lit(0).cast(field.dataType)  # there are two zeros
+    elif isinstance(field.dataType, T.TimestampType):
+        value = F.unix_micros(value)  # local times repeat when clocks go back
+    return value.cast("string").alias(field.name)
+
+
+def _distinct_by_value(df: DataFrame) -> DataFrame:
+    """Counts by grouping cells under their column's name: rows stay narrow however wide the table is."""
+    listing = df.sparkSession.range(1).select(
+        F.posexplode(F.array(*[F.lit(c) for c in df.columns])).alias("position", "column")
+    )
+    cells = df.select(*[_value_text(f) for f in df.schema.fields])
+    values = (
+        cells.unpivot([], [F.col(f"`{c}`") for c in df.columns], "column", "value")
+        .groupBy("column", "value")
+        .agg(F.count("*").alias("n"))
+    )
+    counts = values.groupBy("column").agg(F.sum("n").alias("n_rows"), F.count("value").alias("distinct_values"))
+    return listing.join(counts, "column", "left").select(
+        "position", "column", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_rows", "distinct_values")]
+    )
 
 
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     """Rows and distinct non-null values of every column, from one scan.
 
-    Exact counts exchange every distinct value of every column. ``approx=True`` exchanges one
-    sketch per column and task instead, for tables where that is too much.
+    Exact counts exchange every distinct value of every column. Spark does that by copying each row
+    once per column, whole; for wide tables of plain types the cells are grouped instead.
+    ``approx=True`` exchanges one sketch per column and task, where even that is too much.
     """
+    plain = all(isinstance(f.dataType, (*_NUMERIC, *_DATED, T.StringType, T.BooleanType)) for f in df.schema.fields)
+    if not approx and plain and len(df.columns) > WIDE_TABLE:
+        return _distinct_by_value(df)
+    count = F.approx_count_distinct if approx else F.count_distinct
+    row = df.agg(
+        F.count("*").alias("n"), *[count(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(df.columns)]
+    )
     structs = [
         F.struct(
             F.lit(i).alias("position"),
@@ -58,7 +89,7 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
         )
         for i, c in enumerate(df.columns)
     ]
-    return _on_side(_distinct_row(df, approx), structs)
+    return _on_side(row, structs)
 
 
 def _long(df: DataFrame, columns: list[str], value: str, type_name: str) -> DataFrame:
@@ -157,12 +188,11 @@ class ColumnKind:
 
 
 def column_kinds(df: DataFrame, approx: bool = False) -> list[ColumnKind]:
-    """The probe each column deserves. Runs one aggregate and fetches its single row."""
-    row = _distinct_row(df, approx).first()
-    n = row["n"]
+    """The probe each column deserves. Runs one aggregate and fetches a row per column."""
+    counts = {row["position"]: row for row in distinct_counts(df, approx).collect()}
     kinds = []
     for i, field in enumerate(df.schema.fields):
-        d = row[f"d{i}"]
+        n, d = counts[i]["n_rows"], counts[i]["distinct_values"]
         if is_dated(field):
             kind = "date"
         elif FEW_VALUES[0] <= d <= FEW_VALUES[1] and d < n:

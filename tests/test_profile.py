@@ -61,6 +61,18 @@ def test_few_unique_values_are_not_a_distribution(rows):
     assert [k.kind for k in column_kinds(df)] == ["unique", "unique"]
 
 
+def test_wide_tables_are_counted_alike(spark, sales, monkeypatch):
+    data = [(0.0, "a", True, 0), (-0.0, "a", None, 1), (float("nan"), "", False, None), (None, None, True, 1)]
+    odd = spark.createDataFrame(data, "d double, s string, b boolean, n int").withColumn(
+        "t", F.timestamp_seconds(F.lit(1761433200) + 3600 * F.col("n"))
+    )
+    for table in (sales, odd, odd.limit(0)):
+        narrow = sorted(map(tuple, distinct_counts(table).collect()))
+        monkeypatch.setattr("quarryline.operators.profile.WIDE_TABLE", 0)
+        assert sorted(map(tuple, distinct_counts(table).collect())) == narrow
+        monkeypatch.undo()
+
+
 def test_approximate_counts_are_close(sales):
     exact = {r.column: r.distinct_values for r in distinct_counts(sales).collect()}
     close = {r.column: r.distinct_values for r in distinct_counts(sales, approx=True).collect()}
