@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The shapes a text value is recognised by, and the largest value of an INT column.
-NUMBER = r"^-?\d+(\.\d+)?\z"
+NUMBER = r"^-?(\d+|\d{1,3}(,\d{3})+)(\.\d+)?\z"
 GROUPED = r"^-?\d{1,3}(,\d{3})+(\.\d+)?\z"
 TRUTHS = ("true", "false")
-MOMENT = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2})?\z"
-DAY = r"^\d{4}-\d{2}-\d{2}\z"
+DATED = r"^\d{4}-\d{2}-\d{2}([ T]\d{2}:\d{2}(:\d{2})?)?\z"
+DAY_LENGTH, MOMENT_LENGTHS = 10, (16, 19)
 INT_LIMIT = 2147483647
 
 # Type names of the portable vocabulary and the Spark types they are stored as.
@@ -31,31 +31,29 @@ SPARK_TYPES = {
 _SMALL, _BIG, _FRACTION, _TRUTH, _MOMENT, _DAY, _OTHER = (1 << i for i in range(7))
 
 
-def _is_grouped(text: Column) -> Column:
-    return text.contains(",") & text.rlike(GROUPED)
-
-
 def ungroup_number(text: Column) -> Column:
     """``1,476,625`` as ``1476625``; anything that is not a grouped number is left alone."""
-    return F.when(_is_grouped(text), F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
+    return F.when(text.contains(",") & text.rlike(GROUPED), F.replace(text, F.lit(","), F.lit(""))).otherwise(text)
 
 
 def _shape(text: Column) -> Column:
-    """The one shape a value has. First characters and lengths are looked at before any pattern."""
+    """The one shape a non-empty value has. First character and length are looked at before any pattern."""
     first = F.ascii(text)
     numeric_start = first.between(48, 57) | (first == 45)  # a digit or a minus
     length = F.length(text)
     digits = F.replace(text, F.lit(","), F.lit(""))
-    whole = F.when((length > 9) & (F.abs(digits.try_cast("double")) > INT_LIMIT), _BIG).otherwise(_SMALL)
-    is_number = text.rlike(NUMBER) | _is_grouped(text)
     return (
-        F.when(text.isNull(), 0)
-        .when(
+        F.when(
             numeric_start,
-            F.when((length == 10) & text.rlike(DAY), _DAY)
-            .when(length.isin(16, 19) & text.rlike(MOMENT), _MOMENT)
-            .when(is_number, F.when(text.contains("."), _FRACTION).otherwise(whole))
-            .otherwise(_OTHER),
+            F.when(
+                length.isin(DAY_LENGTH, *MOMENT_LENGTHS) & text.rlike(DATED),
+                F.when(length == DAY_LENGTH, _DAY).otherwise(_MOMENT),
+            )
+            .when(~text.rlike(NUMBER), _OTHER)
+            .when(text.contains("."), _FRACTION)
+            .when(length <= 9, _SMALL)
+            .when(F.abs(digits.try_cast("double")) > INT_LIMIT, _BIG)
+            .otherwise(_SMALL),
         )
         .when(length.isin(4, 5) & F.lower(text).isin(*TRUTHS), _TRUTH)
         .otherwise(_OTHER)
@@ -99,9 +97,10 @@ def infer_types(df: DataFrame) -> DataFrame:
     """
     names = df.columns
     listing = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, names))).alias("position", "column"))
-    text = F.nullif(F.col("value"), F.lit(""))
+    text = F.col("value")
     facts = (
         df.unpivot([], [F.col(f"`{name}`") for name in names], "column", "value")
+        .filter(text != "")
         .groupBy("column")
         .agg(
             F.bit_or(_shape(text)).alias("shapes"),
