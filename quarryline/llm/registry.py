@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarryline.llm import sqls
+from quarryline.llm.neardup import near_duplicates
 from quarryline.llm.rules import quality_rules
 from quarryline.registry.base import Check, table
 
@@ -11,6 +12,11 @@ def _op3(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def _op4(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 CHECKS: dict[str, Check] = {
     "op3_quality_rules": Check(_op3, sqls.QUALITY_RULES),
+    "op4_near_duplicates": Check(_op4, sqls.NEAR_DUPLICATES),
 }

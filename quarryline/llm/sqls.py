@@ -44,3 +44,47 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   (NOT base_failed AND coalesce(host_ok, true)) AS kept
 FROM judged LEFT JOIN verdicts USING (source)
 """
+
+#: Distinct shingles of each text; ``docs`` has a row number ``rid`` and the words ``ws`` in lower case (A-Z only).
+_SHINGLES = r"""
+{name}_docs AS (
+  SELECT row_number() OVER () AS rid, {id}, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM {source}),
+{name}_shingles AS (
+  SELECT DISTINCT rid, {id}, s FROM (
+    SELECT rid, {id}, unnest(CASE
+        WHEN len(ws) = 0 THEN []
+        WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS s
+    FROM {name}_docs))
+"""
+
+
+def shingles(name: str, source: str, id_: str) -> str:
+    return _SHINGLES.replace("{name}", name).replace("{source}", source).replace("{id}", id_)
+
+
+#: Needs ``d_docs`` and ``d_shingles``; gives ``grouped`` with a row per document.
+_GROUPED = """
+sizes AS (SELECT rid, doc_id, count(*) AS n FROM d_shingles GROUP BY rid, doc_id),
+shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM d_shingles a JOIN d_shingles b USING (s)
+  WHERE a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared.n >= 75 * (x.n + y.n - shared.n)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM d_docs
+  UNION
+  SELECT reach.a, both_ways.b FROM reach JOIN both_ways ON reach.b = both_ways.a),
+grouped AS (
+  SELECT doc_id, coalesce(sizes.n, 0)::BIGINT AS n_shingles, low AS component_id, doc_id = low AS kept
+  FROM d_docs LEFT JOIN sizes USING (rid, doc_id) JOIN (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a) USING (doc_id))
+"""
+
+NEAR_DUPLICATES = f"""
+WITH RECURSIVE {shingles("d", "documents", "doc_id")}, {_GROUPED}
+SELECT doc_id, n_shingles, component_id, kept FROM grouped
+"""
