@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarryline.llm import sqls
+from quarryline.llm.leaks import leaks
 from quarryline.llm.neardup import near_duplicates
 from quarryline.llm.rules import quality_rules
 from quarryline.registry.base import Check, table
@@ -16,7 +17,12 @@ def _op4(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _op10(spark, sf_dir):
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 CHECKS: dict[str, Check] = {
     "op3_quality_rules": Check(_op3, sqls.QUALITY_RULES),
     "op4_near_duplicates": Check(_op4, sqls.NEAR_DUPLICATES),
+    "op10_benchmark_leaks": Check(_op10, sqls.LEAKS),
 }

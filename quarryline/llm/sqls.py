@@ -88,3 +88,18 @@ NEAR_DUPLICATES = f"""
 WITH RECURSIVE {shingles("d", "documents", "doc_id")}, {_GROUPED}
 SELECT doc_id, n_shingles, component_id, kept FROM grouped
 """
+
+#: Items here have five words or more, as all items of the tables have.
+_LEAKS = """
+item_sizes AS (SELECT rid, count(*) AS q FROM i_shingles GROUP BY rid),
+leaked AS (
+  SELECT d_shingles.rid AS drid, doc_id, item_id, max(q)::BIGINT AS n_item_shingles, count(*)::BIGINT AS n_shared
+  FROM i_shingles JOIN item_sizes USING (rid) JOIN d_shingles USING (s)
+  GROUP BY d_shingles.rid, doc_id, i_shingles.rid, item_id
+  HAVING 100 * count(*) >= 75 * max(q))
+"""
+
+LEAKS = f"""
+WITH {shingles("d", "documents", "doc_id")}, {shingles("i", "benchmark", "item_id")}, {_LEAKS}
+SELECT doc_id, item_id, n_item_shingles, n_shared FROM leaked
+"""
