@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from quarryline.llm import sqls
+from quarryline.llm.bpe import encode
 from quarryline.llm.leaks import leaks
 from quarryline.llm.neardup import near_duplicates
 from quarryline.llm.rules import quality_rules
+from quarryline.llm.secrets import secret_scan
+from quarryline.llm.tokens import token_counts
 from quarryline.registry.base import Check, table
 
 
+def _op1(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def _op2(spark, sf_dir):
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def _op3(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents"))
 
@@ -17,12 +30,20 @@ def _op4(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _op8(spark, sf_dir):
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 def _op10(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 CHECKS: dict[str, Check] = {
+    "op1_token_counts": Check(_op1),
+    "op2_secret_scan": Check(_op2),
     "op3_quality_rules": Check(_op3, sqls.QUALITY_RULES),
     "op4_near_duplicates": Check(_op4, sqls.NEAR_DUPLICATES),
+    "op8_byte_bpe": Check(_op8),
     "op10_benchmark_leaks": Check(_op10, sqls.LEAKS),
 }
