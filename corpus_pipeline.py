@@ -2,15 +2,63 @@
 
 from __future__ import annotations
 
-from quarryline.llm.rules import keep_good
-from quarryline.registry.base import table
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
 
-CHECKS: dict = {}
+from quarryline.llm.bpe import encode
+from quarryline.llm.leaks import keep_clean
+from quarryline.llm.neardup import keep_one
+from quarryline.llm.rules import keep_good
+from quarryline.llm.secrets import redact_secrets
+from quarryline.registry.base import Check, table
+from quarryline.session import workspace
 
 
-def quality(spark, docs, sf_dir):
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host passes."""
     return keep_good(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of ``benchmark``."""
+    return keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, secret values masked and ``n_chars`` counted again."""
+    return redact_secrets(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The number of tokens and the digests of ids and decoded bytes, per document."""
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality_rules", quality),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminate),
+    ("secret_scan", mask_secrets),
+    ("byte_bpe", tokenize),
+]
+
+#: Masking by the lexer and tokens cannot be said in SQL; tests compare run() with a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet below ``spark.checkpoint.dir`` and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = workspace(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
+
+
+CHECKS = {"pipeline": Check(run, ORACLE_SQL)}
