@@ -8,9 +8,11 @@ from quarryline.llm import sqls
 from quarryline.llm.bpe import encode
 from quarryline.llm.leaks import leaks
 from quarryline.llm.neardup import near_duplicates
+from quarryline.llm.quality import quality_scores
 from quarryline.llm.rules import quality_rules
 from quarryline.llm.secrets import secret_scan
 from quarryline.llm.tokens import token_counts
+from quarryline.llm.toxicity import toxicity_scores
 from quarryline.registry.base import Check, table
 
 
@@ -30,11 +32,19 @@ def _op4(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _op5(spark, sf_dir):
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op8(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def _op9(spark, sf_dir):
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def _op10(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,6 +54,8 @@ CHECKS: dict[str, Check] = {
     "op2_secret_scan": Check(_op2),
     "op3_quality_rules": Check(_op3, sqls.QUALITY_RULES),
     "op4_near_duplicates": Check(_op4, sqls.NEAR_DUPLICATES),
+    "op5_quality_classifier": Check(_op5),
     "op8_byte_bpe": Check(_op8),
+    "op9_toxicity": Check(_op9),
     "op10_benchmark_leaks": Check(_op10, sqls.LEAKS),
 }
