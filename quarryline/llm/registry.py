@@ -8,6 +8,7 @@ from quarryline.llm import sqls
 from quarryline.llm.bpe import encode
 from quarryline.llm.leaks import leaks
 from quarryline.llm.neardup import near_duplicates
+from quarryline.llm.pages import extract
 from quarryline.llm.quality import quality_scores
 from quarryline.llm.rules import quality_rules
 from quarryline.llm.secrets import secret_scan
@@ -36,6 +37,10 @@ def _op5(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def _op6(spark, sf_dir):
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def _op8(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -55,6 +60,7 @@ CHECKS: dict[str, Check] = {
     "op3_quality_rules": Check(_op3, sqls.QUALITY_RULES),
     "op4_near_duplicates": Check(_op4, sqls.NEAR_DUPLICATES),
     "op5_quality_classifier": Check(_op5),
+    "op6_html_text": Check(_op6),
     "op8_byte_bpe": Check(_op8),
     "op9_toxicity": Check(_op9),
     "op10_benchmark_leaks": Check(_op10, sqls.LEAKS),
