@@ -10,6 +10,7 @@ from quarryline.llm.leaks import leaks
 from quarryline.llm.neardup import near_duplicates
 from quarryline.llm.pages import extract
 from quarryline.llm.quality import quality_scores
+from quarryline.llm.repeats import remove_repeats
 from quarryline.llm.rules import quality_rules
 from quarryline.llm.secrets import secret_scan
 from quarryline.llm.tokens import token_counts
@@ -41,6 +42,10 @@ def _op6(spark, sf_dir):
     return extract(table(spark, sf_dir, "pages"))
 
 
+def _op7(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def _op8(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -61,6 +66,7 @@ CHECKS: dict[str, Check] = {
     "op4_near_duplicates": Check(_op4, sqls.NEAR_DUPLICATES),
     "op5_quality_classifier": Check(_op5),
     "op6_html_text": Check(_op6),
+    "op7_repeated_passages": Check(_op7),
     "op8_byte_bpe": Check(_op8),
     "op9_toxicity": Check(_op9),
     "op10_benchmark_leaks": Check(_op10, sqls.LEAKS),

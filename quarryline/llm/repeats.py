@@ -97,14 +97,18 @@ def segments(texts: list[bytes], length: int) -> list[list[tuple[int, int, int]]
     return out
 
 
+#: Bytes in the first key of a suffix: nine bits each, so that the end of the text differs from every byte.
+_FIRST = 7
+
+
 def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The suffix array by doubling, and on the way the names of all strings of 8, 16, 32 … bytes."""
+    """The suffix array by doubling, and on the way the names of all strings of 7, 14, 28 … bytes."""
     n = len(text)
-    padded = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64)
+    padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(_FIRST, np.uint64)))
     key = np.zeros(n, np.uint64)
-    for i in range(8):
-        key = key << np.uint64(8) | padded[i : n + i]
-    size, names = 8, []
+    for i in range(_FIRST):
+        key = key << np.uint64(9) | padded[i : n + i]
+    size, names = _FIRST, []
     while True:
         order = np.argsort(key)
         ordered = key[order]
@@ -134,7 +138,7 @@ class RunIndex:
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How long the strings at ``a`` and ``b`` agree: names of strings of halving sizes, then single bytes."""
         length = np.zeros(len(a), np.int64)
-        for size, name in [*reversed(self._names), *[(1, self._text)] * 7]:
+        for size, name in [*reversed(self._names), *[(1, self._text)] * (_FIRST - 1)]:
             inside = np.maximum(a, b) + length + size <= len(self._text)
             at_a, at_b = np.where(inside, a + length, 0), np.where(inside, b + length, 0)
             length += np.where(inside & (name[at_a] == name[at_b]), size, 0)
