@@ -5,10 +5,12 @@ permutation of the slots together with its ranks; slot values are least ranks, s
 less than independent hashes would. Ranks are dealt one after the other, and a document is done as soon as no further
 rank can lower a slot: usually after one or two.
 
-Classes that share a band are candidates. Large buckets are not paired out: each member is first compared with one hub
-of its buckets, again and again with other hubs as long as that links anything, and only members of one bucket that are
-still in different components are then compared with each other. So every pair that shares a band is either compared
-on its full shingle sets or already known to be connected.
+Classes that share a band are candidates. Large buckets are not paired out: each member is compared with the hub of its
+bucket, the least of its classes, and what it has otherwise than the hub is kept. Two members of a bucket that are not
+both linked to the hub can only be similar if they share enough of these differences, so the rest is a set join on
+differences with a prefix and a position filter, the rarest difference first. It drops no similar pair: with o shared
+differences, d missing and a added ones of each, and h shingles of the hub, similarity 0.75 means
+7 o >= (4 d + 3 a) + (4 d' + 3 a') - h, and a member is not linked to the hub when its own 4 d + 3 a is over h.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.components import components
@@ -85,20 +87,27 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``a, b, similar`` for pairs with both texts, on the full shingle sets."""
-    held: dict[int, set] = {}
+    """``a, b, similar`` for pairs with both texts, on the full shingle sets; ``size_a``, and 4 missing + 3 added and the
+    differences of b from a as hashes."""
+    held: dict[int, tuple[set, np.ndarray]] = {}
+    types = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
     for batch in batches:
-        a, b, text_a, text_b = (column.to_pylist() for column in batch.columns)
-        verdicts = []
-        for i in range(len(a)):
-            if a[i] not in held:  # hubs repeat
+        rows = []
+        for a, b, text_a, text_b in zip(*(column.to_pylist() for column in batch.columns)):
+            if a not in held:  # hubs repeat
                 if len(held) >= 16:
                     held.clear()
-                held[a[i]] = shingle_set(text_a[i])
-            one, two = held[a[i]], shingle_set(text_b[i])
+                held[a] = shingle_set(text_a), np.unique(shingles([text_a])[0])
+            one, hashes = held[a]
+            two, others = shingle_set(text_b), np.unique(shingles([text_b])[0])
             shared = len(one & two)
-            verdicts.append(100 * shared >= PERCENT * (len(one) + len(two) - shared))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(verdicts, pa.bool_())], ["a", "b", "similar"])
+            similar = 100 * shared >= PERCENT * (len(one) + len(two) - shared)
+            weight = 4 * (len(one) - shared) + 3 * (len(two) - shared)
+            rows.append((a, b, similar, len(one), weight, np.setxor1d(hashes, others, assume_unique=True).view(np.int64)))
+        columns = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types)], ["a", "b", "similar", "size_a", "weight", "differences"]
+        )
 
 
 def _stored(frame: DataFrame, label: str) -> DataFrame:
@@ -169,59 +178,51 @@ def _class_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, similar`` for distinct pairs of class ids."""
+    """``a, b, similar`` and b's differences from a, for distinct pairs of class ids."""
     b_text = texts.select(F.col("id").alias("b"), F.col("words").alias("text_b"))
     a_text = texts.select(F.col("id").alias("a"), F.col("words").alias("text_a"))
     both = pairs.join(b_text, "b").join(a_text, "a").select("a", "b", "text_a", "text_b")
-    return _stored(both.mapInArrow(_similar, "a long, b long, similar boolean"), "compared")
+    schema = "a long, b long, similar boolean, size_a long, weight long, differences array<long>"
+    return _stored(both.mapInArrow(_similar, schema), "compared")
 
 
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between classes that give the same components as all similar pairs which share a band."""
-    compared = None
-    labelled = members.withColumn("label", F.col("id"))
-    salt = 0
-    while True:
-        # one hub per bucket that still holds several components, another one each round; each member goes to one hub
-        order = F.struct(F.xxhash64("id", F.lit(salt)), "id", "label") if salt else F.struct(F.col("id").alias("h"), "id", "label")
-        buckets = labelled.groupBy("key").agg(
-            F.min(order).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")
-        ).where("low < high")
-        near = (
-            labelled.join(buckets.select("key", "hub.id", "hub.label").toDF("key", "a", "hub_label"), "key")
-            .where("label <> hub_label")
-            .groupBy("a", F.col("id").alias("b"))
-            .agg(F.count("*").alias("shared"))
-        )
-        if compared is not None:
-            near = near.join(_both_ways(compared), ["a", "b"], "left_anti")
-        best = near.groupBy("b").agg(F.max(F.struct("shared", "a")).alias("m")).select(F.col("m.a").alias("a"), "b")
-        round_ = _compare(best, texts)
-        compared = round_ if compared is None else compared.union(round_)
-        grew = not round_.where("similar").isEmpty()
-        links = compared.where("similar").select("a", "b")
-        found = components(links).select(F.col("node").alias("id"), "root")
-        labelled = _stored(
-            members.join(found, "id", "left").select("key", "id", F.coalesce("root", "id").alias("label")), "labelled"
-        )
-        salt += 1
-        if not grew:
-            break
-    split = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    rest = labelled.join(split.select("key"), "key", "left_semi")
-    pairs = (
-        rest.toDF("key", "a", "label_a")
-        .join(rest.toDF("key", "b", "label_b"), "key")
-        .where("a < b AND label_a <> label_b")
-        .select("a", "b")
+    hubs = members.groupBy("key").agg(F.min("id").alias("a"))
+    stars = _compare(members.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), texts)
+    links = stars.where("similar").select("a", "b")
+    others = _compare(_by_differences(stars, components(links)), texts)
+    return links.union(others.where("similar").select("a", "b"))
+
+
+def _by_differences(stars: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs ``a < b`` around one hub, in different components so far, which may be similar."""
+    label = found.select(F.col("node").alias("b"), "root")
+    around = stars.join(label, "b", "left").withColumn("root", F.coalesce("root", "b"))
+    open_hubs = around.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_and("similar").alias("all")).where("low < high AND NOT all")
+    around = around.join(open_hubs.select("a"), "a", "left_semi")
+    each = around.select("a", "b", "root", "similar", "size_a", "weight", F.explode("differences").alias("e"))
+    seen = each.groupBy("a", "e").agg(F.count("*").alias("k")).where("k > 1")  # what stands once is shared by none
+    order = Window.partitionBy("a", "b").orderBy("k", "e")
+    ranked = _stored(
+        each.join(seen, ["a", "e"])
+        .withColumn("i", F.row_number().over(order))
+        .withColumn("n", F.count("*").over(Window.partitionBy("a", "b"))),
+        "differences",
+    )
+    # one of the two is not linked to the hub; the other's overlap must be over a seventh of its own weight
+    apart = ranked.where("NOT similar").where("i <= n - greatest(1, ceil((weight - size_a) / 4)) + 1")
+    other = ranked.where("i <= n - floor(weight / 7)").select(
+        "a", "e", F.col("b").alias("b2"), F.col("root").alias("root2"), F.col("weight").alias("weight2"), F.col("i").alias("i2"), F.col("n").alias("n2")
+    )
+    enough = "7 * (1 + least(n - i, n2 - i2)) >= weight + weight2 - size_a"
+    return (
+        apart.join(other, ["a", "e"])
+        .where(f"b <> b2 AND root <> root2 AND {enough}")
+        .select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b"))
         .distinct()
-        .join(_both_ways(compared), ["a", "b"], "left_anti")
+        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
     )
-    return links.union(_compare(pairs, texts).where("similar").select("a", "b"))
-
-
-def _both_ways(compared: DataFrame) -> DataFrame:
-    return compared.select("a", "b").union(compared.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
