@@ -34,8 +34,9 @@ class Linear:
         return _sigmoid(x @ self.weights + self.bias)
 
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 3e-4) -> Linear:
-    """Logistic loss with the non-negative risk; Adam over all rows at each step, and the weights of least risk stay."""
+def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Linear:
+    """Logistic loss with the non-negative risk; Adam over all rows at each step, and the weights of least risk
+    stay."""
     prior = np.float32(prior)
     w = np.zeros(positive.shape[1] + 1, np.float32)
     p = np.hstack([positive, np.ones((len(positive), 1), np.float32)]).astype(np.float32)
@@ -54,7 +55,9 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient * gradient
         w = w - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    return Linear(best[:-1].astype(np.float64), float(best[-1]))
+    # the risk is flat around its best bias: go half way to where as many unlabelled texts are positive as the prior says
+    bias = best[-1] - np.quantile(u @ best, 1 - prior) / 2
+    return Linear(best[:-1].astype(np.float64), float(bias))
 
 
 def bins(scores: np.ndarray) -> np.ndarray:
