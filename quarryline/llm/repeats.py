@@ -27,8 +27,9 @@ from quarryline.llm.words import mix, slices
 from quarryline.session import workspace
 
 LENGTH = 400
-#: Bytes of segments indexed at a time, and distinct segments from which a bin is counted window by window.
-INDEX_BYTES, WIDE_BIN = 2 << 20, 2000
+#: Bytes of segments indexed at a time, and bytes of distinct segments from which a bin is counted window by window: an
+#: index takes about eighty bytes of memory for each of its text.
+INDEX_BYTES, WIDE_BIN = 1 << 20, 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _ROWS = "text binary, first int, last int, bin long, segment long, n long"
@@ -101,25 +102,29 @@ def segments(texts: list[bytes], length: int) -> list[list[tuple[int, int, int]]
 _FIRST = 7
 
 
-def suffix_array(text: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The suffix array by doubling, and on the way the names of all strings of 7, 14, 28 … bytes."""
+def _keys(text: np.ndarray) -> np.ndarray:
+    """The first bytes of every suffix as one number."""
     n = len(text)
-    padded = np.concatenate((text.astype(np.uint64) + np.uint64(1), np.zeros(_FIRST, np.uint64)))
+    padded = np.concatenate((text.astype(np.uint16) + np.uint16(1), np.zeros(_FIRST, np.uint16)))
     key = np.zeros(n, np.uint64)
     for i in range(_FIRST):
-        key = key << np.uint64(9) | padded[i : n + i]
-    size, names = _FIRST, []
+        key <<= np.uint64(9)
+        key |= padded[i : n + i]
+    return key
+
+
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """The places of all suffixes in order, by doubling: names of strings of 7, 14, 28 … bytes until all differ."""
+    n, size, key = len(text), _FIRST, _keys(text)
+    name = np.empty(n, np.int32)
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        name = np.empty(n, np.int64)
-        name[order] = np.concatenate(([0], np.cumsum(ordered[1:] != ordered[:-1])))
-        names.append((size, name.astype(np.int32)))
+        order = np.argsort(key).astype(np.int32)
+        key = key[order]
+        name[order] = np.concatenate(([0], np.cumsum(key[1:] != key[:-1]))).astype(np.int32)
         if name[order[-1]] == n - 1:
-            return order, names
-        beyond = np.zeros(n, np.uint64)
-        beyond[: max(n - size, 0)] = name[size:].astype(np.uint64) + np.uint64(1)
-        key = name.astype(np.uint64) << np.uint64(32) | beyond
+            return order
+        key = name.astype(np.uint64) << np.uint64(32)
+        key[: max(n - size, 0)] |= name[size:].astype(np.uint64) + np.uint64(1)
         size *= 2
 
 
@@ -127,21 +132,26 @@ class RunIndex:
     """The Burrows-Wheeler transform of a text as runs, with the suffixes at both ends of each run."""
 
     def __init__(self, text: np.ndarray):
-        order, self._names = suffix_array(text)
+        order = suffix_array(text)
         before = text[order - 1].astype(np.int16)
         before[order == 0] = -1
         change = np.flatnonzero(before[1:] != before[:-1]) + 1
         self.heads, self.tails = np.concatenate(([0], change)), np.append(change, len(text)) - 1
         self.letters = before[self.heads]
-        self._order, self._text = order, text
+        self._order, self._text, self._key = order, text, _keys(text)
 
     def _common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """How long the strings at ``a`` and ``b`` agree: names of strings of halving sizes, then single bytes."""
-        length = np.zeros(len(a), np.int64)
-        for size, name in [*reversed(self._names), *[(1, self._text)] * (_FIRST - 1)]:
-            inside = np.maximum(a, b) + length + size <= len(self._text)
-            at_a, at_b = np.where(inside, a + length, 0), np.where(inside, b + length, 0)
-            length += np.where(inside & (name[at_a] == name[at_b]), size, 0)
+        """How long the strings at ``a`` and ``b`` agree: some bytes at a time while they do, then byte by byte."""
+        n, length = len(self._text), np.zeros(len(a), np.int64)
+        going = np.arange(len(a))
+        for size, names in ((_FIRST, self._key), (1, self._text)):
+            while len(going):
+                at_a, at_b = a[going] + length[going], b[going] + length[going]
+                inside = np.maximum(at_a, at_b) + size <= n
+                same = inside & (names[np.where(inside, at_a, 0)] == names[np.where(inside, at_b, 0)])
+                going = going[same]
+                length[going] += size
+            going = np.arange(len(a))
         return length
 
     def matching(self) -> np.ndarray:
@@ -149,7 +159,7 @@ class RunIndex:
         n, best = len(self._text), 0
         for ends, step in ((self.heads, -1), (self.tails, 1)):
             ends = ends[(ends + step >= 0) & (ends + step < n)]
-            here, there = self._order[ends], self._order[ends + step]
+            here, there = self._order[ends].astype(np.int64), self._order[ends + step].astype(np.int64)
             reach = np.zeros(n, np.int64)
             reach[here] = here + self._common(here, there)
             best = np.maximum(best, np.maximum.accumulate(reach) - np.arange(n))
@@ -326,9 +336,10 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, wide_bin: int = W
     distinct = _stored(
         rows.groupBy("bin", "segment").agg(F.sum("n").alias("n"), F.min(F.struct("text", "first", "last")).alias("place")), "distinct"
     )
-    mixed = distinct.groupBy("bin").agg(F.count("*").alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1")
+    size = F.sum(F.col("place.last") - F.col("place.first") + length)
+    mixed = distinct.groupBy("bin").agg(F.count("*").alias("k"), size.alias("size"), F.min("n").alias("least")).where("k > 1 AND least = 1")
     wanted = (
-        distinct.join(mixed.select("bin", (F.col("k") > wide_bin).alias("wide")), "bin")
+        distinct.join(mixed.select("bin", (F.col("size") > wide_bin).alias("wide")), "bin")
         .select(F.col("place.text").alias("text"), F.struct("bin", "segment", "n", "place.first", "place.last", "wide").alias("p"))
         .groupBy("text")
         .agg(F.collect_list("p").alias("places"))

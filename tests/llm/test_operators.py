@@ -277,7 +277,7 @@ def test_tokenizers_with_null_ids_repeated_rows_and_nothing(spark):
 # ---- repeats ---------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("wide", [1000, 1])
+@pytest.mark.parametrize("wide", [1 << 20, 1])
 def test_repeats_equal_brute_force(spark, texts, wide):
     length, rnd = 40, random.Random(3)
     passage = "".join(rnd.choice("abcdef ") for _ in range(90))
