@@ -46,4 +46,5 @@ def with_object(df: DataFrame, text: Column, fields: list[str], into: str) -> Da
 
 def with_quoted_object(df: DataFrame, text: Column, fields: list[str], into: str) -> DataFrame:
     """As ``with_object``, for an object in a reply: from its first ``{`` to its last ``}``."""
-    return with_object(df, F.regexp_replace(text, r"(?s)^[^{]*(\{.*\})[^}]*\z", "$1"), fields, into)
+    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
+    return with_object(df, F.when((first > 0) & (last > first), F.substr(text, first, last - first + 1)).otherwise(text), fields, into)

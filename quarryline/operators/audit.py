@@ -18,13 +18,23 @@ CREATABLE = ("catalog", "schema", "database", "table", "index", "view")
 # A read must not hold any of these, unless as a function's name. INSERT may hide behind a WITH.
 SMUGGLED_VERBS = (*DESTRUCTIVE_VERBS, "insert")
 
-# Literals and comments, whichever starts first. A doubled quote reads as two literals side by side.
+# Literals and comments as Spark reads them, whichever starts first: raw literals have no escapes, a carriage return ends a
+# comment and a backslash before the line end carries it on. A doubled quote reads as two literals side by side.
 # Possessive loops keep the matcher from recursing, however long the literal is.
 _LITERALS = (
-    r"'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'"
+    r"(?<![A-Za-z0-9_])[rR](?:'[^']*+'|\"[^\"]*+\")"
+    r"|'[^'\\]*+(?:\\[\s\S][^'\\]*+)*+'"
     r'|"[^"\\]*+(?:\\[\s\S][^"\\]*+)*+"'
-    r"|/\*[\s\S]*?\*/|--[^\n]*|#[^\n]*"
+    r"|/\*[\s\S]*?\*/|--(?:[^\r\n\\]|\\\n|\\)*+|#[^\r\n]*"
 )
+# What one pattern cannot follow, and is refused: a comment opened inside another, a hint or a quoted name with quotes or
+# comment signs in it.
+_UNFOLLOWED = (
+    r"/\*[^*/]*+(?:(?:\*(?!/)|/(?!\*))[^*/]*+)*+/\*"
+    r"|/\*\+[^*'\"`]*+['\"`]"
+    r"|`[^`]*?(?:['\"]|--|/\*|#)[^`]*`"
+)
+# Fixed value: literals without content where a condition needs one.
 _EMPTY_LITERAL = rf"(?i)(?:{whole_word('in')}\s*\(|=\s*|,\s*)''(?:\s*[,)]|\s*\z)"
 
 
@@ -80,11 +90,13 @@ def classify_statements(df: DataFrame, sql: str) -> DataFrame:
         "_kind", F.when(F.col("_n") == 1, _kind(F.col("_s"), F.col("_verb"))).otherwise("unknown")
     )
     judged = judged.withColumn("_hidden", F.when(F.col("_kind") == "read", _first_smuggled(F.col("_s"))))
+    unfollowed = text.rlike(_UNFOLLOWED)
     into_file = (F.col("_kind") == "read") & F.col("_s").rlike(
         "(?i)" + whole_word(r"into\s+(?:outfile|dumpfile)")
     )
     reason = (
         F.when(blank, "empty SQL")
+        .when(unfollowed, "comments or names that may hide code")
         .when(F.col("_n") == 0, "no executable statement")
         .when(F.col("_n") > 1, F.format_string("%s statements at once; send one", "_n"))
         .when(F.col("_kind") == "unknown", F.format_string('unrecognised statement type: "%s"', "_verb"))
@@ -92,7 +104,7 @@ def classify_statements(df: DataFrame, sql: str) -> DataFrame:
         .when(into_file, "read statement writes to a file")
         .otherwise("")
     )
-    kind = F.when(F.col("_hidden").isNotNull() | into_file, "destructive").otherwise(F.col("_kind"))
+    kind = F.when(unfollowed, "unknown").when(F.col("_hidden").isNotNull() | into_file, "destructive").otherwise(F.col("_kind"))
     return (
         judged.withColumn("reason", reason)
         .withColumn("kind", kind)
@@ -125,8 +137,9 @@ def review_replies(df: DataFrame, reply: str) -> DataFrame:
     """
     bodies = with_quoted_object(df, unfence(F.col(reply), "json|sql"), ["sql", "explanation"], "_body")
     parsed = bodies.withColumn("_sql", F.coalesce(F.col("_body.sql"), F.lit("")))
-    judged = classify_statements(parsed, "_sql")
-    malformed = degenerate_reason(F.col("_sql"))
+    flawed = F.transform(F.array(degenerate_reason(F.col("_sql"))), lambda flaw: flaw)  # explode: tested once, read often
+    judged = classify_statements(parsed.select("*", F.explode(flawed).alias("_malformed")), "_sql")
+    malformed = F.col("_malformed")
     unanswered = F.coalesce(F.nullif(F.col("_body.explanation"), F.lit("")), F.lit("cannot answer from the schema"))
     reason = (
         F.when(F.col("_body").isNull(), "reply is not JSON")

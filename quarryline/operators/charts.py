@@ -66,17 +66,23 @@ def share_of_total(df: DataFrame, dimension: str, measure: str, aggregation: str
         total = parts.agg(F.sum(value))
     else:
         total = df.agg(aggregate(name, measure))
-    share = F.round(F.col(value) / total.scalar() * 100, 1)
+    share = F.round(F.try_divide(F.col(value), total.scalar()) * 100, 1)  # null where the total is zero
     return parts.withColumn("share", share).withColumn("label", F.concat(share.cast("string"), F.lit("%")))
 
 
 def scatter_points(
-    df: DataFrame, dimension: str | None, measure: str, measure2: str | None = None, aggregation: str = "SUM"
+    df: DataFrame,
+    dimension: str | None,
+    measure: str,
+    measure2: str | None = None,
+    aggregation: str = "SUM",
+    color: str | None = None,
 ) -> DataFrame:
-    """Two aggregates per value of the dimension; without a dimension one point for the table."""
+    """Two aggregates per value of the dimension and colour; without either one point for the table."""
     second = measure2 or measure
     axes = [aggregate(aggregation, measure).alias("x"), aggregate(aggregation, second).alias("y")]
-    return (df.groupBy(F.col(f"`{dimension}`")) if dimension else df.groupBy()).agg(*axes)
+    keys = [F.col(f"`{name}`") for name in dict.fromkeys((dimension, color)) if name]
+    return df.groupBy(*keys).agg(*axes)
 
 
 @dataclass(frozen=True)
@@ -123,6 +129,10 @@ def crosstab(
 ) -> DataFrame:
     """A table of rows by columns with the aggregate in the cells.
 
-    Naming the column values saves the job that looks for them.
+    Naming the column values saves the job that looks for them; a value they do not name is an error, since its rows would
+    be lost.
     """
+    if values is not None:
+        named = F.coalesce(F.col(column).isin(*values), F.lit(False)) | (F.col(column).isNull() if None in values else F.lit(False))
+        df = df.where(F.when(named, True).otherwise(F.raise_error(F.format_string("crosstab: no column for %s", F.col(column).cast("string"))).cast("boolean")))
     return df.groupBy(row).pivot(column, values).agg(aggregate(aggregation, measure))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,13 +20,13 @@ def _given(text: Column) -> Column:
 
 
 def normalize_commands(df: DataFrame, body: str = "body") -> DataFrame:
-    """Commands of three JSON shapes as ``action, worksheet, field, value``.
+    """Commands of three JSON shapes as ``status, action, worksheet, field, value``.
 
-    A typed command value comes before a named action, and that before nested parameters. Bodies
-    that are not JSON are no commands and are left out. Works on a stream as on a table.
+    A typed command value comes before a named action, and that before nested parameters. A body that is not JSON has
+    the status ``not json`` and no action; all others are ``ok``. Works on a stream as on a table.
     """
     sent = with_object(df, F.col(body), ["command_type", "command_value", *_NAMED, "parameters"], "_body")
-    parsed = with_object(sent.filter("_body is not null"), F.col("_body.parameters"), _NAMED, "_nested")
+    parsed = with_object(sent, F.col("_body.parameters"), _NAMED, "_nested")
     b, nested = F.col("_body"), F.col("_nested")
     typed = _given(b["command_type"]) & _given(b["command_value"])
     named = _given(b["action"])
@@ -37,19 +35,21 @@ def normalize_commands(df: DataFrame, body: str = "body") -> DataFrame:
         said = F.when(typed, b["command_value"] if name == "value" else F.lit(None)).when(named, b[name]).otherwise(
             nested[name]
         )
-        return (F.when(_given(said), said).otherwise(default) if default else said).alias(name)
+        filled = F.when(_given(said), said).otherwise(default) if default else said
+        return F.when(b.isNotNull(), filled).alias(name)
+
+    status = F.when(b.isNull(), "not json").otherwise("ok").alias("status")
 
     kept = [c for c in df.columns if c != body]
     return parsed.select(
-        *kept, pick("action", ACTION), pick("worksheet", WORKSHEET), pick("field", FIELD), pick("value", None)
+        *kept, status, pick("action", ACTION), pick("worksheet", WORKSHEET), pick("field", FIELD), pick("value", None)
     )
 
 
 def commands_since(commands: DataFrame, command_id: str, seq: str = "seq") -> DataFrame:
     """Commands after the one last seen, in the order they came; all of them when it is not known."""
     seen = commands.filter(F.col("command_id") == command_id).agg(F.min(seq))
-    place = F.col(seq)
-    return commands.filter(place > F.coalesce(seen.scalar(), F.lit(-1)))
+    return commands.filter(seen.scalar().isNull() | (F.col(seq) > seen.scalar()))
 
 
 def apply_filters(
@@ -57,19 +57,21 @@ def apply_filters(
 ) -> DataFrame:
     """The rows that pass a worksheet's filters, the last command per field being the one in force.
 
-    There is at most one filter in force per field. They enter the plan as one scalar subquery, so
-    the table is filtered where it is scanned and nothing is joined.
+    Field names are compared without case. There is at most one filter in force per field; they are fetched and become
+    conditions on the columns, their values cast to the column's type, so that the scan can leave out what does not
+    pass. A filter without value asks for rows without value; a value that the type cannot hold matches no row.
     """
-    names = fields or df.columns
+    names = {name.lower(): name for name in fields or df.columns}
     in_force = (
-        commands.filter((F.col("action") == ACTION) & (F.col("worksheet") == worksheet) & F.col("field").isin(*names))
-        .groupBy("field")
+        commands.filter(
+            (F.col("action") == ACTION) & (F.col("worksheet") == worksheet) & F.lower("field").isin(*names)
+        )
+        .groupBy(F.lower("field").alias("field"))
         .agg(F.max_by("value", seq).alias("value"))
     )
-    filters = in_force.agg(F.collect_list(F.struct("field", "value"))).scalar()
-
-    def passes(rule: Column) -> Column:
-        met = [(rule["field"] != name) | F.col(f"`{name}`").cast("string").eqNullSafe(rule["value"]) for name in names]
-        return reduce(Column.__and__, met)
-
-    return df.withColumn("_filters", filters).filter(F.forall("_filters", passes)).drop("_filters")
+    types = {f.name.lower(): f.dataType for f in df.schema.fields}
+    for row in in_force.collect():  # a row per field at most
+        column = F.col(f"`{names[row['field']]}`")
+        wanted = F.lit(row["value"]).try_cast(types[row["field"]])
+        df = df.filter(column.isNull() if row["value"] is None else column == wanted)
+    return df

@@ -16,22 +16,31 @@ TURNS_PER_PART = 10_000
 def transcripts(turns: DataFrame, message: str | None = None, turns_per_part: int = TURNS_PER_PART) -> DataFrame:
     """The script of every conversation from its turns ``(conv_id, turn, role, text)``.
 
-    A conversation of up to ``turns_per_part`` turns is one row. A longer one continues in further
-    parts, in order, so that no task ever has to hold all of it; nothing is left out. ``message``
-    names a column that goes before ``text`` where it is filled.
+    A conversation of up to ``turns_per_part`` spoken lines is one row, whatever its turn numbers. A longer one continues in
+    further parts, in order, so that no task ever has to hold all of it; nothing is left out. Lines without a turn come
+    first, lines of one turn in the order of their text. ``message`` names a column that goes before ``text`` where it is
+    filled.
     """
     said = F.coalesce(F.col(message), F.col("text")) if message else F.col("text")
     who = F.when(F.col("role").isin(*CALLERS), CALLER_NAME).otherwise(OTHER_NAME)
     spoken = turns.select("conv_id", "turn", F.concat(who, F.lit(": "), F.nullif(said, F.lit(""))).alias("line"))
-    part = F.expr(f"turn div {int(turns_per_part)}").alias("part")
-    lines = F.sort_array(F.collect_list(F.struct("turn", "line")))
-    scripts = (
+    # places in two steps, so that a conversation is numbered by many tasks: inside stretches, then stretch by stretch
+    stretched = (
         spoken.filter(F.col("line").isNotNull())
-        .groupBy("conv_id", part)
-        .agg(
-            F.array_join(F.transform(lines, lambda t: t["line"]), "\n").alias("transcript"),
-            F.count("*").alias("n_lines"),
-        )
+        .repartitionByRange("conv_id", "turn", "line")
+        .withColumn("_stretch", F.spark_partition_id())
+    )
+    inside = stretched.withColumn("_i", F.row_number().over(W.partitionBy("conv_id", "_stretch").orderBy("turn", "line")))
+    sizes = inside.groupBy("conv_id", "_stretch").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy("conv_id").orderBy("_stretch")) - F.col("_n"))
+    placed = inside.withColumnRenamed("conv_id", "_conv").join(
+        before.select(F.col("conv_id"), F.col("_stretch").alias("_s"), "_before"),
+        F.col("_conv").eqNullSafe(F.col("conv_id")) & (F.col("_stretch") == F.col("_s")),
+    )
+    part = F.expr(f"(_before + _i - 1) div {int(turns_per_part)}").alias("part")
+    lines = F.sort_array(F.collect_list(F.struct("turn", "line")))
+    scripts = placed.groupBy("conv_id", part).agg(
+        F.array_join(F.transform(lines, lambda t: t["line"]), "\n").alias("transcript"), F.count("*").alias("n_lines")
     )
     silent = (
         spoken.groupBy("conv_id")

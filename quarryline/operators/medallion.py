@@ -40,22 +40,22 @@ def _text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and not f.name.startswith("_")]
 
 
-def dimension_scores(df: DataFrame) -> DataFrame:
+def dimension_scores(df: DataFrame, approx: bool = False) -> DataFrame:
     """Every text column with its distinct values and whether it groups: more than one value, but repeats."""
     names = _text_columns(df)
     if not names:
         raise ValueError("the table has no text column")
-    return distinct_counts(df.select(*[F.col(f"`{c}`") for c in names])).withColumn(
+    return distinct_counts(df.select(*[F.col(f"`{c}`") for c in names]), approx).withColumn(
         "groups", (F.col("distinct_values") > 1) & (F.col("distinct_values") < F.col("n_rows"))
     )
 
 
-def choose_dimension(df: DataFrame) -> str:
+def choose_dimension(df: DataFrame, approx: bool = False) -> str:
     """The text column with the fewest values that still groups; else the first text column, else the first."""
     names = _text_columns(df)
     if not names:
         return business_columns(df)[0]
-    best = dimension_scores(df).filter("groups").orderBy("distinct_values", "position").first()
+    best = dimension_scores(df, approx).filter("groups").orderBy("distinct_values", "position").first()
     return best["column"] if best else names[0]
 
 

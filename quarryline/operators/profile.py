@@ -11,13 +11,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# What a profile looks at.
+# How few values make a distribution, and how many of them a listing shows.
 FEW_VALUES = (2, 15)
 SHOWN_VALUES = 12
-SHOWN_DAYS = 60
 
 PARALLEL_TABLES = 8
-WIDE_TABLE = 24
 
 _NUMERIC = (T.IntegralType, T.FloatType, T.DoubleType, T.DecimalType)
 _DATED = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -27,6 +25,10 @@ def is_numeric(field: T.StructField) -> bool:
     return isinstance(field.dataType, _NUMERIC)
 
 
+def is_float(field: T.StructField) -> bool:
+    return isinstance(field.dataType, (T.FloatType, T.DoubleType))
+
+
 def is_dated(field: T.StructField) -> bool:
     return isinstance(field.dataType, _DATED)
 
@@ -46,6 +48,10 @@ def _value_text(field: T.StructField) -> Column:
         value = value + F.lit(0).cast(field.dataType)  # there are two zeros
     elif isinstance(field.dataType, T.TimestampType):
         value = F.unix_micros(value)  # local times repeat when clocks go back
+    elif isinstance(field.dataType, T.BinaryType):
+        value = F.base64(value)
+    elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        value = F.to_json(value)
     return value.cast("string").alias(field.name)
 
 
@@ -69,16 +75,15 @@ def _distinct_by_value(df: DataFrame) -> DataFrame:
 def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     """Rows and distinct non-null values of every column, from one scan.
 
-    Exact counts exchange every distinct value of every column. Spark does that by copying each row
-    once per column, whole; for wide tables of plain types the cells are grouped instead.
-    ``approx=True`` exchanges one sketch per column and task, where even that is too much.
+    Exact counts exchange every distinct value of every column, as a cell under its column's name; values that are lists,
+    maps or structs are compared by their JSON. ``approx=True`` exchanges one sketch per column and task, where that is too
+    much.
     """
-    plain = all(isinstance(f.dataType, (*_NUMERIC, *_DATED, T.StringType, T.BooleanType)) for f in df.schema.fields)
-    if not approx and plain and len(df.columns) > WIDE_TABLE:
+    if not approx:
         return _distinct_by_value(df)
-    count = F.approx_count_distinct if approx else F.count_distinct
     row = df.agg(
-        F.count("*").alias("n"), *[count(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(df.columns)]
+        F.count("*").alias("n"),
+        *[F.approx_count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(df.columns)],
     )
     structs = [
         F.struct(
@@ -98,22 +103,20 @@ def _long(df: DataFrame, columns: list[str], value: str, type_name: str) -> Data
     return cells.unpivot([], [F.col(f"`{c}`") for c in columns], "column", value)
 
 
-def daily_counts(df: DataFrame, columns: list[str], limit: int = SHOWN_DAYS) -> DataFrame:
-    """Rows per day of each date column, for its first ``limit`` days."""
+def daily_counts(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
+    """Rows per day of each date column; a listing can ask for the first ``limit`` days only."""
     days = _long(df, columns, "day", "date").filter(F.col("day").isNotNull())
     counts = days.groupBy("column", "day").agg(F.count("*").alias("count_rows"))
-    first = W.partitionBy("column").orderBy("day")
-    return (
-        counts.withColumn("_place", F.row_number().over(first))
-        .filter(F.col("_place") <= limit)
-        .select("column", F.col("day").cast("timestamp_ntz").alias("day"), "count_rows")
-    )
+    if limit is not None:
+        first = W.partitionBy("column").orderBy("day")
+        counts = counts.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= limit)
+    return counts.select("column", F.col("day").cast("timestamp_ntz").alias("day"), "count_rows")
 
 
-def daily_verdict(df: DataFrame, columns: list[str], limit: int = SHOWN_DAYS) -> DataFrame:
-    """Per date column: days looked at, first and last of them, and whether the counts differ."""
+def daily_verdict(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Per date column: its days, the first and last of them, and whether the counts differ."""
     return (
-        daily_counts(df, columns, limit)
+        daily_counts(df, columns)
         .groupBy("column")
         .agg(
             F.count("*").alias("n_days"),
@@ -125,25 +128,35 @@ def daily_verdict(df: DataFrame, columns: list[str], limit: int = SHOWN_DAYS) ->
     )
 
 
-def value_distribution(df: DataFrame, columns: list[str], top: int = SHOWN_VALUES) -> DataFrame:
-    """The most frequent values of each column, null among them, with their counts and places."""
-    counts = _long(df, columns, "value", "string").groupBy("column", "value").agg(F.count("*").alias("count_rows"))
-    frequent = W.partitionBy("column").orderBy(F.desc("count_rows"), F.asc_nulls_first("value"))
-    return (
-        counts.withColumn("place", F.row_number().over(frequent))
-        .filter(F.col("place") <= top)
-        .select("column", F.coalesce("value", F.lit("null")).alias("value"), "count_rows", "place")
+def _value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Every value of each column with its count and place, equal values under one text; null has a place too."""
+    fields = {f.name: f for f in df.schema.fields}
+    cells = df.select(
+        *[
+            (F.col(f"`{c}`") + F.lit(0).cast(fields[c].dataType) if is_float(fields[c]) else F.col(f"`{c}`")).alias(c)
+            for c in columns
+        ]
     )
+    counts = _long(cells, columns, "value", "string").groupBy("column", "value").agg(F.count("*").alias("count_rows"))
+    frequent = W.partitionBy("column").orderBy(F.desc("count_rows"), F.asc_nulls_first("value"))
+    return counts.withColumn("place", F.row_number().over(frequent)).withColumn("value", F.coalesce("value", F.lit("null")))
+
+
+def value_distribution(df: DataFrame, columns: list[str], top: int = SHOWN_VALUES) -> DataFrame:
+    """The ``top`` most frequent values of each column, null among them, with their counts and places."""
+    return _value_counts(df, columns).filter(F.col("place") <= top).select("column", "value", "count_rows", "place")
 
 
 def distribution_verdict(df: DataFrame, columns: list[str], top: int = SHOWN_VALUES) -> DataFrame:
-    """Per column: the shown values in words, whether their counts differ, and by how much."""
-    shown = F.sort_array(F.collect_list(F.struct("place", F.concat_ws("=", "value", "count_rows").alias("text"))))
+    """Per column: its ``top`` values in words and how many more there are; whether all counts differ, and by how much."""
+    text = F.struct("place", F.concat_ws("=", "value", "count_rows").alias("text"))
+    shown = F.sort_array(F.collect_list(F.when(F.col("place") <= top, text)))
+    more = F.when(F.count("*") > top, F.format_string(" and %d more", F.count("*") - top)).otherwise("")
     return (
-        value_distribution(df, columns, top)
+        _value_counts(df, columns)
         .groupBy("column")
         .agg(
-            F.array_join(F.transform(shown, lambda s: s["text"]), ", ").alias("shown"),
+            F.concat(F.array_join(F.transform(shown, lambda s: s["text"]), ", "), more).alias("shown"),
             (F.max("count_rows") != F.min("count_rows")).alias("varies"),
             F.round(F.stddev_pop("count_rows") / F.avg("count_rows"), 4).alias("spread"),
         )
@@ -212,7 +225,7 @@ _PROFILE = (
 )
 
 
-def _probe_findings(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
+def _probe_findings(df: DataFrame, kinds: list[ColumnKind], top: int) -> DataFrame:
     of_kind = {kind: [k.name for k in kinds if k.kind == kind] for kind in ("date", "dist", "range")}
     parts = []
     if of_kind["date"]:
@@ -235,7 +248,7 @@ def _probe_findings(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
         )
     if of_kind["dist"]:
         parts.append(
-            distribution_verdict(df, of_kind["dist"]).select(
+            distribution_verdict(df, of_kind["dist"], top).select(
                 "column",
                 "varies",
                 F.concat("shown", F.when(F.col("varies"), " (varies)").otherwise(" (all equal: flat)")).alias("finding"),
@@ -254,8 +267,8 @@ def _probe_findings(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def profile_table(df: DataFrame, name: str, approx: bool = False) -> DataFrame:
-    """One row per column: type, role, distinct values, kind, whether it varies, and a note.
+def profile_table(df: DataFrame, name: str, approx: bool = False, top: int = SHOWN_VALUES) -> DataFrame:
+    """One row per column: type, role, distinct values, kind, whether it varies, and a note naming ``top`` values.
 
     One aggregate decides the kinds; then one scan per kind in use covers all columns of that kind.
     """
@@ -284,7 +297,7 @@ def profile_table(df: DataFrame, name: str, approx: bool = False) -> DataFrame:
         F.when(F.col("role") == "measure", "near-unique numeric: a measure")
         .otherwise("unique per row: a label, not a grouping dimension")
     )
-    return listing.join(_probe_findings(df, kinds), "column", "left").select(
+    return listing.join(_probe_findings(df, kinds, top), "column", "left").select(
         "table_name",
         "position",
         F.col("column").alias("column_name"),
@@ -320,7 +333,7 @@ def profile_namespace(tables: dict[str, DataFrame], approx: bool = False) -> Dat
 def rank_dimensions(df: DataFrame, approx: bool = False) -> DataFrame:
     """Columns worth grouping by, those whose groups differ most in size first.
 
-    Unique and constant columns never qualify; a column whose shown groups are all equal is dropped.
+    Unique and constant columns never qualify; a column whose groups are all equal is dropped.
     """
     names = [k.name for k in column_kinds(df, approx) if k.kind == "dist"]
     if not names:
@@ -344,14 +357,14 @@ def series_quality(df: DataFrame, x: str, y: str, group: str, cumulative: bool =
     tolerance = 1e-9
     rows = df.select(F.col(group).alias("_g"), F.col(x).alias("_x"), F.col(y).cast("double").alias("_y"))
     known = F.col("_x").isNotNull() & F.col("_y").isNotNull()
-    spread = (
-        rows.filter(known).repartitionByRange("_g", "_x", "_y").withColumn("_stretch", F.spark_partition_id())
-    )
+    # points that are not known go along without a step, so that a group of them alone is still reported
+    points = rows.select("_g", F.when(known, F.col("_x")).alias("_x"), F.when(known, F.col("_y")).alias("_y"))
+    spread = points.repartitionByRange("_g", "_x", "_y").withColumn("_stretch", F.spark_partition_id())
     along = W.partitionBy("_g", "_stretch").orderBy("_x", "_y")
     stepped = spread.withColumn("_step", F.col("_y") - F.lag("_y").over(along))
-    point = F.struct("_x", "_y")
+    point = F.when(F.col("_y").isNotNull(), F.struct("_x", "_y"))
     stretches = stepped.groupBy("_g", "_stretch").agg(
-        F.count("*").alias("n"),
+        F.count("_y").alias("n"),
         F.min("_y").alias("lo"),
         F.max("_y").alias("hi"),
         F.min("_step").alias("step_lo"),
@@ -375,7 +388,6 @@ def series_quality(df: DataFrame, x: str, y: str, group: str, cumulative: bool =
         .when(straight & ~F.lit(cumulative), "straight line")
         .otherwise("varies")
     )
-    pointless = rows.groupBy("_g").agg(F.count(F.when(known, 1)).alias("n_points")).filter("n_points = 0")
-    return facts.unionByName(pointless, allowMissingColumns=True).select(
+    return facts.select(
         F.col("_g").alias(group), "n_points", quality.alias("quality")
     )

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.audit import classify_statements, degenerate_reason, strip_literals
 
-# Fixed value: rows an answer shows when the statement does not say how many.
-ANSWER_ROWS = 100
+# Commands that only tell something.
+_TELLING = ("Show", "Describe", "Explain", "SetNamespace", "SetCatalog", "Use", "GetColumns")
 
 
 class Refused(ValueError):
@@ -19,17 +19,52 @@ class NeedsConfirmation(Refused):
     """The statement changes data and nobody has confirmed it."""
 
 
+def changes_data(spark: SparkSession, sql: str) -> bool:
+    """Whether Spark's own parser finds an insert or a command that does more than tell something, at any depth."""
+    logical = "org.apache.spark.sql.catalyst.plans.logical"
+    command, plan = (spark._jvm.java.lang.Class.forName(f"{logical}.{name}") for name in ("Command", "LogicalPlan"))
+    todo = [spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        if "Insert" in name or (command.isInstance(node) and not name.startswith(_TELLING)):
+            return True
+        for parts in (node.children(), node.innerChildren(), node.subqueries()):
+            found = [parts.apply(i) for i in range(parts.size())]
+            todo += [part for part in found if plan.isInstance(part)]
+    return False
+
+
+def _run(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The statement with tables as views of their own session, so that nobody else's views are touched."""
+    if not tables:
+        return spark.sql(sql)
+    held = {}
+    for name, table in tables.items():
+        known = spark.catalog._jcatalog.tableExists(name) and spark.catalog.getTable(name).isTemporary
+        held[name] = spark.table(name) if known else None
+        table.createOrReplaceTempView(name)
+    try:
+        return spark.sql(sql)
+    finally:
+        for name, before in held.items():
+            spark.catalog.dropTempView(name)
+            if before is not None:
+                before.createOrReplaceTempView(name)
+
+
 def answer_sql(
     spark: SparkSession,
     sql: str,
     tables: dict[str, DataFrame] | None = None,
     confirm: bool = False,
-    limit: int | None = ANSWER_ROWS,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Judges a statement and hands it to Spark SQL, the tables registered as views.
+    """Judges a statement and hands it to Spark SQL, the tables registered as views until it is planned.
 
-    A SELECT that does not end in a LIMIT is answered with its first ``limit`` rows; ``limit=None``
-    answers in full.
+    What the text says is checked against the plan that Spark's parser makes of it: a statement that reads like a query
+    and holds an insert or a command is refused. Answers are whole; with ``limit``, a SELECT that does not end in a LIMIT of
+    its own is answered with so many of its first rows.
     """
     judged = classify_statements(spark.range(1).select(F.lit(sql).alias("sql")), "sql")
     ends_limited = F.lower(strip_literals(F.col("sql"))).rlike(r"\blimit \w+( offset \w+)? ?;*\z")
@@ -41,9 +76,10 @@ def answer_sql(
         raise Refused(verdict["malformed"])
     if not verdict["ok"]:
         raise Refused(verdict["reason"])
+    statement = sql.strip().rstrip("; \n\t")
+    if verdict["kind"] == "read" and changes_data(spark, statement):
+        raise Refused("the statement reads like a query and changes data")
     if verdict["needs_confirmation"] and not confirm:
         raise NeedsConfirmation(f"this changes data and was not run: {sql}")
-    for name, table in (tables or {}).items():
-        table.createOrReplaceTempView(name)
-    answer = spark.sql(sql.strip().rstrip("; \n\t"))
+    answer = _run(spark, statement, tables or {})
     return answer.limit(limit) if limit is not None and verdict["rows"] and not verdict["limited"] else answer

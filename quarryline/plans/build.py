@@ -28,15 +28,17 @@ def build_layers(
     dimension: str | None = None,
     measure: str | None = None,
     aggregation: str = "COUNT",
+    approx: bool = False,
 ) -> Layers:
     """Text columns typed and stored as ``<name>_bronze``, ``_silver`` and ``_gold``.
 
     Every layer is read back from its table, so nothing is computed twice and a lost executor
-    costs no more than the layer at hand.
+    costs no more than the layer at hand. ``approx`` chooses the dimension by sketches of the
+    distinct values, for tables where exact counts are too much.
     """
     typed = cast_typed(text, collect_types(infer_types(text)))
     bronze = load_bronze(typed, name, source, mode)
     silver = replace_table(promote_silver(bronze, key), f"{name}_silver")
-    chosen = dimension or choose_dimension(silver)
+    chosen = dimension or choose_dimension(silver, approx)
     gold = replace_table(promote_gold(silver, chosen, measure, aggregation), f"{name}_gold")
     return Layers(bronze, silver, gold, chosen)

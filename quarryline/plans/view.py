@@ -138,7 +138,7 @@ def view_query(df: DataFrame, spec: ChartSpec) -> DataFrame:
     if spec.chart_type == "pie":
         return share_of_total(df, spec.dimension, spec.measure, aggregation)
     if spec.chart_type == "scatter":
-        return scatter_points(df, spec.dimension, spec.measure, spec.measure2, aggregation)
+        return scatter_points(df, spec.dimension, spec.measure, spec.measure2, aggregation, spec.color_field)
     return category(df, spec.dimension, spec.measure, aggregation, spec.color_field)
 
 

@@ -75,13 +75,14 @@ def _sent(spark, sf) -> DataFrame:
 _COMMANDS_SQL = """
 WITH commands AS (
   SELECT event_id AS seq, 'cmd_' || event_id || '_' || user_id AS command_id,
-         CASE event_type WHEN 'signup' THEN 'clear' ELSE 'set_filter' END AS action,
-         CASE event_type WHEN 'purchase' THEN 'Stages' ELSE 'Orders' END AS worksheet,
-         CASE event_type WHEN 'view' THEN 'o_orderstatus' WHEN 'click' THEN 'o_orderpriority' ELSE 'Stage' END AS field,
+         CASE event_type WHEN 'error' THEN 'not json' ELSE 'ok' END AS status,
+         CASE event_type WHEN 'error' THEN NULL WHEN 'signup' THEN 'clear' ELSE 'set_filter' END AS action,
+         CASE event_type WHEN 'error' THEN NULL WHEN 'purchase' THEN 'Stages' ELSE 'Orders' END AS worksheet,
+         CASE event_type WHEN 'view' THEN 'o_orderstatus' WHEN 'click' THEN 'o_orderpriority' WHEN 'error' THEN NULL ELSE 'Stage' END AS field,
          CASE event_type WHEN 'view' THEN ['F', 'O', 'P'][user_id % 3 + 1]
                          WHEN 'click' THEN CASE WHEN user_id % 2 = 0 THEN '2-HIGH' ELSE '5-LOW' END
-                         WHEN 'purchase' THEN props ELSE CAST(value AS VARCHAR) END AS value
-  FROM events WHERE event_type <> 'error')"""
+                         WHEN 'purchase' THEN props WHEN 'error' THEN NULL ELSE CAST(value AS VARCHAR) END AS value
+  FROM events)"""
 
 
 def _since(spark, sf):
@@ -107,6 +108,21 @@ def _filters(spark, sf):
     return apply_filters(orders, commands, "Orders", ["o_orderstatus", "o_orderpriority"])
 
 
+def _typed_filters(spark, sf):
+    """A number, a day and a text, each set by commands as text; the field's case differs."""
+    sent = spark.range(4).select(
+        F.col("id").alias("seq"),
+        F.lit("set_filter").alias("action"),
+        F.lit("Lines").alias("worksheet"),
+        F.element_at(F.array(*map(F.lit, ("L_QUANTITY", "l_shipdate", "l_returnflag", "l_quantity"))), F.col("id").cast("int") + 1).alias("field"),
+        F.element_at(F.array(*map(F.lit, ("7", "1998-03-01", "N", "10"))), F.col("id").cast("int") + 1).alias("value"),
+    )
+    lines = table(spark, sf, "lineitem")
+    by_number = apply_filters(lines, sent.where("field <> 'l_shipdate'"), "Lines")
+    by_day = apply_filters(lines, sent.where("field = 'l_shipdate'"), "Lines")
+    return by_number.withColumn("by", F.lit("number")).unionByName(by_day.withColumn("by", F.lit("day")))
+
+
 _FILTERS_SQL = (
     _COMMANDS_SQL
     + """,
@@ -121,22 +137,23 @@ WHERE o_orderstatus = coalesce((SELECT value FROM in_force WHERE field = 'o_orde
 def _script_sql(source: str, part: str) -> str:
     return f"""
 WITH turns AS ({source}),
-spoken AS (SELECT *, {part} AS part, CASE WHEN role IN ('user', 'human') THEN 'You: ' ELSE 'Agent: ' END || text AS line
-           FROM turns WHERE text <> '')
-SELECT conv_id, part, string_agg(line, chr(10) ORDER BY turn) AS transcript, count(*) AS n_lines FROM spoken GROUP BY 1, 2
+lines AS (SELECT *, CASE WHEN role IN ('user', 'human') THEN 'You: ' ELSE 'Agent: ' END || text AS line
+          FROM turns WHERE text <> ''),
+spoken AS (SELECT *, {part} AS part FROM lines)
+SELECT conv_id, part, string_agg(line, chr(10) ORDER BY turn NULLS FIRST, line) AS transcript, count(*) AS n_lines FROM spoken GROUP BY 1, 2
 UNION ALL
 SELECT DISTINCT conv_id, 0, '_(empty transcript)_', 0 FROM turns WHERE conv_id NOT IN (SELECT conv_id FROM spoken)"""
 
 
 CHECKS = {
-    "transcripts": Check(_transcripts, _script_sql("SELECT * FROM conversations", "turn // 10000")),
+    "transcripts": Check(_transcripts, _script_sql("SELECT * FROM conversations", "((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, line)) - 1) // 10000")),
     "transcripts_long": Check(
         _long_transcripts,
         _script_sql(
             """SELECT user_id % 3 AS conv_id, event_id AS turn,
                       CASE WHEN user_id % 2 = 0 THEN 'human' ELSE 'assistant' END AS role,
                       CASE WHEN event_type <> 'error' THEN event_type || ' ' || props ELSE '' END AS text FROM events""",
-            "turn // 1000",
+            "((row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, line)) - 1) // 1000",
         ),
     ),
     "spoken_digest": Check(
@@ -154,4 +171,9 @@ CHECKS = {
     ),
     "commands_since": Check(_since, _SINCE_SQL),
     "apply_filters": Check(_filters, _FILTERS_SQL),
+    "apply_filters_typed": Check(
+        _typed_filters,
+        """SELECT *, 'number' AS by FROM lineitem WHERE l_quantity = 10 AND l_returnflag = 'N'
+           UNION ALL SELECT *, 'day' FROM lineitem WHERE l_shipdate = TIMESTAMP '1998-03-01'""",
+    ),
 }

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.rows import count_per_group, delete_rows, last_n_per_user, preview, top_k, update_rows
 from ..plans.answer import answer_sql
+from ..sources.tables import load_flat, rewrite_table
+from .ingest import new_schema
 from .base import Check, table
 
 _QUESTION = """
@@ -21,7 +23,7 @@ def _answer(spark, sf):
 
 def _answer_top(spark, sf):
     question = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey"
-    return answer_sql(spark, question, {"orders": table(spark, sf, "orders")})
+    return answer_sql(spark, question, {"orders": table(spark, sf, "orders")}, limit=100)
 
 
 _PREDICATE = "value < 20 AND event_type <> 'view'"
@@ -38,6 +40,17 @@ def _update(spark, sf):
     return update_rows(events, {"value": "round(value * 2, 2)", "event_type": "concat(event_type, '_low')"}, _PREDICATE)
 
 
+def _stored(spark, sf, assignments=None):
+    """Events stored, changed where they are, and read back with the count of rows concerned."""
+    name = f"{new_schema(spark, 'stored')}.events"
+    load_flat(table(spark, sf, "events").select("event_id", "event_type", "value"), name)
+    affected = rewrite_table(spark, name, _PREDICATE, assignments, confirm=True)
+    return spark.table(name).withColumn("affected", F.lit(affected).cast("bigint"))
+
+
+_AFFECTED = f"(SELECT count(*) FROM events WHERE {_PREDICATE}) AS affected"
+
+
 def _last_n(spark, sf):
     return last_n_per_user(table(spark, sf, "events"), "user_id", ["ts", "event_id"])
 
@@ -49,6 +62,14 @@ def _last_executed(spark, sf):
 
 
 CHECKS = {
+    "delete_stored": Check(
+        _stored, f"SELECT event_id, event_type, value, {_AFFECTED} FROM events WHERE ({_PREDICATE}) IS NOT TRUE"
+    ),
+    "update_stored": Check(
+        lambda spark, sf: _stored(spark, sf, {"value": "round(value * 2, 2)"}),
+        f"""SELECT event_id, event_type, CASE WHEN {_PREDICATE} THEN round(value * 2, 2) ELSE value END AS value, {_AFFECTED}
+            FROM events""",
+    ),
     "answer_sql": Check(_answer, _QUESTION),
     "answer_sql_default_limit": Check(
         _answer_top, "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 100"

@@ -34,6 +34,9 @@ _TEMPLATES = (
     ("-- ", ""),
     ("'--'; select \"", "\" "),
     ("EXPLAIN SELECT 'it\\'s ", "' ; ; "),
+    ("WITH x AS (SELECT r'\\' AS p, '", "' AS q) INSERT OVERWRITE t SELECT concat(p, 'y') FROM x"),
+    ("WITH x AS (SELECT '", "' AS p) /* /* */ ' */ INSERT OVERWRITE t SELECT p FROM x --'"),
+    ("WITH x AS (SELECT '", "' AS p) --\rINSERT OVERWRITE t SELECT p FROM x"),
 )
 
 
@@ -57,12 +60,13 @@ _CASES = " ".join(
 _BLANKS = "' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)"
 _STATEMENTS_SQL = f"""
 WITH statements AS (SELECT event_id, user_id, ts, CASE event_id % {len(_TEMPLATES)} {_CASES} END AS sql FROM events)"""
+# Literals and comments, verbs and empty literals, as on the other side.
 _STRIPPED = r"""trim(regexp_replace(regexp_replace(sql,
-    '''(?:[^''\\]|\\[\s\S])*''|"(?:[^"\\]|\\[\s\S])*"|/\*[\s\S]*?\*/|--[^\n]*|#[^\n]*', ' ', 'g'), '\s+', ' ', 'g'))"""
+    '\b[rR]''[^'']*''|''(?:[^''\\]|\\[\s\S])*''|"(?:[^"\\]|\\[\s\S])*"|/\*[\s\S]*?\*/|--(?:[^\r\n\\]|\\\n|\\)*|#[^\r\n]*', ' ', 'g'), '\s+', ' ', 'g'))"""
 _VERBS = "drop delete truncate alter update rename replace grant revoke merge copy vacuum optimize insert".split()
 _HIDDEN = " ".join(f"WHEN regexp_matches(s, '(?i)\\b{v}\\b\\s*([^\\s(]|$)') THEN '{v}'" for v in _VERBS)
 _JUDGED_SQL = f"""
-parts AS (SELECT *, [trim(x) for x in string_split({_STRIPPED}, ';') if trim(x) <> ''] AS list FROM statements),
+parts AS (SELECT *, regexp_matches(sql, '/\\*[^*]*/\\*') AS unfollowed, [trim(x) for x in string_split({_STRIPPED}, ';') if trim(x) <> ''] AS list FROM statements),
 single AS (SELECT *, len(list) AS n, coalesce(list[1], '') AS s FROM parts),
 verbs AS (SELECT *, lower(regexp_extract(s, '(?i)^[a-z_]+')) AS verb FROM single),
 kinds AS (SELECT *, CASE
@@ -75,8 +79,9 @@ kinds AS (SELECT *, CASE
     ELSE 'unknown' END AS raw_kind, CASE {_HIDDEN} END AS verb_inside FROM verbs),
 hidden AS (SELECT *, CASE WHEN raw_kind = 'read' THEN verb_inside END AS smuggled,
     raw_kind = 'read' AND regexp_matches(s, '(?i)\\binto\\s+(outfile|dumpfile)\\b') AS to_file FROM kinds),
-judged AS (SELECT *, CASE WHEN smuggled IS NOT NULL OR to_file THEN 'destructive' ELSE raw_kind END AS kind, CASE
+judged AS (SELECT *, CASE WHEN unfollowed THEN 'unknown' WHEN smuggled IS NOT NULL OR to_file THEN 'destructive' ELSE raw_kind END AS kind, CASE
     WHEN trim(sql) = '' THEN 'empty SQL'
+    WHEN unfollowed THEN 'comments or names that may hide code'
     WHEN n = 0 THEN 'no executable statement'
     WHEN n > 1 THEN n || ' statements at once; send one'
     WHEN raw_kind = 'unknown' THEN 'unrecognised statement type: "' || verb || '"'

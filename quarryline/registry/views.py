@@ -69,7 +69,7 @@ def _geo(spark, sf):
 
 
 def _crosstab(spark, sf):
-    cells = crosstab(table(spark, sf, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity", values=["A", "N", "R"])
+    cells = crosstab(table(spark, sf, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity")
     return _rounded(cells, "A", "N", "R")
 
 

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: int | str = "*", app: str = "quarryline") -> SparkSession:
+def local_session(cpus: int | str = "*", app: str = "quarryline", settings: dict[str, str] | None = None) -> SparkSession:
     """A single-machine session for tests and the benchmark.
 
     A cluster brings its own session; nothing in the library depends on these settings.
@@ -22,6 +22,7 @@ def local_session(cpus: int | str = "*", app: str = "quarryline") -> SparkSessio
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.adaptive.enabled", "true")
+        .config(map=settings or {})
         .getOrCreate()
     )
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rows import delete_rows, update_rows
+
 INGESTED_AT = "_ingested_at"
 SOURCE = "_source"
 
@@ -104,19 +104,29 @@ def load_flat(df: DataFrame, name: str, mode: str = "replace") -> tuple[int, int
 
 
 def rewrite_table(
-    spark: SparkSession, table: str, change: Callable[[DataFrame], DataFrame], predicate: str, confirm: bool = False
+    spark: SparkSession, table: str, predicate: str, assignments: dict[str, str] | None = None, confirm: bool = False
 ) -> int:
-    """Copy-on-write change of a stored table; returns how many rows the predicate held for.
+    """Copy-on-write change of a stored table: the rows the predicate holds for are deleted or, with ``assignments``,
+    updated. Returns how many they were, counted as the new copy is written.
 
-    The new copy is complete before the old one goes, so a lost job leaves one of them whole.
+    The old copy keeps its data under ``<table>__old`` until the new one has its name, and gets its name back if that fails.
     """
     if not confirm:
         raise PermissionError(f"changing `{table}` needs confirmation")
-    rows = spark.table(table)
-    affected = rows.filter(predicate).count()
-    if affected:
-        staged = f"{table}__next"
-        replace_table(change(rows), staged)
-        spark.sql(f"DROP TABLE {_quoted(table)}")
+    rows, met = spark.table(table), Observation()
+    counted = rows.observe(met, F.count_if(F.expr(predicate)).alias("n"))
+    staged, old = f"{table}__next", f"{table}__old"
+    replace_table(delete_rows(counted, predicate) if assignments is None else update_rows(counted, assignments, predicate), staged)
+    affected = met.get["n"]
+    if not affected:
+        spark.sql(f"DROP TABLE {_quoted(staged)}")
+        return 0
+    spark.sql(f"DROP TABLE IF EXISTS {_quoted(old)}")
+    spark.sql(f"ALTER TABLE {_quoted(table)} RENAME TO {_quoted(old)}")
+    try:
         spark.sql(f"ALTER TABLE {_quoted(staged)} RENAME TO {_quoted(table)}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {_quoted(old)} RENAME TO {_quoted(table)}")
+        raise
+    spark.sql(f"DROP TABLE {_quoted(old)}")
     return affected

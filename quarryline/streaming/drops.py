@@ -13,16 +13,16 @@ from ..sources.tables import with_lineage
 
 
 def stream_bronze(
-    spark: SparkSession, folder: str, types: dict[str, str], out: str, checkpoint: str, multi_line: bool = True
+    spark: SparkSession, folder: str, types: dict[str, str], out: str, checkpoint: str, multi_line: bool = False
 ) -> None:
     """Loads the CSV files not yet loaded into the Parquet table at ``out``, with lineage, then returns.
 
-    ``types`` are the inferred types by column, in file order. The checkpoint remembers which files
-    are done, so running again loads none twice, also after a crash in the middle. Where no cell
-    spans lines, ``multi_line=False`` lets tasks share large files.
+    ``types`` are the inferred types by column, in file order; a file whose header says otherwise stops the stream before
+    any of its rows are loaded. The checkpoint remembers which files are done, so running again loads none twice, also
+    after a crash in the middle. Only where cells span lines, ``multi_line=True`` is needed; each file is one task then.
     """
     schema = T.StructType([T.StructField(name, T.StringType()) for name in types])
-    files = spark.readStream.schema(schema).options(**DIALECT, multiLine=multi_line).csv(folder, header=True)
+    files = spark.readStream.schema(schema).options(**DIALECT, multiLine=multi_line).csv(folder, header=True, enforceSchema=False)
     cells = files.select(
         *[F.nullif(F.col(f"`{name}`"), F.lit("")).alias(name) for name in types],
         F.col("_metadata.file_name").alias("_file"),

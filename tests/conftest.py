@@ -5,13 +5,9 @@ from quarryline.session import local_session
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from pyspark.sql import SparkSession
-
     base = tmp_path_factory.mktemp("spark")
-    SparkSession.builder.config("spark.sql.warehouse.dir", str(base / "warehouse")).config(
-        "spark.checkpoint.dir", str(base / "checkpoint")
-    )
-    session = local_session(4)
+    folders = {"spark.sql.warehouse.dir": str(base / "warehouse"), "spark.checkpoint.dir": str(base / "checkpoint")}
+    session = local_session(4, settings=folders)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarryline.operators.audit import classify_statements, degenerate_sql, review_replies, split_statements, strip_literals
-from quarryline.plans.answer import NeedsConfirmation, Refused, answer_sql
+from quarryline.plans.answer import NeedsConfirmation, Refused, answer_sql, changes_data
 
 VERDICTS = [
     ("SELECT 1", True, "read"),
@@ -140,15 +140,45 @@ def test_replies(rows):
 
 def test_answers(spark, rows):
     tables = {"numbers": spark.range(500).withColumnRenamed("id", "n")}
-    assert answer_sql(spark, "SELECT n FROM numbers;", tables).count() == 100
-    assert answer_sql(spark, "SELECT n FROM numbers LIMIT 300", tables).count() == 300
-    assert answer_sql(spark, "SELECT n FROM numbers", tables, limit=None).count() == 500
-    assert answer_sql(spark, "SELECT n FROM (SELECT n FROM numbers LIMIT 400)", tables).count() == 100
+    assert answer_sql(spark, "SELECT n FROM numbers;", tables).count() == 500
+    assert answer_sql(spark, "SELECT n FROM numbers;", tables, limit=100).count() == 100
+    assert answer_sql(spark, "SELECT n FROM numbers LIMIT 300", tables, limit=100).count() == 300
+    assert answer_sql(spark, "SELECT n FROM (SELECT n FROM numbers LIMIT 400)", tables, limit=100).count() == 100
     assert answer_sql(spark, "SELECT count(*) AS c FROM numbers", tables).first().c == 500
     assert "numbers" in {r.tableName for r in answer_sql(spark, "SHOW TABLES", tables).collect()}
     assert answer_sql(spark, "DESCRIBE numbers", tables).first().col_name == "n"
 
 
+def test_views_are_the_callers_again(spark):
+    spark.range(3).createOrReplaceTempView("numbers")
+    answer = answer_sql(spark, "SELECT * FROM numbers", {"numbers": spark.range(5), "others": spark.range(1)})
+    assert answer.count() == 5 and spark.table("numbers").count() == 3
+    assert not spark.catalog.tableExists("others")
+    spark.catalog.dropTempView("numbers")
+
+
+HIDDEN = [
+    "WITH x AS (SELECT r'\\' AS p) INSERT OVERWRITE {t} SELECT concat(p, 'y') FROM x",
+    "WITH x AS (SELECT 'n' AS p) /* /* */ ' */ INSERT OVERWRITE {t} SELECT p FROM x --'",
+    "WITH x AS (SELECT 'c' AS p) --\rINSERT OVERWRITE {t} SELECT p FROM x",
+    "WITH x AS (SELECT 'c' AS p) -- \\\n '\nINSERT OVERWRITE {t} SELECT p FROM x --'",
+    "WITH x AS (SELECT 'c' AS `a'b`) INSERT OVERWRITE {t} SELECT * FROM x --'",
+]
+
+
+@pytest.mark.parametrize("text", HIDDEN)
+def test_hidden_inserts_are_refused(spark, rows, schema, text):
+    name = f"{schema}.t"
+    answer_sql(spark, f"CREATE TABLE {name} USING parquet AS SELECT 'kept' AS p")
+    sql = text.format(t=name)
+    assert changes_data(spark, sql)
+    judged = classify_statements(rows([(sql,)], "sql string"), "sql").first()
+    assert not judged.ok and judged.kind != "read"
+    with pytest.raises(Refused):
+        answer_sql(spark, sql)
+    assert [r.p for r in spark.table(name).collect()] == ["kept"]
+
+
 def test_refusals(spark, schema):
     for sql in ("SELECT 1; DROP TABLE t", "CREATE USER bob", "", "SELECT * FROM t WHERE c IN ('', '')"):
         with pytest.raises(Refused):

@@ -58,6 +58,23 @@ def test_scatter(visits):
     assert as_set(scatter_points(visits, None, "user")) == {(11, 11)}
 
 
+def test_scatter_keeps_its_colour(visits):
+    points = scatter_points(visits, "channel", "spent", "user", color="country")
+    assert points.columns == ["channel", "country", "x", "y"]
+
+
+def test_share_of_a_total_of_zero(rows):
+    found = share_of_total(rows([("a", 5), ("b", -5)], "g string, v int"), "g", "v").collect()
+    assert [r.share for r in found] == [None, None]
+
+
+def test_crosstab_refuses_to_lose_values(rows):
+    cells = rows([("r", "A", 1), ("r", "B", 2), ("r", None, 3)], "g string, c string, v int")
+    assert set(crosstab(cells, "g", "c", "v").columns) == {"g", "A", "B", "null"}
+    with pytest.raises(Exception, match="no column for"):
+        crosstab(cells, "g", "c", "v", values=["A"]).collect()
+
+
 def test_shelves(visits):
     layout = [ShelfField("at", "tmonth"), ShelfField("channel"), ShelfField("spent", "sum"), ShelfField("user", "cntd")]
     found = shelf_query(visits.filter("at is not null"), layout)

@@ -1,5 +1,6 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarryline.operators.commands import apply_filters, commands_since, normalize_commands
@@ -33,7 +34,7 @@ def test_a_long_conversation_goes_on_in_parts(spark):
         "if(id % 3 = 0, -1, id) as conv_id", "id as turn", "'user' as role", "string(id) as text"
     )
     parts = transcripts(turns, turns_per_part=500).filter("conv_id = -1").orderBy("part").collect()
-    assert len(parts) == 18
+    assert len(parts) == 6
     assert "\n".join(p.transcript for p in parts) == "\n".join(f"You: {i}" for i in range(0, 9000, 3))
 
 
@@ -73,8 +74,9 @@ def sent(rows, bodies):
 
 def test_normalize(rows):
     found = normalize_commands(sent(rows, [b for b, _ in BODIES] + ["oops"])).orderBy("seq").collect()
-    assert [tuple(r)[2:] for r in found] == [expected for _, expected in BODIES]
-    assert [r.seq for r in found] == list(range(len(BODIES)))
+    wanted = [("ok", *expected) for _, expected in BODIES] + [("not json", None, None, None, None)]
+    assert [tuple(r)[2:] for r in found] == wanted
+    assert [r.seq for r in found] == list(range(len(BODIES) + 1))
 
 
 def test_since(rows):
@@ -82,6 +84,9 @@ def test_since(rows):
     assert [r.seq for r in commands_since(commands, "cmd_0").orderBy("seq").collect()] == [1, 2]
     assert commands_since(commands, "cmd_2").count() == 0
     assert commands_since(commands, "cmd_9").count() == 3
+    odd = commands.withColumn("seq", F.when(F.col("seq") == 0, -5).when(F.col("seq") == 1, None).otherwise(F.col("seq")))
+    assert commands_since(odd, "cmd_9").count() == 3
+    assert {r.command_id for r in commands_since(odd, "cmd_0").collect()} == {"cmd_2"}
 
 
 def test_filters(rows):
@@ -104,15 +109,49 @@ def test_filters(rows):
     assert left(command("stage", "Won"), command("size", 2), fields=["size"]) == {("Lost", 2, "x"), ("Won", 2, None)}
 
 
+def test_filters_by_type_reach_the_scan(spark, rows, tmp_path):
+    data = [(10.0, "2026-01-01", "a"), (7.0, "2026-01-02", "b"), (None, None, None)]
+    rows(data, "n double, d string, t string").withColumn("d", F.col("d").cast("timestamp")).write.parquet(str(tmp_path / "t"))
+    deals = spark.read.parquet(str(tmp_path / "t"))
+
+    def left(field, value):
+        body = {"action": "set_filter", "worksheet": "W", "field": field, "value": value}
+        return apply_filters(deals, normalize_commands(sent(rows, [body])), "W")
+
+    assert [r.t for r in left("n", "10").collect()] == ["a"]
+    assert [r.t for r in left("D", "2026-01-02").collect()] == ["b"]
+    assert left("n", "many").count() == 0
+    assert "EqualTo(n,10.0)" in left("N", "10")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_transcripts_go_by_position(rows):
+    turns = [(1, 9999, "user", "b"), (1, 10000, "user", "c"), (1, None, "user", "a"), (1, 9999, "human", "a"), (None, 1, "x", "q")]
+    found = {r.conv_id: r for r in transcripts(rows(turns, "conv_id long, turn long, role string, text string")).collect()}
+    assert found[1].transcript == "You: a\nYou: a\nYou: b\nYou: c" and (found[1].part, found[1].n_lines) == (0, 4)
+    assert found[None].transcript == "Agent: q"
+
+
+def test_a_stream_refuses_another_header(spark, tmp_path):
+    drop = tmp_path / "drop"
+    drop.mkdir()
+    (drop / "a.csv").write_text("id,qty\n1,10\n")
+    arguments = (spark, str(drop), {"id": "INT", "qty": "INT"}, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+    stream_bronze(*arguments)
+    (drop / "b.csv").write_text("qty,id\n20,2\n")
+    with pytest.raises(Exception, match="b.csv"):
+        stream_bronze(*arguments)
+    assert [tuple(r)[:2] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [(1, 10)]
+
+
 def test_stream_bronze(spark, tmp_path):
     drop, out, checkpoint = tmp_path / "drop", str(tmp_path / "bronze"), str(tmp_path / "checkpoint")
     drop.mkdir()
     types = {"id": "INT", "note": "VARCHAR(32)"}
     (drop / "a.csv").write_text('id,note\n1,"x\ny"\n,\n2,\n')
-    stream_bronze(spark, str(drop), types, out, checkpoint)
+    stream_bronze(spark, str(drop), types, out, checkpoint, multi_line=True)
     (drop / "b.csv").write_text("id,note\n3,z\n")
     for _ in range(2):
-        stream_bronze(spark, str(drop), types, out, checkpoint)
+        stream_bronze(spark, str(drop), types, out, checkpoint, multi_line=True)
     bronze = spark.read.parquet(out)
     assert {tuple(r) for r in bronze.select("id", "note", "_source").collect()} == {
         (1, "x\ny", "a.csv"), (2, None, "a.csv"), (3, "z", "b.csv"),

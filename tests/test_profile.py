@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 from quarryline.operators.profile import (
     column_kinds,
     daily_counts,
+    daily_verdict,
     distinct_counts,
+    distribution_verdict,
     list_columns,
     profile_namespace,
     profile_table,
@@ -61,16 +63,30 @@ def test_few_unique_values_are_not_a_distribution(rows):
     assert [k.kind for k in column_kinds(df)] == ["unique", "unique"]
 
 
-def test_wide_tables_are_counted_alike(spark, sales, monkeypatch):
+def test_distinct_counts_equal_sparks(spark, sales):
     data = [(0.0, "a", True, 0), (-0.0, "a", None, 1), (float("nan"), "", False, None), (None, None, True, 1)]
     odd = spark.createDataFrame(data, "d double, s string, b boolean, n int").withColumn(
         "t", F.timestamp_seconds(F.lit(1761433200) + 3600 * F.col("n"))
     )
-    for table in (sales, odd, odd.limit(0)):
-        narrow = sorted(map(tuple, distinct_counts(table).collect()))
-        monkeypatch.setattr("quarryline.operators.profile.WIDE_TABLE", 0)
-        assert sorted(map(tuple, distinct_counts(table).collect())) == narrow
-        monkeypatch.undo()
+    nested = odd.select(F.array("s", "s").alias("a"), F.struct("b", "n").alias("r"), F.encode("s", "utf-8").alias("raw"))
+    for table in (sales, odd, odd.limit(0), nested):
+        plain = table.agg(*[F.count_distinct(c) for c in table.columns]).first()
+        assert [r.distinct_values for r in distinct_counts(table).orderBy("position").collect()] == list(plain)
+
+
+def test_verdicts_see_all_values_and_days(spark):
+    rows = spark.range(123).selectExpr("if(id < 120, id % 12, id) as v")  # 12 values of 10 rows, 3 of one
+    found = distribution_verdict(rows, ["v"]).first()
+    assert found.varies and found.spread > 0 and found.shown.endswith("9=10 and 3 more")
+    assert [r.column for r in rank_dimensions(rows.selectExpr("cast(v as string) as v")).collect()] == ["v"]
+    days = spark.range(100).selectExpr("date_add(date'2026-01-01', cast(id as int)) as d")
+    verdict = daily_verdict(days.union(days.where("d = date'2026-04-10'")), ["d"]).first()
+    assert (verdict.n_days, verdict.varies, str(verdict.last_day)[:10]) == (100, True, "2026-04-10")
+
+
+def test_the_two_zeros_are_one_value(rows):
+    found = value_distribution(rows([(0.0,), (-0.0,), (1.0,)], "v double"), ["v"]).collect()
+    assert {(r.value, r.count_rows) for r in found} == {("0.0", 2), ("1.0", 1)}
 
 
 def test_approximate_counts_are_close(sales):
@@ -91,9 +107,9 @@ def test_distribution_shows_null_and_the_top_only(spark):
     assert len(found) == 12 and (found[0].value, found[0].count_rows) == ("null", 50)
 
 
-def test_only_the_first_days_are_judged(spark):
+def test_a_listing_of_days_can_be_cut(spark):
     df = spark.range(100).selectExpr("date_add(date'2026-01-01', cast(id as int)) as d")
-    days = daily_counts(df.union(df.filter("d > date'2026-03-15'")), ["d"])
+    days = daily_counts(df.union(df.filter("d > date'2026-03-15'")), ["d"], limit=60)
     assert days.count() == 60 and days.filter("count_rows <> 1").count() == 0
 
 

@@ -77,11 +77,29 @@ def test_rewrite(spark, rows, schema):
     name = f"{schema}.t"
     load_flat(rows([(1, 10), (2, 20), (3, None)], "id int, v int"), name)
     with pytest.raises(PermissionError):
-        rewrite_table(spark, name, lambda t: delete_rows(t, "v > 15"), "v > 15")
-    assert rewrite_table(spark, name, lambda t: delete_rows(t, "v > 15"), "v > 15", confirm=True) == 1
+        rewrite_table(spark, name, "v > 15")
+    assert rewrite_table(spark, name, "v > 15", confirm=True) == 1
     assert {tuple(r) for r in spark.table(name).collect()} == {(1, 10), (3, None)}
-    assert rewrite_table(spark, name, lambda t: update_rows(t, {"v": "v + 1"}, "id = 1"), "id = 1", confirm=True) == 1
+    assert rewrite_table(spark, name, "id = 1", {"v": "v + 1"}, confirm=True) == 1
     assert {tuple(r) for r in spark.table(name).collect()} == {(1, 11), (3, None)}
+    assert rewrite_table(spark, name, "id = 99", confirm=True) == 0
+    assert {t.name for t in spark.catalog.listTables(schema)} == {"t"}
+
+
+def test_a_failed_swap_leaves_the_old_table(spark, rows, schema, monkeypatch):
+    name = f"{schema}.t"
+    load_flat(rows([(1, 10), (2, 20)], "id int, v int"), name)
+    run = type(spark).sql
+
+    def failing(self, text, *args, **kwargs):
+        if "__next" in text and "RENAME" in text:
+            raise RuntimeError("lost")
+        return run(self, text, *args, **kwargs)
+
+    monkeypatch.setattr(type(spark), "sql", failing)
+    with pytest.raises(RuntimeError):
+        rewrite_table(spark, name, "id = 1", confirm=True)
+    assert {tuple(r) for r in spark.table(name).collect()} == {(1, 10), (2, 20)}
 
 
 def test_update_sees_old_values(rows):
