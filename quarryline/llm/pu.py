@@ -55,8 +55,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         mean = 0.9 * mean + 0.1 * gradient
         square = 0.999 * square + 0.001 * gradient * gradient
         w = w - rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
-    # the risk is flat around its best bias: go half way to where as many unlabelled texts are positive as the prior says
-    bias = best[-1] - np.quantile(u @ best, 1 - prior) / 2
+    # the risk is flat around its best bias: take the one by which as many unlabelled texts are positive as the prior says
+    bias = best[-1] - np.quantile(u @ best, 1 - prior)
     return Linear(best[:-1].astype(np.float64), float(bias))
 
 
