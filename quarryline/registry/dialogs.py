@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..operators.commands import apply_filters, commands_since, normalize_commands
 from ..operators.dialog import spoken_digest, transcripts
+from ..session import workspace
+from ..streaming.drops import stream_commands
 from .base import Check, table
 
 
@@ -103,6 +105,16 @@ UNION ALL SELECT *, 'unknown' FROM commands"""
 )
 
 
+def _streamed(spark, sf):
+    """Commands dropped in two goes and read as a stream after each; a third run finds nothing new."""
+    folder = workspace(spark, "commands")
+    for half in (0, 1, None):
+        if half is not None:
+            _sent(spark, sf).where(F.col("seq") % 2 == half).write.mode("append").json(f"{folder}/in")
+        stream_commands(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint")
+    return spark.read.parquet(f"{folder}/out")
+
+
 def _filters(spark, sf):
     orders, commands = table(spark, sf, "orders"), normalize_commands(_sent(spark, sf))
     return apply_filters(orders, commands, "Orders", ["o_orderstatus", "o_orderpriority"])
@@ -169,6 +181,7 @@ CHECKS = {
     "normalize_commands": Check(
         lambda spark, sf: normalize_commands(_sent(spark, sf)), _COMMANDS_SQL + " SELECT * FROM commands"
     ),
+    "stream_commands": Check(_streamed, _COMMANDS_SQL + " SELECT * FROM commands"),
     "commands_since": Check(_since, _SINCE_SQL),
     "apply_filters": Check(_filters, _FILTERS_SQL),
     "apply_filters_typed": Check(
