@@ -6,7 +6,7 @@ less than independent hashes would. Ranks are dealt one after the other, and a d
 rank can lower a slot: usually after one or two.
 
 Classes that share a band are candidates. Large buckets are not paired out: each member is compared with the hub of its
-bucket, the least of its classes, and what it has otherwise than the hub is kept. Two members of a bucket that are not
+bucket, its most shared member, and what it has otherwise than the hub is kept. Two members of a bucket that are not
 both linked to the hub can only be similar if they share enough of these differences, so the rest is a set join on
 differences with a prefix and a position filter, the rarest difference first. It drops no similar pair: with o shared
 differences, d missing and a added ones of each, and h shingles of the hub, similarity 0.75 means
@@ -188,7 +188,10 @@ def _compare(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _links(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Links between classes that give the same components as all similar pairs which share a band."""
-    hubs = members.groupBy("key").agg(F.min("id").alias("a"))
+    # the hub of a bucket is the member that shares most bands with others: near the middle, so differences from it are few
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
+    degrees = members.join(sizes, "key").groupBy("id").agg(F.sum("n").alias("degree"))
+    hubs = members.join(degrees, "id").groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("a"))
     stars = _compare(members.join(hubs, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct(), texts)
     links = stars.where("similar").select("a", "b")
     others = _compare(_by_differences(stars, components(links)), texts)
