@@ -1,8 +1,10 @@
 """Main text of web pages, without what their site puts on every page.
 
-Each page is read once into pieces of text under a tree of elements. What the markup itself calls furniture (menus,
-adverts, forms and the like) goes. Of the rest, every element with text is hashed as a subtree, Spark counts on how many
-different pages of its host a subtree stands, and subtrees that recur on most of them go too.
+Each page is read into pieces of text under a tree of elements. What the markup itself calls furniture (menus, adverts,
+forms and the like) goes. Every element with text is hashed as a subtree, furniture too, and Spark counts on how many
+different pages a subtree stands and beside how many different stories. It is compared with what else stands at its
+position, in its section and on its host, so that a notice in a place of its own is template on however small a part of
+a host, and a line that articles share is not. Near copies of one article are one story.
 """
 
 from __future__ import annotations
@@ -12,14 +14,21 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.llm.words import mix, normal, shingles
 from quarryline.session import workspace
 
-#: A subtree is template when it stands on so many different pages of its host, and on such a share of them.
-LEAST_PAGES, SHARE = 10, 0.5
+#: A subtree is template at a position of a host when it stands there on so many different pages, beside half as many
+#: stories at least, and on such a share of the pages with an element at that position. In a section of a host, where fewer
+#: pages say less, the bounds are MANY and HALF, as they are for a subtree anywhere on a host among all its pages.
+LEAST_PAGES, SHARE = 3, 1 / 3
+MANY, HALF = 10, 0.5
+#: Stories are told apart by the least hash of the shingles outside the subtree, in so many independent ways.
+WAYS = 3
 
 # Elements that hold no text for readers, furniture, elements that end a line, words in class, id and role
 # that name furniture.
@@ -44,6 +53,7 @@ _CONTAINERS = {"article", "aside", "body", "div", "dl", "footer", "form", "heade
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>?""", re.DOTALL)
 _NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
 
 
@@ -53,10 +63,11 @@ class Page:
     def __init__(self, source: str):
         self.pieces: list[str | None] = []
         self.dropped: list[tuple[int, int]] = []
-        self.subtrees: list[tuple[str, int, int]] = []
+        self.subtrees: list[tuple[str, int, int, int]] = []
+        self.unread: list[tuple[int, int]] = []
         self.articles: list[tuple[int, int]] = []
         self.mains: list[tuple[int, int]] = []
-        self._open: list[tuple[str, int, bool]] = []
+        self._open: list[tuple[str, int, bool, str]] = []
         at = 0
         while True:
             tag = _TAG.search(source, at)
@@ -100,15 +111,16 @@ class Page:
                     break
         if name in _VOID:
             return
-        inside = any(n == "article" for n, _, _ in self._open)
+        inside = any(n == "article" for n, *_ in self._open)
         drop = name in UNREAD or name in FURNITURE or (name == "header" and not inside)
         if not drop and attributes and name not in ("html", "body"):
             named = " ".join(" ".join(m) for m in _NAMED.findall(attributes))
             drop = bool(NAMES & set(re.split(r"[^a-z]+", named.lower()))) or bool(_HIDDEN.search(attributes))
-        self._open.append((name, len(self.pieces), drop))
+        classes = re.sub(r"\d+", "", " ".join(" ".join(m) for m in _CLASS.findall(attributes))) if attributes else ""
+        self._open.append((name, len(self.pieces), drop, f"{name} {classes}"))
 
     def _close(self, name: str) -> None:
-        if any(n == name for n, _, _ in self._open):
+        if any(n == name for n, *_ in self._open):
             while self._open[-1][0] != name:
                 self._pop()
             self._pop()
@@ -116,18 +128,21 @@ class Page:
             self.pieces.append(None)
 
     def _pop(self) -> None:
-        name, start, drop = self._open.pop()
+        name, start, drop, position = self._open.pop()
         end = len(self.pieces)
         if name in BLOCKS:
             self.pieces.append(None)
+        if name in UNREAD:
+            self.unread.append((start, end))
         if drop:
             self.dropped.append((start, end))
         elif name == "article":
             self.articles.append((start, end))
         elif name == "main":
             self.mains.append((start, end))
-        elif name in BLOCKS and name not in ("html", "body"):
-            self.subtrees.append((name, start, end))
+        if name in BLOCKS and name not in ("html", "body", "article", "main"):
+            above = self._open[-1][3] if self._open else ""
+            self.subtrees.append((name, start, end, _hash(f"{above}>{position}")))
 
     def kept(self) -> list[bool]:
         """Which pieces belong to the main text by the markup alone: articles, else main, else all."""
@@ -143,12 +158,46 @@ class Page:
         parts = (" " if p is None else p for p, k in zip(self.pieces[start:end], keep[start:end]) if k)
         return " ".join("".join(parts).split())
 
-    def hashed(self, keep: list[bool]) -> list[tuple[int, int, int]]:
-        """``hash, start, end`` of the elements that have text left."""
+    def hashed(self, keep: list[bool]) -> list[tuple[int, int, int, int, int]]:
+        """``subtree, start, end, position, placed`` of all elements with text, as hashes: what the markup rules leave of
+        it, or the whole where they leave nothing. A position is an element's name and classes and its parent's; placed
+        is the subtree at its position."""
+        read = [True] * len(self.pieces)
+        for start, end in self.unread:
+            read[start:end] = [False] * (end - start)
         out = []
-        for name, start, end in self.subtrees:
-            if any(keep[start:end]) and (text := self.text(keep, start, end)):
-                out.append((_hash(f"{name} {text}"), start, end))
+        for name, start, end, position in self.subtrees:
+            if text := self.text(keep, start, end) or self.text(read, start, end):
+                subtree = _hash(f"{name} {text}")
+                out.append((subtree, start, end, position, _hash(f"{position} {subtree}")))
+        return out
+
+    def stories(self, keep: list[bool], ranges: list[tuple[int, int]]) -> np.ndarray:
+        """For each range, the least hashes of the shingles of kept blocks outside it, one for each of WAYS; 0 for none."""
+        blocks, starts, parts = [], [], []
+        for i, (piece, k) in enumerate(zip([*self.pieces, None], [*keep, False])):
+            if piece is not None and k:
+                if not parts:
+                    starts.append(i)
+                parts.append(piece)
+            elif piece is None and parts:
+                blocks.append(normal("".join(parts).encode("utf-8", "replace")))
+                parts = []
+        held = [(t, at) for t, at in zip(blocks, starts) if t]
+        out = np.zeros((len(ranges), WAYS), np.int64)
+        if not held:
+            return out
+        hashes, begins = shingles([t for t, _ in held])
+        places = np.array([at for _, at in held])
+        before = np.searchsorted(places, [a for a, _ in ranges])
+        after = np.searchsorted(places, [b for _, b in ranges])
+        top = np.array([np.iinfo(np.uint64).max], np.uint64)
+        for way in range(WAYS):
+            least = np.minimum.reduceat(mix(hashes + np.uint64(way)), begins[:-1])
+            left = np.concatenate((top, np.minimum.accumulate(least)))
+            right = np.concatenate((np.minimum.accumulate(least[::-1])[::-1], top))
+            found = np.minimum(left[before], right[after])
+            out[:, way] = np.where(found == top[0], np.uint64(0), found).view(np.int64)
         return out
 
 
@@ -166,43 +215,80 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+_ROWS = "host string, section string, source long, page long, subtree long, position long, placed long, " + ", ".join(
+    f"story{w} long" for w in range(WAYS)
+)
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``host, subtree, page``: hashes of a page's subtrees with that of its whole text; subtree 0 is the page itself."""
+    """The subtrees of each page, with the hash of its whole text and the stories beside them; subtree 0 at position 0 is
+    the page itself."""
     for batch in batches:
         rows = set()
-        for host, source in zip(batch.column(0).to_pylist(), _decoded(batch.column(1))):
+        keys = zip(*(column.to_pylist() for column in batch.columns[:3]))
+        for key, source in zip(keys, _decoded(batch.column(3))):
             page = Page(source)
             keep = page.kept()
             whole = _hash(page.text(keep))
-            rows.add((host, 0, whole))
-            rows.update((host, subtree, whole) for subtree, _, _ in page.hashed(keep))
-        hosts, subtrees, wholes = zip(*rows) if rows else ((), (), ())
+            found = page.hashed(keep)
+            rows.add((*key, whole, 0, 0, 0, *(None,) * WAYS))
+            for (subtree, _, _, position, placed), story in zip(found, page.stories(keep, [h[1:3] for h in found]).tolist()):
+                rows.add((*key, whole, subtree, position, placed, *story))
+        columns = list(zip(*rows)) or [()] * (7 + WAYS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), pa.array(subtrees, pa.int64()), pa.array(wholes, pa.int64())], ["host", "subtree", "page"]
+            [pa.array(c, pa.int64() if i > 1 else pa.string()) for i, c in enumerate(columns)],
+            ["host", "section", "source", "page", "subtree", "position", "placed", *(f"story{w}" for w in range(WAYS))],
         )
 
 
-def templates(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """``host, subtrees``: the hashes of the subtrees that recur on the host. Pages of the same text count once, so that
-    copies of one article are not taken for a template. A list is no longer than a few pages' elements."""
-    found = pages.select(host_of(F.col("url")).alias("host"), "html").where("host IS NOT NULL")
-    counted = (
-        found.mapInArrow(_subtrees, "host string, subtree long, page long")
-        .groupBy("host", "subtree")
-        .agg(F.count_distinct("page").alias("n"))
-        .where(F.col("n") >= least)
+def _stored(frame: DataFrame, label: str) -> DataFrame:
+    path = workspace(frame.sparkSession, label)
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
+def _keys() -> list[Column]:
+    """What a page is found by: host, section (the first folder of the path, or nothing) and a hash of the markup."""
+    section = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^/?#]+)/", 1)
+    return [host_of(F.col("url")).alias("host"), section.alias("section"), F.xxhash64("html").alias("source")]
+
+
+def recurring(pages: DataFrame, least: int = LEAST_PAGES) -> tuple[DataFrame, DataFrame]:
+    """The subtrees of pages that recur in a scope, a host or one of its sections, and the pages of each position there."""
+    found = pages.select(*_keys(), "html").where("host IS NOT NULL")
+    rows = _stored(found.mapInArrow(_subtrees, _ROWS), "subtrees")
+    scopes = F.expr("explode(if(section = '', array(host), array(host, concat(host, '/', section))))")
+    scoped = rows.select(scopes.alias("scope"), "*")
+    often = scoped.where("subtree <> 0").groupBy("scope", "subtree").agg(F.count_distinct("page").alias("n_all")).where(F.col("n_all") >= least)
+    places = scoped.groupBy("scope", "position").agg(F.count_distinct("page").alias("n_at")).where(F.col("n_at") >= least)
+    often, places = _stored(often, "often"), _stored(places, "places")
+    return _stored(scoped.join(often, ["scope", "subtree"]), "recurring"), places
+
+
+def templates(some: DataFrame, places: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
+    """``scope, key, n``: subtrees, everywhere or at a position, that are template, and on how many different pages. Pages
+    of the same text count once, and near copies are one story, so that copies of one article are not taken for a template."""
+    here = some.groupBy("scope", "subtree", "position", "placed", "n_all").agg(
+        F.count_distinct("page").alias("n"), *(F.count_distinct(f"story{w}").alias(f"n{w}") for w in range(WAYS))
     )
-    path = workspace(pages.sparkSession, "subtrees")
-    counted.write.parquet(path)
-    counted = pages.sparkSession.read.parquet(path)
-    totals = counted.where("subtree = 0").select("host", F.col("n").alias("n_pages"))
-    return (
-        counted.where("subtree <> 0")
-        .join(totals, "host")
-        .where(F.col("n") >= F.lit(share) * F.col("n_pages"))
-        .groupBy("host")
-        .agg(F.collect_list("subtree").alias("subtrees"))
+    stories = F.greatest(*(f"n{w}" for w in range(WAYS)))
+    section = F.col("scope").contains("/")
+    at_place = (
+        here.where((stories >= least) & (stories >= HALF * F.col("n")))
+        .join(places, ["scope", "position"])
+        .where(F.when(section, F.col("n") >= max(least, MANY)).otherwise(F.col("n") >= least))
+        .where(F.col("n") >= F.when(section, max(share, HALF)).otherwise(share) * F.col("n_at"))
+        .select("scope", F.col("placed").alias("key"), "n")
+    )
+    totals = places.where("position = 0").select("scope", F.col("n_at").alias("n_pages"))
+    most = (
+        some.select("scope", "subtree", "n_all").distinct()
+        .where((F.col("n_all") >= max(least, MANY)) & ~section)
+        .join(totals, "scope")
+        .where(F.col("n_all") >= HALF * F.col("n_pages"))
+        .select("scope", F.col("subtree").alias("key"), F.col("n_all").alias("n"))
     )
+    return at_place.union(most)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +299,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keep = page.kept()
             if template:
                 template = set(template)
-                for _, start, end in [h for h in page.hashed(keep) if h[0] in template]:
+                for _, start, end, _, _ in [h for h in page.hashed(keep) if h[0] in template or h[4] in template]:
                     keep[start:end] = [False] * (end - start)
             texts.append(page.text(keep))
         yield pa.RecordBatch.from_arrays(
@@ -228,16 +314,23 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) ->
     Text is the articles of a page, else its ``main``, else its body, without furniture, hidden elements and templates;
     character references are decoded and white space runs are one space. A null or empty page has an empty text. A page
     whose URL is null or has no host loses no template. Broken markup is read as far as it goes. Repeated rows are
-    extracted each; an empty table gives an empty table. The list of templates is written first, so that Spark knows its
-    size when it plans the join with the pages.
+    extracted each; an empty table gives an empty table. Templates are written first, so that Spark knows their size when
+    it plans the joins; a page is given those that stand on it, not those of its host.
     """
-    spark = pages.sparkSession
-    path = workspace(spark, "templates")
-    templates(pages, least, share).write.parquet(path)
-    rows = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"))
-    known = spark.read.parquet(path).withColumnRenamed("host", "_known")
+    some, places = recurring(pages, least)
+    known = _stored(templates(some, places, least, share), "templates").select("scope", "key").distinct()
+    keys = ["host", "section", "source"]
+    lists = _stored(
+        some.select("scope", *keys, F.explode(F.array("subtree", "placed")).alias("key"))
+        .join(known, ["scope", "key"])
+        .groupBy(*keys)
+        .agg(F.collect_set("key").alias("subtrees")),
+        "lists",
+    )
+    named = pages.select("page_id", "url", F.col("html").alias("_html"), F.struct(*_keys()).alias("_key"))
+    same = [F.col(f"_key.{k}") == lists[k] for k in keys]
     return (
-        rows.join(known, rows["_host"] == known["_known"], "left")
-        .select("page_id", "url", "html", "subtrees")
+        named.join(lists, same, "left")
+        .select("page_id", "url", F.col("_html").alias("html"), "subtrees")
         .mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
     )

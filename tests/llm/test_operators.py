@@ -336,3 +336,24 @@ def test_templates_go_and_copies_stay(spark):
     assert found[3].text == "story number 3" and found[55].text == "the same story" and found[55].n_chars == 14
     assert found[90].text == "Share this story now" and found[91].text == "a" and (found[92].text, found[92].n_chars) == ("", 0)
     assert pages.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_templates_of_small_hosts_and_of_parts_of_a_host(spark):
+    def words(i, n=30):
+        return " ".join(f"w{random.Random(f'{i} {k}').randrange(9999)}" for k in range(n))
+
+    def page(i, host, section, body):
+        return (i, f"https://{host}/{section}/{i}", f"<div><p>{body}</p></div>")
+
+    notice, shared = "This shop is closed for the holidays", "A line that some articles quote"
+    rows = [page(i, "big.example", "en", f"{words(i)}</p><p>{shared}" if i % 5 == 0 else words(i)) for i in range(60)]
+    rows += [page(100 + i, "big.example", "en", f"{words(100 + i)}</p></div><div class='x y'><p>{notice}") for i in range(12)]
+    rows += [page(200 + i, "big.example", "shop", f"{words(200 + i)}</p><p>{notice}") for i in range(12)]
+    rows += [page(300 + i, "small.example", "a", f"{words(300 + i)}</p><h2>Also read</h2><p>") for i in range(4)]
+    copy = words(999, 200)
+    rows += [page(400 + i, "copies.example", "a", f"{copy}</p><p>{copy} {words(400 + i, 4)}") for i in range(9)]
+    found = {r.page_id: r.text for r in pages.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(found[i] == (f"{words(i)} {shared}" if i % 5 == 0 else words(i)) for i in range(60))
+    assert all(found[i] == words(i) for k in (100, 200) for i in range(k, k + 12))
+    assert all(found[i] == words(i) for i in range(300, 304))
+    assert all(found[i].startswith(f"{copy} {copy}") for i in range(400, 409))
