@@ -1,7 +1,7 @@
 """Main text of web pages, without what their site puts on every page.
 
 Each page is read into pieces of text under a tree of elements. What the markup itself calls furniture (menus, adverts,
-forms and the like) goes. Every element with text is hashed as a subtree, furniture too, and Spark counts on how many
+forms and the like) goes. Every element with text is hashed as a subtree, also those that a name takes, and Spark counts on how many
 different pages a subtree stands and beside how many different stories. It is compared with what else stands at its
 position, in its section and on its host, so that a notice in a place of its own is template on however small a part of
 a host, and a line that articles share is not. Near copies of one article are one story.
@@ -9,8 +9,11 @@ a host, and a line that articles share is not. Near copies of one article are on
 
 from __future__ import annotations
 
+import bisect
+import functools
 import hashlib
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -19,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.words import mix, normal, shingles
+from quarryline.llm.words import mix, normal, shingles, slices
 from quarryline.session import workspace
 
 #: A subtree is template at a position of a host when it stands there on so many different pages, beside half as many
@@ -27,11 +30,11 @@ from quarryline.session import workspace
 #: pages say less, the bounds are MANY and HALF, as they are for a subtree anywhere on a host among all its pages.
 LEAST_PAGES, SHARE = 3, 1 / 3
 MANY, HALF = 10, 0.5
-#: Stories are told apart by the least hash of the shingles outside the subtree, in so many independent ways.
-WAYS = 3
+#: Stories are told apart by the least hashes of the shingles outside the subtree, in so many independent ways.
+WAYS = 2
 
 # Elements that hold no text for readers, furniture, elements that end a line, words in class, id and role
-# that name furniture.
+# that name furniture, and words that only add to them: a token of others ("no-sidebar", "has-comments") names none.
 UNREAD = {"script", "style", "noscript", "template", "head", "title", "iframe", "object", "svg", "canvas", "math", "audio", "video"}
 FURNITURE = {"nav", "footer", "aside", "form", "button", "select", "option", "textarea", "input", "label", "fieldset", "dialog", "menu"}
 BLOCKS = {
@@ -45,6 +48,10 @@ NAMES = {
     "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "popup", "promo", "related", "respond",
     "search", "share", "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget",
 }
+_ADDED = {
+    "area", "bar", "block", "bottom", "box", "col", "column", "container", "content", "inner", "item", "left", "link", "links",
+    "list", "main", "outer", "primary", "right", "secondary", "section", "site", "slot", "text", "title", "top", "wrap", "wrapper",
+}
 _RAW = {"script", "style", "textarea", "title", "noscript", "iframe"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: A new element of the first kind ends an open one of the second, up to the nearest container.
@@ -52,9 +59,9 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _CONTAINERS = {"article", "aside", "body", "div", "dl", "footer", "form", "header", "html", "main", "nav", "ol", "section", "table", "td", "th", "ul"}
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^"'>])*)>?""", re.DOTALL)
-_NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_CLASS = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""(?i)(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_WORDS = re.compile(r"[a-z0-9]+")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.IGNORECASE)
 
 
 class Page:
@@ -63,11 +70,13 @@ class Page:
     def __init__(self, source: str):
         self.pieces: list[str | None] = []
         self.dropped: list[tuple[int, int]] = []
+        self.named: list[tuple[int, int]] = []
         self.subtrees: list[tuple[str, int, int, int]] = []
         self.unread: list[tuple[int, int]] = []
         self.articles: list[tuple[int, int]] = []
+        self.teasers: list[tuple[int, int]] = []
         self.mains: list[tuple[int, int]] = []
-        self._open: list[tuple[str, int, bool, str]] = []
+        self._open: list[tuple[str, int, bool, bool, bool, str]] = []
         at = 0
         while True:
             tag = _TAG.search(source, at)
@@ -99,6 +108,7 @@ class Page:
     def _start(self, name: str, attributes: str) -> None:
         if name in BLOCKS:
             self.pieces.append(None)
+        if name in BLOCKS and name != "br":
             ends = _ENDS.get(name, {"p"})
             for i in range(len(self._open) - 1, -1, -1):
                 opened = self._open[i][0]
@@ -113,11 +123,19 @@ class Page:
             return
         inside = any(n == "article" for n, *_ in self._open)
         drop = name in UNREAD or name in FURNITURE or (name == "header" and not inside)
-        if not drop and attributes and name not in ("html", "body"):
-            named = " ".join(" ".join(m) for m in _NAMED.findall(attributes))
-            drop = bool(NAMES & set(re.split(r"[^a-z]+", named.lower()))) or bool(_HIDDEN.search(attributes))
-        classes = re.sub(r"\d+", "", " ".join(" ".join(m) for m in _CLASS.findall(attributes))) if attributes else ""
-        self._open.append((name, len(self.pieces), drop, f"{name} {classes}"))
+        named, classes = False, ""
+        if attributes:
+            given: dict[str, str] = {}
+            for key, *values in _ATTRIBUTE.findall(attributes):
+                given.setdefault(key.lower(), entities.unescape("".join(values)))
+            classes = re.sub(r"\d+", "", given.get("class", ""))
+            if name not in ("html", "body"):
+                shown = given.get("aria-hidden", "").strip().lower() != "true" and not _NONE.search(given.get("style", ""))
+                if "hidden" in given or not shown:
+                    drop = True
+                named = any(names_furniture(given.get(key, "")) for key in ("class", "id", "role"))
+        under = bool(self._open) and (self._open[-1][3] or self._open[-1][4])
+        self._open.append((name, len(self.pieces), drop, named, under, f"{name} {classes}"))
 
     def _close(self, name: str) -> None:
         if any(n == name for n, *_ in self._open):
@@ -128,7 +146,7 @@ class Page:
             self.pieces.append(None)
 
     def _pop(self) -> None:
-        name, start, drop, position = self._open.pop()
+        name, start, drop, named, under, position = self._open.pop()
         end = len(self.pieces)
         if name in BLOCKS:
             self.pieces.append(None)
@@ -136,75 +154,109 @@ class Page:
             self.unread.append((start, end))
         if drop:
             self.dropped.append((start, end))
-        elif name == "article":
-            self.articles.append((start, end))
-        elif name == "main":
-            self.mains.append((start, end))
+        else:
+            if name == "article":
+                (self.teasers if named or under else self.articles).append((start, end))
+            elif name == "main":
+                self.mains.append((start, end))
+            if named:
+                self.named.append((start, end))
         if name in BLOCKS and name not in ("html", "body", "article", "main"):
-            above = self._open[-1][3] if self._open else ""
-            self.subtrees.append((name, start, end, _hash(f"{above}>{position}")))
+            above = self._open[-1][5] if self._open else ""
+            self.subtrees.append((name, start, end, _position(above, position)))
 
     def kept(self) -> list[bool]:
-        """Which pieces belong to the main text by the markup alone: articles, else main, else all."""
-        regions = self.articles or self.mains or [(0, len(self.pieces))]
+        """Which pieces belong to the main text by the markup alone: articles, else main, else articles with or below
+        a name of furniture (comments are often articles), else all. A name takes no element that is or holds such a
+        region or most of the text, and names do not take all."""
+        regions = sorted(self.articles or self.mains or self.teasers or [(0, len(self.pieces))])
         keep = [False] * len(self.pieces)
         for start, end in regions:
             keep[start:end] = [True] * (end - start)
         for start, end in self.dropped:
             keep[start:end] = [False] * (end - start)
-        return keep
+        if not self.named:
+            return keep
+        before = list(itertools.accumulate((len(p.strip()) if p and k else 0 for p, k in zip(self.pieces, keep)), initial=0))
+        left, starts = list(keep), [start for start, _ in regions]
+        for start, end in self.named:
+            inside = itertools.islice(regions, bisect.bisect_left(starts, start), bisect.bisect_left(starts, end))
+            if 2 * (before[end] - before[start]) <= before[-1] and not any(b <= end for _, b in inside):
+                left[start:end] = [False] * (end - start)
+        return left if any(p and k and p.strip() for p, k in zip(self.pieces, left)) else keep
 
     def text(self, keep: list[bool], start: int = 0, end: int | None = None) -> str:
         parts = (" " if p is None else p for p, k in zip(self.pieces[start:end], keep[start:end]) if k)
         return " ".join("".join(parts).split())
 
-    def hashed(self, keep: list[bool]) -> list[tuple[int, int, int, int, int]]:
-        """``subtree, start, end, position, placed`` of all elements with text, as hashes: what the markup rules leave of
-        it, or the whole where they leave nothing. A position is an element's name and classes and its parent's; placed
-        is the subtree at its position."""
+    def hashed(self, keep: list[bool]) -> list[tuple[int, int, int, int]]:
+        """``subtree, position, start, end`` of the elements with text outside furniture by tag, as hashes: what names leave
+        of it, or the whole where they leave nothing. A position is an element's name and classes and its parent's."""
         read = [True] * len(self.pieces)
-        for start, end in self.unread:
+        for start, end in self.dropped:
             read[start:end] = [False] * (end - start)
         out = []
         for name, start, end, position in self.subtrees:
-            if text := self.text(keep, start, end) or self.text(read, start, end):
-                subtree = _hash(f"{name} {text}")
-                out.append((subtree, start, end, position, _hash(f"{position} {subtree}")))
+            if any(read[start:end]) and (text := self.text(keep, start, end) or self.text(read, start, end)):
+                out.append((_hash(f"{name} {text}"), position, start, end))
         return out
 
-    def stories(self, keep: list[bool], ranges: list[tuple[int, int]]) -> np.ndarray:
-        """For each range, the least hashes of the shingles of kept blocks outside it, one for each of WAYS; 0 for none."""
-        blocks, starts, parts = [], [], []
+    def blocks(self, keep: list[bool]) -> tuple[list[int], list[bytes]]:
+        """Where kept blocks start, and their words."""
+        starts, words, parts, at = [], [], [], 0
         for i, (piece, k) in enumerate(zip([*self.pieces, None], [*keep, False])):
             if piece is not None and k:
-                if not parts:
-                    starts.append(i)
+                at = at if parts else i
                 parts.append(piece)
             elif piece is None and parts:
-                blocks.append(normal("".join(parts).encode("utf-8", "replace")))
+                if text := normal("".join(parts).encode("utf-8", "replace")):
+                    starts.append(at)
+                    words.append(text)
                 parts = []
-        held = [(t, at) for t, at in zip(blocks, starts) if t]
-        out = np.zeros((len(ranges), WAYS), np.int64)
-        if not held:
-            return out
-        hashes, begins = shingles([t for t, _ in held])
-        places = np.array([at for _, at in held])
-        before = np.searchsorted(places, [a for a, _ in ranges])
-        after = np.searchsorted(places, [b for _, b in ranges])
-        top = np.array([np.iinfo(np.uint64).max], np.uint64)
-        for way in range(WAYS):
-            least = np.minimum.reduceat(mix(hashes + np.uint64(way)), begins[:-1])
-            left = np.concatenate((top, np.minimum.accumulate(least)))
-            right = np.concatenate((np.minimum.accumulate(least[::-1])[::-1], top))
-            found = np.minimum(left[before], right[after])
-            out[:, way] = np.where(found == top[0], np.uint64(0), found).view(np.int64)
-        return out
+        return starts, words
+
+
+def _least(words: list[bytes]) -> list[list[int]]:
+    """The least hash of each block's shingles, for each of WAYS."""
+    if not words:
+        return [[] for _ in range(WAYS)]
+    hashes, begins = shingles(words)
+    return [np.minimum.reduceat(mix(hashes + np.uint64(way)), begins[:-1]).tolist() for way in range(WAYS)]
+
+
+def _stories(starts: list[int], least: list[list[int]], ranges: list[tuple[int, int]]) -> list[int]:
+    """For each range, one hash of the least hashes of the blocks outside it."""
+    top = 1 << 64
+    left = [list(itertools.accumulate(way, min, initial=top)) for way in least]
+    right = [list(itertools.accumulate(reversed(way), min, initial=top))[::-1] for way in least]
+    out = []
+    for start, end in ranges:
+        a, b = bisect.bisect_left(starts, start), bisect.bisect_left(starts, end)
+        story = 0
+        for before, after in zip(left, right):
+            story = (story * 0x9E3779B97F4A7C15 + min(before[a], after[b])) % top
+        out.append(story - (top >> 1))
+    return out
+
+
+def names_furniture(value: str) -> bool:
+    """Whether a token of a class, id or role is made of NAMES, with nothing but _ADDED words and numbers beside them."""
+    for token in value.split():
+        words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower())
+        if NAMES & set(words) and all(w in NAMES or w in _ADDED or w.isdigit() for w in words):
+            return True
+    return False
 
 
 def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
 
+@functools.lru_cache(1 << 14)
+def _position(above: str, own: str) -> int:
+    return _hash(f"{above}>{own}")
+
+
 def _decoded(column: pa.Array) -> list[str]:
     return [(v or b"").decode("utf-8", "replace") for v in column.cast(pa.binary()).to_pylist()]
 
@@ -215,30 +267,32 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
-_ROWS = "host string, section string, source long, page long, subtree long, position long, placed long, " + ", ".join(
-    f"story{w} long" for w in range(WAYS)
-)
+_ROWS = "host string, section string, source long, page long, subtree long, position long, story long"
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The subtrees of each page, with the hash of its whole text and the stories beside them; subtree 0 at position 0 is
     the page itself."""
     for batch in batches:
-        rows = set()
-        keys = zip(*(column.to_pylist() for column in batch.columns[:3]))
-        for key, source in zip(keys, _decoded(batch.column(3))):
-            page = Page(source)
-            keep = page.kept()
-            whole = _hash(page.text(keep))
-            found = page.hashed(keep)
-            rows.add((*key, whole, 0, 0, 0, *(None,) * WAYS))
-            for (subtree, _, _, position, placed), story in zip(found, page.stories(keep, [h[1:3] for h in found]).tolist()):
-                rows.add((*key, whole, subtree, position, placed, *story))
-        columns = list(zip(*rows)) or [()] * (7 + WAYS)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, pa.int64() if i > 1 else pa.string()) for i, c in enumerate(columns)],
-            ["host", "section", "source", "page", "subtree", "position", "placed", *(f"story{w}" for w in range(WAYS))],
-        )
+        sources, keys = _decoded(batch.column(3)), list(zip(*(column.to_pylist() for column in batch.columns[:3])))
+        for first, last in slices(sources):
+            rows, read, words = set(), [], []
+            for key, source in zip(keys[first:last], sources[first:last]):
+                page = Page(source)
+                keep = page.kept()
+                starts, found = page.blocks(keep)
+                read.append((key, _hash(page.text(keep)), page.hashed(keep), starts, len(words)))
+                words += found
+            least = _least(words)
+            for key, whole, found, starts, at in read:
+                rows.add((*key, whole, 0, 0, None))
+                own = [way[at : at + len(starts)] for way in least]
+                stories = _stories(starts, own, [h[2:] for h in found])
+                rows.update((*key, whole, *h[:2], story) for h, story in zip(found, stories))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64() if i > 1 else pa.string()) for i, c in enumerate(zip(*rows))],
+                ["host", "section", "source", "page", "subtree", "position", "story"],
+            )
 
 
 def _stored(frame: DataFrame, label: str) -> DataFrame:
@@ -254,41 +308,45 @@ def _keys() -> list[Column]:
 
 
 def recurring(pages: DataFrame, least: int = LEAST_PAGES) -> tuple[DataFrame, DataFrame]:
-    """The subtrees of pages that recur in a scope, a host or one of its sections, and the pages of each position there."""
+    """The subtrees that recur on a host, in its scopes, which are the host and its sections, and the number of pages of
+    each position there; position 0 counts all pages."""
     found = pages.select(*_keys(), "html").where("host IS NOT NULL")
-    rows = _stored(found.mapInArrow(_subtrees, _ROWS), "subtrees")
-    scopes = F.expr("explode(if(section = '', array(host), array(host, concat(host, '/', section))))")
-    scoped = rows.select(scopes.alias("scope"), "*")
-    often = scoped.where("subtree <> 0").groupBy("scope", "subtree").agg(F.count_distinct("page").alias("n_all")).where(F.col("n_all") >= least)
-    places = scoped.groupBy("scope", "position").agg(F.count_distinct("page").alias("n_at")).where(F.col("n_at") >= least)
+    rows = _stored(found.mapInArrow(_subtrees, _ROWS).withColumn("at", F.xxhash64("host", "subtree")), "subtrees")
+    often = rows.where("subtree <> 0").groupBy("at").agg(F.count_distinct("page").alias("n_all")).where(F.col("n_all") >= least)
+    scopes = F.expr("explode(if(section = '', array(xxhash64(host)), array(xxhash64(host), xxhash64(host, section))))")
+    is_section = F.col("scope") != F.xxhash64("host")
+    places = (
+        rows.select(scopes.alias("scope"), "position", "page")
+        .groupBy("scope", "position").agg(F.count_distinct("page").alias("n_at")).where(F.col("n_at") >= least)
+    )
     often, places = _stored(often, "often"), _stored(places, "places")
-    return _stored(scoped.join(often, ["scope", "subtree"]), "recurring"), places
+    some = _stored(rows.join(often, "at"), "recurring")
+    return some.select(scopes.alias("scope"), "*").withColumn("is_section", is_section), places
 
 
 def templates(some: DataFrame, places: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) -> DataFrame:
-    """``scope, key, n``: subtrees, everywhere or at a position, that are template, and on how many different pages. Pages
-    of the same text count once, and near copies are one story, so that copies of one article are not taken for a template."""
-    here = some.groupBy("scope", "subtree", "position", "placed", "n_all").agg(
-        F.count_distinct("page").alias("n"), *(F.count_distinct(f"story{w}").alias(f"n{w}") for w in range(WAYS))
-    )
-    stories = F.greatest(*(f"n{w}" for w in range(WAYS)))
-    section = F.col("scope").contains("/")
+    """``scope, subtree, position, n``: subtrees that are template at a position, or anywhere where that is null, and on how
+    many different pages. Pages of the same text count once, and near copies are one story, so that copies of one article
+    are not taken for a template."""
+    n, section = F.col("n"), F.col("is_section")
     at_place = (
-        here.where((stories >= least) & (stories >= HALF * F.col("n")))
+        some.groupBy("scope", "is_section", "subtree", "position")
+        .agg(F.count_distinct("page").alias("n"), F.count_distinct("story").alias("stories"))
+        .where((F.col("stories") >= least) & (F.col("stories") >= HALF * n))
         .join(places, ["scope", "position"])
-        .where(F.when(section, F.col("n") >= max(least, MANY)).otherwise(F.col("n") >= least))
-        .where(F.col("n") >= F.when(section, max(share, HALF)).otherwise(share) * F.col("n_at"))
-        .select("scope", F.col("placed").alias("key"), "n")
+        .where(n >= F.when(section, max(least, MANY)).otherwise(least))
+        .where(n >= F.when(section, max(share, HALF)).otherwise(share) * F.col("n_at"))
+        .select("scope", "subtree", "position", "n")
     )
     totals = places.where("position = 0").select("scope", F.col("n_at").alias("n_pages"))
-    most = (
-        some.select("scope", "subtree", "n_all").distinct()
-        .where((F.col("n_all") >= max(least, MANY)) & ~section)
+    anywhere = (
+        some.where(~section).select("scope", "subtree", "n_all").distinct()
+        .where(F.col("n_all") >= max(least, MANY))
         .join(totals, "scope")
         .where(F.col("n_all") >= HALF * F.col("n_pages"))
-        .select("scope", F.col("subtree").alias("key"), F.col("n_all").alias("n"))
+        .select("scope", "subtree", F.lit(None).cast("long").alias("position"), F.col("n_all").alias("n"))
     )
-    return at_place.union(most)
+    return at_place.union(anywhere)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,8 +356,8 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             page = Page(source)
             keep = page.kept()
             if template:
-                template = set(template)
-                for _, start, end, _, _ in [h for h in page.hashed(keep) if h[0] in template or h[4] in template]:
+                template = {(t["subtree"], t["position"]) for t in template}
+                for _, _, start, end in [h for h in page.hashed(keep) if (h[0], h[1]) in template or (h[0], None) in template]:
                     keep[start:end] = [False] * (end - start)
             texts.append(page.text(keep))
         yield pa.RecordBatch.from_arrays(
@@ -318,13 +376,13 @@ def extract(pages: DataFrame, least: int = LEAST_PAGES, share: float = SHARE) ->
     it plans the joins; a page is given those that stand on it, not those of its host.
     """
     some, places = recurring(pages, least)
-    known = _stored(templates(some, places, least, share), "templates").select("scope", "key").distinct()
+    known = _stored(templates(some, places, least, share), "templates").select("scope", "subtree", "position").distinct()
     keys = ["host", "section", "source"]
     lists = _stored(
-        some.select("scope", *keys, F.explode(F.array("subtree", "placed")).alias("key"))
-        .join(known, ["scope", "key"])
+        some.select("scope", "subtree", *keys)
+        .join(known, ["scope", "subtree"])
         .groupBy(*keys)
-        .agg(F.collect_set("key").alias("subtrees")),
+        .agg(F.collect_set(F.struct("subtree", "position")).alias("subtrees")),
         "lists",
     )
     named = pages.select("page_id", "url", F.col("html").alias("_html"), F.struct(*_keys()).alias("_key"))

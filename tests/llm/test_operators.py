@@ -357,3 +357,25 @@ def test_templates_of_small_hosts_and_of_parts_of_a_host(spark):
     assert all(found[i] == words(i) for k in (100, 200) for i in range(k, k + 12))
     assert all(found[i] == words(i) for i in range(300, 304))
     assert all(found[i].startswith(f"{copy} {copy}") for i in range(400, 409))
+
+
+@pytest.mark.parametrize(
+    "source, text",
+    [
+        ("<div class='content no-sidebar'><p>a b</p></div><p>c</p>", "a b c"),
+        ("<div class='post has-sidebar'><article><p>a</p></article></div>", "a"),
+        ("<div id=page-with-comments><p>a</p></div>", "a"),
+        ("<div role=search class=related><main><p>a</p></main></div>", "a"),
+        ("<article class=widget><p>a</p></article>", "a"),
+        ("<div class=widget><p>all of the text</p></div><p>b</p>", "all of the text b"),
+        ("<article title='a hidden gem' data-x='display:none'><p>a</p></article>", "a"),
+        ("<p>a b c</p><p hidden>x</p><p style='color:red; display: none'>y</p><p aria-hidden=true>z</p>", "a b c"),
+        ("<p class='notice'>a<br>b</p><p>the main text", "the main text"),
+        ("<article><p>a b c</p></article><div id=comments><article class=comment><p>d</p></article></div>", "a b c"),
+        ("<p class=ad>a</p><p class=ad>b</p>", "a b"),
+        ("<p class='sidebar-left'>a</p><p class='siteFooter'>b</p><p>the main text", "the main text"),
+    ],
+)
+def test_names_take_furniture_and_no_articles(source, text):
+    page = pages.Page(source)
+    assert page.text(page.kept()) == text
