@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quarryline.llm.components import components
 from quarryline.llm.words import mix, normal, shingle_set, shingles, slices
@@ -124,7 +125,19 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     or all white space have no shingles, are linked with nothing and kept. Repeated rows share one fate. A null
     ``doc_id`` names no document: such rows are kept, with a null component. An empty table gives an empty table.
     """
-    spark = documents.sparkSession
+    features, rooted = _rooted(documents)
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = rooted.join(least, "root").select("digest", "component_id")
+    return (
+        features.select("doc_id", "n_shingles", "digest")
+        .join(named, "digest", "left")
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    )
+
+
+def _rooted(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The features of each row, and of each class its least ``doc_id`` and its component's root."""
     docs = documents.select("doc_id", "text")
     schema = "doc_id long, n_shingles long, digest binary, bands array<long>"
     features = _stored(docs.mapInArrow(_features, schema), "features")
@@ -146,14 +159,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = _links(members, texts)
     found = components(links).select(F.col("node").alias("id"), "root")
     rooted = classes.select("id", "digest", "doc_id").join(found, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = rooted.join(least, "root").select("digest", "component_id")
-    return (
-        features.select("doc_id", "n_shingles", "digest")
-        .join(named, "digest", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    return features, rooted
 
 
 def _shared_bands(classes: DataFrame) -> DataFrame:
@@ -228,12 +234,36 @@ def _by_differences(stars: DataFrame, found: DataFrame) -> DataFrame:
     )
 
 
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the digest of their words, or with the text itself where it has none."""
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        words = [normal(t) for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column(0),
+                batch.column(1),
+                pa.array([None if w else t for t, w in zip(texts, words)], pa.binary()),
+                pa.array([hashlib.blake2b(w, digest_size=16).digest() if w else None for w in words], pa.binary()),
+            ],
+            ["_row", "_id", "_blank", "_digest"],
+        )
+
+
 def keep_one(documents: DataFrame) -> DataFrame:
-    """The rows of ``documents`` without all but one document of each group, with all their columns. Of rows that repeat a
-    ``doc_id`` and its text one stays; rows without ``doc_id`` all stay."""
-    dropped = near_duplicates(documents).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    dropped = _stored(dropped, "dropped")
-    row = documents.select(F.struct("*").alias("_row"), "doc_id", "text")
-    left = row.join(dropped, row["doc_id"] == dropped["_dropped"], "left_anti")
-    named = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
-    return named.union(left.where("doc_id IS NULL")).select("_row.*")
+    """The rows of ``documents`` without all but one document of each group, with all their columns. A document is a
+    ``doc_id`` with the words of a text, so a repeated ``doc_id`` may bring texts of several groups; of a group stays the
+    least ``doc_id``, and under that one text. Of rows that repeat a ``doc_id`` and its words one stays; rows without
+    ``doc_id`` all stay."""
+    features, rooted = _rooted(documents)
+    rooted = _stored(rooted, "rooted")
+    first = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    kept = rooted.join(first, "root").where("digest = first.digest").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    known = features.where("doc_id IS NOT NULL AND digest IS NOT NULL").select("doc_id", "digest").distinct()
+    dropped = _stored(known.join(kept, (known["doc_id"] == kept["kept_id"]) & (known["digest"] == kept["kept_digest"]), "left_anti"), "dropped")
+    row = documents.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), "text")
+    schema = StructType([row.schema["_row"], row.schema["_id"], StructField("_blank", BinaryType()), StructField("_digest", BinaryType())])
+    rows = row.mapInArrow(_digests, schema)
+    left = rows.join(dropped, (rows["_id"] == dropped["doc_id"]) & (rows["_digest"] == dropped["digest"]), "left_anti")
+    named = left.where("_id IS NOT NULL").dropDuplicates(["_id", "_blank", "_digest"])
+    return named.union(left.where("_id IS NULL")).select("_row.*")

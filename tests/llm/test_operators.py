@@ -96,6 +96,16 @@ def test_keep_one_keeps_columns_and_one_of_each_group(spark, texts):
     assert sorted(r.doc_id for r in left.collect()) == [i for i, (_, low) in enumerate(groups(texts)) if low == i]
 
 
+def test_keep_one_judges_ids_with_several_texts_by_text(spark):
+    a, b = ("one two three four five six seven eight", "red green blue black white grey pink teal")
+    texts = [b, a, b + " x", a + " y", a + " y", " ", " ", "", None, a]
+    docs = table(spark, texts, [3, 7, 7, 9, 9, 4, 4, 4, None, None])
+    rows = sorted((r.doc_id or -1, r.text or "") for r in neardup.keep_one(docs).collect())
+    assert rows == [(-1, ""), (-1, a), (3, b), (4, ""), (4, " "), (7, a)]
+    both = table(spark, [a, a + " y", b], [5, 5, 6])
+    assert sorted(r.doc_id for r in neardup.keep_one(both).collect()) == [5, 6]
+
+
 # ---- rules -----------------------------------------------------------------------------------------------------------
 
 
