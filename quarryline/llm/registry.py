@@ -6,9 +6,12 @@ import public_tokenizers
 
 from quarryline.llm import sqls
 from quarryline.llm.bpe import encode
+from quarryline.llm.collocations import collocations
 from quarryline.llm.leaks import leaks
+from quarryline.llm.mixing import mix
 from quarryline.llm.neardup import near_duplicates
 from quarryline.llm.pages import extract
+from quarryline.llm.periods import periodic_runs, run_digests, with_planted_tails
 from quarryline.llm.quality import quality_scores
 from quarryline.llm.repeats import remove_repeats
 from quarryline.llm.rules import quality_rules
@@ -59,6 +62,18 @@ def _op10(spark, sf_dir):
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def _op11(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).drop("times")
+
+
+def _op12(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def _op13(spark, sf_dir):
+    return run_digests(periodic_runs(with_planted_tails(table(spark, sf_dir, "documents"))))
+
+
 CHECKS: dict[str, Check] = {
     "op1_token_counts": Check(_op1),
     "op2_secret_scan": Check(_op2),
@@ -70,4 +85,7 @@ CHECKS: dict[str, Check] = {
     "op8_byte_bpe": Check(_op8),
     "op9_toxicity": Check(_op9),
     "op10_benchmark_leaks": Check(_op10, sqls.LEAKS),
+    "op11_source_mix": Check(_op11, sqls.MIX),
+    "op12_collocations": Check(_op12, sqls.COLLOCATIONS),
+    "op13_periodic_runs": Check(_op13),
 }

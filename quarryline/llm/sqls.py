@@ -103,3 +103,77 @@ LEAKS = f"""
 WITH {shingles("d", "documents", "doc_id")}, {shingles("i", "benchmark", "item_id")}, {_LEAKS}
 SELECT doc_id, item_id, n_item_shingles, n_shared FROM leaked
 """
+
+MIX = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '-') || chr(10) || coalesce(text, '')) AS digest
+  FROM documents
+), sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS place
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][(place % 3 + 1)::INT] AS weight FROM sources
+), filled AS (
+  SELECT *, row_number() OVER stopping AS turn,
+         1.5::DOUBLE * sum(source_size) OVER () - (sum(2.0::DOUBLE * source_size) OVER stopping - 2.0::DOUBLE * source_size) AS left_over,
+         sum(weight) OVER () - (sum(weight) OVER stopping - weight) AS open_weight
+  FROM weighed WINDOW stopping AS (ORDER BY 2.0::DOUBLE * source_size / weight, place ROWS UNBOUNDED PRECEDING)
+), level AS (
+  SELECT left_over, open_weight, turn AS first_open FROM filled
+  WHERE 2.0::DOUBLE * source_size * open_weight > left_over * weight ORDER BY turn LIMIT 1
+), targets AS (
+  SELECT source, source_size,
+         CASE WHEN first_open IS NULL OR turn < first_open THEN 2.0::DOUBLE * source_size
+              ELSE weight * level.left_over / level.open_weight END AS target
+  FROM filled LEFT JOIN level ON true
+), shares AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2)::BIGINT ELSE 0 END AS whole FROM targets
+), cumulated AS (
+  SELECT d.doc_id, d.size, s.source_size, s.target, s.whole,
+         CASE WHEN s.whole < 2 THEN s.target - s.whole * s.source_size ELSE 0 END AS extra,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.digest ROWS UNBOUNDED PRECEDING) - d.size AS before
+  FROM sized d JOIN shares s ON d.source IS NOT DISTINCT FROM s.source
+), chosen AS (
+  SELECT *, (whole + CASE WHEN before + size <= extra AND extra > 0 OR before <= extra AND 2 * (extra - before) > size THEN 1 ELSE 0 END)::BIGINT AS times
+  FROM cumulated
+)
+SELECT doc_id, size, source_size, target, size * times AS taken FROM chosen
+"""
+
+COLLOCATIONS = r"""
+WITH pieces AS (
+  SELECT lang, row_number() OVER () AS piece, words FROM (
+    SELECT lang, regexp_extract_all(unnest(string_split_regex(lowered, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS words FROM (
+      SELECT coalesce(lang, 'und') AS lang,
+             translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS lowered
+      FROM documents))
+  WHERE len(words) > 0
+), starts AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS pos FROM pieces
+), grams AS (
+  SELECT lang, width, array_to_string(words[pos:pos + width - 1], ' ') AS phrase
+  FROM starts, (SELECT unnest(range(1, 6)) AS width) WHERE pos + width - 1 <= len(words)
+), counted AS (
+  SELECT lang, width, phrase, string_split(phrase, ' ') AS words, count(*)::BIGINT AS f FROM grams GROUP BY lang, width, phrase
+  HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang
+), cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, k, t.n, x.f AS l, y.f AS r, 1000::HUGEINT * c.f * t.n // (x.f::HUGEINT * y.f) AS score
+  FROM counted c, unnest(range(1, 5)) AS cut(k), totals t, counted x, counted y
+  WHERE k < c.width AND t.lang = c.lang AND x.lang = c.lang AND y.lang = c.lang
+    AND x.phrase = array_to_string(c.words[1:k], ' ') AND y.phrase = array_to_string(c.words[k + 1:c.width], ' ')
+), weakest AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts) WHERE place = 1
+), held AS (
+  SELECT lang, array_to_string(words[pos:pos + size - 1], ' ') AS phrase, max(f) AS f
+  FROM counted, unnest(range(2, 5)) AS s(size), unnest(range(1, 5)) AS b(pos)
+  WHERE size < width AND pos + size - 1 <= width GROUP BY ALL
+), ranked AS (
+  SELECT w.*, row_number() OVER (PARTITION BY w.lang ORDER BY w.score DESC, w.a DESC, w.phrase) AS rank
+  FROM weakest w LEFT JOIN held h ON h.lang = w.lang AND h.phrase = w.phrase
+  WHERE h.f IS NULL OR 100 * h.f < 100 * w.a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
