@@ -154,16 +154,18 @@ WITH pieces AS (
 ), grams AS (
   SELECT lang, width, array_to_string(words[pos:pos + width - 1], ' ') AS phrase
   FROM starts, (SELECT unnest(range(1, 6)) AS width) WHERE pos + width - 1 <= len(words)
-), counted AS (
+), counted AS MATERIALIZED (
   SELECT lang, width, phrase, string_split(phrase, ' ') AS words, count(*)::BIGINT AS f FROM grams GROUP BY lang, width, phrase
   HAVING count(*) >= 100
 ), totals AS (
   SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang
+), parts AS MATERIALIZED (
+  SELECT lang, phrase, f AS a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:width], ' ') AS rest
+  FROM counted, unnest(range(1, 5)) AS cut(k) WHERE k < width
 ), cuts AS (
-  SELECT c.lang, c.phrase, c.f AS a, k, t.n, x.f AS l, y.f AS r, 1000::HUGEINT * c.f * t.n // (x.f::HUGEINT * y.f) AS score
-  FROM counted c, unnest(range(1, 5)) AS cut(k), totals t, counted x, counted y
-  WHERE k < c.width AND t.lang = c.lang AND x.lang = c.lang AND y.lang = c.lang
-    AND x.phrase = array_to_string(c.words[1:k], ' ') AND y.phrase = array_to_string(c.words[k + 1:c.width], ' ')
+  SELECT p.lang, p.phrase, p.a, p.k, t.n, x.f AS l, y.f AS r, 1000::HUGEINT * p.a * t.n // (x.f::HUGEINT * y.f) AS score
+  FROM parts p JOIN totals t ON t.lang = p.lang
+  JOIN counted x ON x.lang = p.lang AND x.phrase = p.head JOIN counted y ON y.lang = p.lang AND y.phrase = p.rest
 ), weakest AS (
   SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS place FROM cuts) WHERE place = 1
 ), held AS (
