@@ -18,6 +18,10 @@ CREATABLE = ("catalog", "schema", "database", "table", "index", "view")
 # A read must not hold any of these, unless as a function's name. INSERT may hide behind a WITH.
 SMUGGLED_VERBS = (*DESTRUCTIVE_VERBS, "insert")
 
+# Functions that run code by its name, or take any name as text, and formats that read a file named as a table.
+RUNNING_FUNCTIONS = ("java_method", "reflect", "try_reflect", "identifier")
+FILE_FORMATS = ("avro", "binaryfile", "csv", "delta", "image", "json", "libsvm", "orc", "parquet", "text", "xml")
+
 # Literals and comments as Spark reads them, whichever starts first: raw literals have no escapes, a carriage return ends a
 # comment and a backslash before the line end carries it on. A doubled quote reads as two literals side by side.
 # Possessive loops keep the matcher from recursing, however long the literal is.
@@ -74,6 +78,10 @@ def _first_smuggled(statement: Column) -> Column:
     return F.try_element_at(F.array_intersect(listed, found), F.lit(1))
 
 
+_RUNNING = rf"(?i)\b({'|'.join(RUNNING_FUNCTIONS)})`?\s*\("
+_FILE = rf"(?i)(?:\b(?:from|join|into|table|describe|desc)\s+|,\s*)`?(?:{'|'.join(FILE_FORMATS)})`?\s*\.\s*`|`[^`]*/[^`]*`"
+
+
 def classify_statements(df: DataFrame, sql: str) -> DataFrame:
     """Whether each text is one statement of a known kind, and whether it needs confirmation or write access.
 
@@ -91,6 +99,8 @@ def classify_statements(df: DataFrame, sql: str) -> DataFrame:
     )
     judged = judged.withColumn("_hidden", F.when(F.col("_kind") == "read", _first_smuggled(F.col("_s"))))
     unfollowed = text.rlike(_UNFOLLOWED)
+    running = F.nullif(F.lower(F.regexp_extract("_s", _RUNNING, 1)), F.lit(""))
+    by_path = F.col("_s").rlike(_FILE)
     into_file = (F.col("_kind") == "read") & F.col("_s").rlike(
         "(?i)" + whole_word(r"into\s+(?:outfile|dumpfile)")
     )
@@ -102,9 +112,11 @@ def classify_statements(df: DataFrame, sql: str) -> DataFrame:
         .when(F.col("_kind") == "unknown", F.format_string('unrecognised statement type: "%s"', "_verb"))
         .when(F.col("_hidden").isNotNull(), F.format_string('read statement contains "%s"', F.upper("_hidden")))
         .when(into_file, "read statement writes to a file")
+        .when(running.isNotNull(), F.format_string('statement calls "%s"', running))
+        .when(by_path, "statement names a file as a table")
         .otherwise("")
     )
-    kind = F.when(unfollowed, "unknown").when(F.col("_hidden").isNotNull() | into_file, "destructive").otherwise(F.col("_kind"))
+    kind = F.when(unfollowed | (F.col("reason").startswith("statement ")), "unknown").when(F.col("_hidden").isNotNull() | into_file, "destructive").otherwise(F.col("_kind"))
     return (
         judged.withColumn("reason", reason)
         .withColumn("kind", kind)

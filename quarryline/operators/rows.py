@@ -33,14 +33,14 @@ def last_n_per_user(df: DataFrame, user: str, order: list[str], n: int = 3) -> D
     return df.withColumn("_place", F.row_number().over(latest)).filter(F.col("_place") <= n).drop("_place")
 
 
-def _holds(predicate: str | Column) -> Column:
+def holds(predicate: str | Column) -> Column:
     """True or false as SQL's WHERE reads it: unknown does not hold."""
     return F.coalesce(F.expr(predicate) if isinstance(predicate, str) else predicate, F.lit(False))
 
 
 def delete_rows(df: DataFrame, predicate: str | Column) -> DataFrame:
     """What is left after deleting the rows the predicate holds for."""
-    return df.filter(~_holds(predicate))
+    return df.filter(~holds(predicate))
 
 
 def update_rows(df: DataFrame, assignments: dict[str, str | Column], predicate: str | Column) -> DataFrame:
@@ -48,13 +48,13 @@ def update_rows(df: DataFrame, assignments: dict[str, str | Column], predicate:
     unknown = set(assignments) - set(df.columns)
     if unknown:
         raise ValueError(f"no column {', '.join(sorted(unknown))}")
-    holds = _holds(predicate)
+    held = holds(predicate)
 
     def assigned(name: str) -> Column:
         if name not in assignments:
             return F.col(f"`{name}`")
         new = assignments[name]
         new = F.expr(new) if isinstance(new, str) else new
-        return F.when(holds, new.cast(df.schema[name].dataType)).otherwise(F.col(f"`{name}`")).alias(name)
+        return F.when(held, new.cast(df.schema[name].dataType)).otherwise(F.col(f"`{name}`")).alias(name)
 
     return df.select(*[assigned(name) for name in df.columns])

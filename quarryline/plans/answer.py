@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.audit import classify_statements, degenerate_reason, strip_literals
+from .guard import objections
 
 # Commands that only tell something.
 _TELLING = ("Show", "Describe", "Explain", "SetNamespace", "SetCatalog", "Use", "GetColumns")
@@ -59,12 +62,15 @@ def answer_sql(
     tables: dict[str, DataFrame] | None = None,
     confirm: bool = False,
     limit: int | None = None,
+    functions: Collection[str] = (),
 ) -> DataFrame:
     """Judges a statement and hands it to Spark SQL, the tables registered as views until it is planned.
 
     What the text says is checked against the plan that Spark's parser makes of it: a statement that reads like a query
-    and holds an insert or a command is refused. Answers are whole; with ``limit``, a SELECT that does not end in a LIMIT of
-    its own is answered with so many of its first rows.
+    and holds an insert or a command is refused, and so is one that calls a function other than Spark's harmless ones and
+    those named in ``functions``, or that reads anything but ``tables`` (without any: what the catalog knows). Files are never
+    read or written by their path. Answers are whole; with ``limit``, a SELECT that does not end in a LIMIT of its own is
+    answered with so many of its first rows.
     """
     judged = classify_statements(spark.range(1).select(F.lit(sql).alias("sql")), "sql")
     ends_limited = F.lower(strip_literals(F.col("sql"))).rlike(r"\blimit \w+( offset \w+)? ?;*\z")
@@ -79,6 +85,9 @@ def answer_sql(
     statement = sql.strip().rstrip("; \n\t")
     if verdict["kind"] == "read" and changes_data(spark, statement):
         raise Refused("the statement reads like a query and changes data")
+    objection = next(objections(spark, statement, tables or (), verdict["kind"] == "read", functions), None)
+    if objection:
+        raise Refused(f"the statement uses {objection}")
     if verdict["needs_confirmation"] and not confirm:
         raise NeedsConfirmation(f"this changes data and was not run: {sql}")
     answer = _run(spark, statement, tables or {})

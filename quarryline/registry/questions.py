@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators.rows import count_per_group, delete_rows, last_n_per_user, preview, top_k, update_rows
 from ..plans.answer import answer_sql
-from ..sources.tables import load_flat, rewrite_table
-from .ingest import new_schema
+from ..session import workspace
+from ..sources.versions import StoredTable
 from .base import Check, table
 
 _QUESTION = """
@@ -42,10 +42,10 @@ def _update(spark, sf):
 
 def _stored(spark, sf, assignments=None):
     """Events stored, changed where they are, and read back with the count of rows concerned."""
-    name = f"{new_schema(spark, 'stored')}.events"
-    load_flat(table(spark, sf, "events").select("event_id", "event_type", "value"), name)
-    affected = rewrite_table(spark, name, _PREDICATE, assignments, confirm=True)
-    return spark.table(name).withColumn("affected", F.lit(affected).cast("bigint"))
+    stored = StoredTable(spark, workspace(spark, "stored"))
+    stored.replace(table(spark, sf, "events").select("event_id", "event_type", "value"))
+    change = stored.change(_PREDICATE, assignments, confirm=True)
+    return stored.read().withColumn("affected", F.lit(change.rows).cast("bigint"))
 
 
 _AFFECTED = f"(SELECT count(*) FROM events WHERE {_PREDICATE}) AS affected"

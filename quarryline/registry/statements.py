@@ -37,6 +37,9 @@ _TEMPLATES = (
     ("WITH x AS (SELECT r'\\' AS p, '", "' AS q) INSERT OVERWRITE t SELECT concat(p, 'y') FROM x"),
     ("WITH x AS (SELECT '", "' AS p) /* /* */ ' */ INSERT OVERWRITE t SELECT p FROM x --'"),
     ("WITH x AS (SELECT '", "' AS p) --\rINSERT OVERWRITE t SELECT p FROM x"),
+    ("SELECT builtin.`Java_Method` ('java.lang.System', 'getProperty', '", "')"),
+    ("SELECT count(*) AS n FROM t, csv.`/etc/hosts` WHERE note = '", "'"),
+    ("SELECT reflect, t.csv FROM t WHERE note = 'reflect(x) from csv.`a`", "'"),
 )
 
 
@@ -65,6 +68,8 @@ _STRIPPED = r"""trim(regexp_replace(regexp_replace(sql,
     '\b[rR]''[^'']*''|''(?:[^''\\]|\\[\s\S])*''|"(?:[^"\\]|\\[\s\S])*"|/\*[\s\S]*?\*/|--(?:[^\r\n\\]|\\\n|\\)*|#[^\r\n]*', ' ', 'g'), '\s+', ' ', 'g'))"""
 _VERBS = "drop delete truncate alter update rename replace grant revoke merge copy vacuum optimize insert".split()
 _HIDDEN = " ".join(f"WHEN regexp_matches(s, '(?i)\\b{v}\\b\\s*([^\\s(]|$)') THEN '{v}'" for v in _VERBS)
+# Functions that run code and formats of files, as on the other side.
+_RUNNING, _FORMATS = "java_method|reflect|try_reflect|identifier", "avro|binaryfile|csv|delta|image|json|libsvm|orc|parquet|text|xml"
 _JUDGED_SQL = f"""
 parts AS (SELECT *, regexp_matches(sql, '/\\*[^*]*/\\*') AS unfollowed, [trim(x) for x in string_split({_STRIPPED}, ';') if trim(x) <> ''] AS list FROM statements),
 single AS (SELECT *, len(list) AS n, coalesce(list[1], '') AS s FROM parts),
@@ -78,15 +83,21 @@ kinds AS (SELECT *, CASE
     WHEN verb IN ('select', 'show', 'describe', 'desc', 'explain', 'with', 'use') THEN 'read'
     ELSE 'unknown' END AS raw_kind, CASE {_HIDDEN} END AS verb_inside FROM verbs),
 hidden AS (SELECT *, CASE WHEN raw_kind = 'read' THEN verb_inside END AS smuggled,
-    raw_kind = 'read' AND regexp_matches(s, '(?i)\\binto\\s+(outfile|dumpfile)\\b') AS to_file FROM kinds),
-judged AS (SELECT *, CASE WHEN unfollowed THEN 'unknown' WHEN smuggled IS NOT NULL OR to_file THEN 'destructive' ELSE raw_kind END AS kind, CASE
+    raw_kind = 'read' AND regexp_matches(s, '(?i)\\binto\\s+(outfile|dumpfile)\\b') AS to_file,
+    nullif(lower(regexp_extract(s, '(?i)\\b({_RUNNING})`?\\s*\\(', 1)), '') AS running,
+    regexp_matches(s, '(?i)(\\b(from|join|into|table|describe|desc)\\s+|,\\s*)`?({_FORMATS})`?\\s*\\.\\s*`|`[^`]*/[^`]*`') AS by_path
+    FROM kinds),
+judged AS (SELECT *, CASE WHEN unfollowed OR (raw_kind <> 'unknown' AND smuggled IS NULL AND NOT to_file AND (running IS NOT NULL OR by_path))
+    THEN 'unknown' WHEN smuggled IS NOT NULL OR to_file THEN 'destructive' ELSE raw_kind END AS kind, CASE
     WHEN trim(sql) = '' THEN 'empty SQL'
     WHEN unfollowed THEN 'comments or names that may hide code'
     WHEN n = 0 THEN 'no executable statement'
     WHEN n > 1 THEN n || ' statements at once; send one'
     WHEN raw_kind = 'unknown' THEN 'unrecognised statement type: "' || verb || '"'
     WHEN smuggled IS NOT NULL THEN 'read statement contains "' || upper(smuggled) || '"'
-    WHEN to_file THEN 'read statement writes to a file' ELSE '' END AS reason FROM hidden)"""
+    WHEN to_file THEN 'read statement writes to a file'
+    WHEN running IS NOT NULL THEN 'statement calls "' || running || '"'
+    WHEN by_path THEN 'statement names a file as a table' ELSE '' END AS reason FROM hidden)"""
 _DEGENERATE = r"""CASE WHEN trim(sql) = '' THEN 'empty SQL'
     WHEN regexp_matches(sql, '(?i)(?:\bIN\s*\(|=\s*|,\s*)''''(?:\s*[,)]|\s*$)') THEN 'contains empty string literals'
     WHEN (length(sql) - length(replace(sql, '`', ''))) % 2 <> 0 THEN 'unbalanced backticks'

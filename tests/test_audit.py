@@ -37,6 +37,14 @@ VERDICTS = [
     ("EXPLAIN SELECT 1", True, "read"),
     ("OPTIMIZE t", True, "destructive"),
     ("PURGE t", False, "unknown"),
+    ("SELECT java_method('java.lang.System', 'setProperty', 'a', '1')", False, "unknown"),
+    ("SELECT system.builtin.`REFLECT` /* x */ ('a', 'b')", False, "unknown"),
+    ("INSERT INTO t SELECT try_reflect('a', 'b')", False, "unknown"),
+    ("SELECT IDENTIFIER('java_' || 'method')('a', 'b')", False, "unknown"),
+    ("SELECT count(*) FROM csv.`/etc/passwd`", False, "unknown"),
+    ("SELECT * FROM a, `text`.`notes`", False, "unknown"),
+    ("DROP TABLE parquet.`s3://x/y`", False, "unknown"),
+    ("SELECT reflect, t.csv, 'reflect(x)' FROM t WHERE c = 'csv.`/a`'", True, "read"),
     ("123", False, "unknown"),
     ("  \n ", False, "unknown"),
     ("-- only a remark", False, "unknown"),
@@ -61,6 +69,8 @@ REASONS = {
     "CREATE USER bob": 'unrecognised statement type: "create"',
     "WITH x AS (SELECT 1) MERGE INTO t USING x WHEN MATCHED THEN DELETE": 'read statement contains "DELETE"',
     "SELECT * INTO DUMPFILE 'x' FROM t": "read statement writes to a file",
+    "SELECT Reflect('a', 'b')": 'statement calls "reflect"',
+    "SELECT * FROM json.`a`": "statement names a file as a table",
 }
 
 
@@ -189,3 +199,75 @@ def test_refusals(spark, schema):
     assert spark.catalog.tableExists(f"{schema}.t")
     answer_sql(spark, f"DROP TABLE {schema}.t", confirm=True)
     assert not spark.catalog.tableExists(f"{schema}.t")
+
+
+REACHING = [
+    "SELECT java_method('java.lang.System', 'setProperty', 'quarryline.reached', '1')",
+    "SELECT try_reflect('java.lang.System', 'setProperty', 'quarryline.reached', '1')",
+    "EXPLAIN SELECT reflect('java.lang.System', 'setProperty', 'quarryline.reached', '1')",
+    "DESCRIBE QUERY SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+    "WITH x AS (SELECT 1 AS a) SELECT (SELECT max(reflect('a', 'b', a)) FROM x) FROM numbers",
+    "SELECT * FROM numbers WHERE n IN (SELECT n FROM numbers WHERE system.builtin.java_method('a', 'b') = 'c')",
+    "SELECT IDENTIFIER('java_' || 'method')('a', 'b')",
+    "SELECT * FROM IDENTIFIER('csv.`/etc/passwd`')",
+    "SELECT count(*) FROM csv.`/etc/passwd`",
+    "SELECT * FROM numbers UNION ALL SELECT value FROM `text`.`/etc/passwd`",
+    "DESCRIBE csv.`/etc/passwd`",
+    "SELECT input_file_name() FROM numbers",
+    "SELECT from_protobuf(n, 'm', '/etc/passwd') FROM numbers",
+    "SELECT * FROM python_worker_logs()",
+    "SELECT TRANSFORM(n) USING 'cat' FROM numbers",
+    "SELECT my_own(n) FROM numbers",
+    "SELECT * FROM elsewhere",
+    "CREATE TABLE {t} USING csv LOCATION '/etc'",
+    "CREATE TABLE {t} USING csv OPTIONS (path '/etc/passwd')",
+    "CREATE TEMPORARY VIEW v USING csv OPTIONS (path '/etc/passwd')",
+    "INSERT OVERWRITE DIRECTORY '/tmp/quarryline-reached' USING parquet SELECT 1",
+    "INSERT INTO csv.`/tmp/quarryline-reached` SELECT 1",
+    "ALTER TABLE {t} SET LOCATION '/etc'",
+]
+
+
+@pytest.mark.parametrize("text", REACHING)
+def test_statements_reach_tables_and_nothing_else(spark, schema, text):
+    spark.udf.register("my_own", lambda n: n, "long")
+    spark.range(1).createOrReplaceTempView("elsewhere")
+    try:
+        with pytest.raises(Refused):
+            answer_sql(spark, text.format(t=f"{schema}.t"), {"numbers": spark.range(5).toDF("n")}, confirm=True)
+    finally:
+        spark.catalog.dropTempView("elsewhere")
+    assert spark._jvm.java.lang.System.getProperty("quarryline.reached") is None
+
+
+ALLOWED = [
+    "WITH x AS (SELECT n, n % 2 AS odd FROM numbers), y AS (SELECT * FROM x) SELECT odd, sum(n) OVER (PARTITION BY odd ORDER BY n) FROM y",
+    "SELECT odd, count(DISTINCT n) FILTER (WHERE n > 1) FROM (SELECT n, n % 2 AS odd FROM numbers) GROUP BY GROUPING SETS ((odd), ()) HAVING count(*) > 0",
+    "SELECT a.n FROM numbers a LEFT ANTI JOIN Numbers b ON a.n = b.n + 1 ORDER BY 1 LIMIT 3 OFFSET 0",
+    "SELECT * FROM numbers LATERAL VIEW explode(sequence(0, n)) t AS m WHERE EXISTS (SELECT 1 FROM numbers c WHERE c.n = m)",
+    "SELECT n, k FROM numbers, LATERAL (SELECT n + 1 AS k)",
+    "SELECT * FROM (SELECT n % 2 AS odd, n FROM numbers) PIVOT (sum(n) FOR odd IN (0, 1))",
+    "SELECT id FROM range(3) EXCEPT SELECT n FROM numbers INTERSECT SELECT col1 FROM VALUES (1), (2)",
+    "SELECT transform(array(n), x -> upper(concat(x, 'a'))) AS u, extract(YEAR FROM current_date()) AS y, md5('a') FROM numbers",
+    "SELECT n FROM numbers |> WHERE n > 2 |> AGGREGATE sum(n) AS s",
+    "EXPLAIN SELECT * FROM numbers TABLESAMPLE (10 ROWS)",
+    "SELECT my_own(n) FROM numbers",
+]
+
+
+@pytest.mark.parametrize("text", ALLOWED)
+def test_queries_of_all_kinds_are_answered(spark, text):
+    spark.udf.register("my_own", lambda n: n, "long")
+    answer = answer_sql(spark, text, {"numbers": spark.range(5).toDF("n")}, functions=["my_own"])
+    assert answer.count() >= 0
+
+
+def test_without_tables_the_catalog_is_asked(spark, rows, schema):
+    answer_sql(spark, f"CREATE TABLE {schema}.t USING parquet AS SELECT 1 AS a")
+    assert answer_sql(spark, f"SELECT a FROM {schema}.t").first().a == 1
+    answer_sql(spark, f"INSERT INTO {schema}.t SELECT n FROM numbers", {"numbers": spark.range(2).toDF("n").selectExpr("int(n) AS n")})
+    assert answer_sql(spark, f"SELECT count(*) AS c FROM {schema}.t").first().c == 3
+    with pytest.raises(Refused, match="the table"):
+        answer_sql(spark, f"SELECT a FROM {schema}.other")
+    with pytest.raises(Refused, match="the table"):
+        answer_sql(spark, f"SELECT a FROM {schema}.t", {"numbers": spark.range(2)})
