@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..functions.aggregates import aggregate, aggregate_alias
 from ..sources.csv import drop_empty_rows
 from ..sources.tables import INGESTED_AT, business_columns
-from .profile import distinct_counts
+from .profile import EXACT_VALUES, STATE_ERROR, column_states, distinct_counts
 
 
 def dedup_latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -51,11 +51,23 @@ def dimension_scores(df: DataFrame, approx: bool = False) -> DataFrame:
 
 
 def choose_dimension(df: DataFrame, approx: bool = False) -> str:
-    """The text column with the fewest values that still groups; else the first text column, else the first."""
+    """The text column with the fewest values that still groups; else the first text column, else the first.
+
+    Columns with few values are told by their states, which exchange a sketch per column and task. Only where none of them
+    groups are the others counted: exactly, or with ``approx`` by their states too.
+    """
     names = _text_columns(df)
     if not names:
         return business_columns(df)[0]
-    best = dimension_scores(df, approx).filter("groups").orderBy("distinct_values", "position").first()
+    states = column_states(df.select(*[F.col(f"`{c}`") for c in names])).collect()
+    few = [s for s in states if s["about"] <= EXACT_VALUES and 1 < s["about"] < s["n_rows"]]
+    many = [s["column"] for s in states if s["about"] > EXACT_VALUES]
+    if few or not many:
+        return min(few, key=lambda s: (s["about"], s["position"]))["column"] if few else names[0]
+    if approx:
+        few = [s for s in states if s["about"] > EXACT_VALUES and s["about"] < s["n_rows"] * (1 - STATE_ERROR)]
+        return min(few, key=lambda s: (s["about"], s["position"]))["column"] if few else names[0]
+    best = dimension_scores(df.select(*[F.col(f"`{c}`") for c in many])).filter("groups").orderBy("distinct_values", "position").first()
     return best["column"] if best else names[0]
 
 

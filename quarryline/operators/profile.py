@@ -17,6 +17,11 @@ SHOWN_VALUES = 12
 
 PARALLEL_TABLES = 8
 
+_STATE_BITS = 12
+#: Distinct values up to which a column's state counts them exactly, and by how much an estimate beyond may be off (five
+#: times its standard error).
+EXACT_VALUES, STATE_ERROR = 1 << _STATE_BITS, 5 / (1 << _STATE_BITS // 2)
+
 _NUMERIC = (T.IntegralType, T.FloatType, T.DoubleType, T.DecimalType)
 _DATED = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -97,6 +102,33 @@ def distinct_counts(df: DataFrame, approx: bool = False) -> DataFrame:
     return _on_side(row, structs)
 
 
+def column_states(df: DataFrame) -> DataFrame:
+    """``position, column, n_rows, n_present, about`` of every column, from one scan that exchanges a sketch of fixed size per
+    column and task, whatever the values.
+
+    ``about`` is the number of distinct values: exact up to ``EXACT_VALUES`` (the sketch holds the hashes of them all), beyond
+    that an estimate, which is always over it.
+    """
+    facts = [F.count("*").alias("n")]
+    for i, field in enumerate(df.schema.fields):
+        value = F.col(f"`{field.name}`")
+        plain = isinstance(field.dataType, (T.StringType, T.IntegralType, T.DateType, T.TimestampType, T.TimestampNTZType))
+        seen = F.when(value.isNotNull(), F.xxhash64(value if plain else _value_text(field)))
+        sketch = F.theta_sketch_estimate(F.theta_sketch_agg(seen, _STATE_BITS))
+        facts += [F.count(value).alias(f"p{i}"), F.coalesce(sketch, F.lit(0)).alias(f"d{i}")]
+    structs = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(c).alias("column"),
+            F.col("n").alias("n_rows"),
+            F.col(f"p{i}").alias("n_present"),
+            F.when(F.col(f"p{i}") > 0, F.col(f"d{i}")).otherwise(0).cast("bigint").alias("about"),
+        )
+        for i, c in enumerate(df.columns)
+    ]
+    return _on_side(df.agg(*facts), structs)
+
+
 def _long(df: DataFrame, columns: list[str], value: str, type_name: str) -> DataFrame:
     """One row per column and cell, all cells cast to one type."""
     cells = df.select(*[F.col(f"`{c}`").cast(type_name).alias(c) for c in columns])
@@ -200,12 +232,28 @@ class ColumnKind:
     kind: str
 
 
+def _counted(df: DataFrame, approx: bool) -> list[tuple[int, int, bool]]:
+    """Rows, distinct values and whether all rows differ, by column. Only columns with more values than a state counts
+    exactly are counted by exchanging their values, and none with ``approx``."""
+    states = sorted(column_states(df).collect(), key=lambda s: s["position"])
+    many = [s["column"] for s in states if s["about"] > EXACT_VALUES]
+    if approx or not many:
+        near = [s["n_present"] == s["n_rows"] and s["about"] >= s["n_rows"] * (1 - STATE_ERROR) for s in states]
+        same = [s["about"] >= s["n_rows"] if s["about"] <= EXACT_VALUES else all_differ for s, all_differ in zip(states, near)]
+        return [(s["n_rows"], s["about"], u) for s, u in zip(states, same)]
+    exact = {r["column"]: r["distinct_values"] for r in distinct_counts(df.select(*[F.col(f"`{c}`") for c in many])).collect()}
+    found = [(s["n_rows"], exact.get(s["column"], s["about"])) for s in states]
+    return [(n, d, d >= n) for n, d in found]
+
+
 def column_kinds(df: DataFrame, approx: bool = False) -> list[ColumnKind]:
-    """The probe each column deserves. Runs one aggregate and fetches a row per column."""
-    counts = {row["position"]: row for row in distinct_counts(df, approx).collect()}
+    """The probe each column deserves. Fetches a row per column.
+
+    What groups and what does not is exact either way, since states count few values exactly. ``approx=True`` takes counts of
+    many values, and whether nearly as many values as rows are all of them, from the states too.
+    """
     kinds = []
-    for i, field in enumerate(df.schema.fields):
-        n, d = counts[i]["n_rows"], counts[i]["distinct_values"]
+    for i, (field, (n, d, all_differ)) in enumerate(zip(df.schema.fields, _counted(df, approx))):
         if is_dated(field):
             kind = "date"
         elif FEW_VALUES[0] <= d <= FEW_VALUES[1] and d < n:
@@ -213,7 +261,7 @@ def column_kinds(df: DataFrame, approx: bool = False) -> list[ColumnKind]:
         elif is_numeric(field) and d > FEW_VALUES[1]:
             kind = "range"
         else:
-            kind = "unique" if d >= n > 1 else "plain"
+            kind = "unique" if all_differ and n > 1 else "plain"
         kinds.append(ColumnKind(i, field.name, field.dataType.simpleString(), role_of(field), n, d, kind))
     return kinds
 
@@ -330,12 +378,13 @@ def profile_namespace(tables: dict[str, DataFrame], approx: bool = False) -> Dat
     return reduce(DataFrame.unionByName, profiles)
 
 
-def rank_dimensions(df: DataFrame, approx: bool = False) -> DataFrame:
+def rank_dimensions(df: DataFrame) -> DataFrame:
     """Columns worth grouping by, those whose groups differ most in size first.
 
-    Unique and constant columns never qualify; a column whose groups are all equal is dropped.
+    Unique and constant columns never qualify; a column whose groups are all equal is dropped. The states say exactly which
+    columns have few values, so the values of others are not exchanged.
     """
-    names = [k.name for k in column_kinds(df, approx) if k.kind == "dist"]
+    names = [k.name for k in column_kinds(df, approx=True) if k.kind == "dist"]
     if not names:
         return df.sparkSession.createDataFrame([], "column string, spread double, place int")
     order = W.partitionBy(F.lit(0)).orderBy(F.desc("spread"), "column")  # a row per column at most

@@ -1,8 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quarryline.operators.medallion import choose_dimension
 from quarryline.operators.profile import (
+    EXACT_VALUES,
+    STATE_ERROR,
     column_kinds,
+    column_states,
     daily_counts,
     daily_verdict,
     distinct_counts,
@@ -153,3 +157,54 @@ def test_every_place_of_a_bend(spark):
     bent = df.selectExpr("bend as g", "x", "x + if(x = bend, 0.5, 0) as y")
     found = series_quality(bent, "x", "y", "g")
     assert {r.quality for r in found.collect()} == {"varies"} and found.count() == 40
+
+
+def test_states_are_exact_up_to_their_bound_and_over_it_beyond(spark):
+    df = spark.range(0, 50_000, 1, 8).select(
+        "id",
+        (F.col("id") % EXACT_VALUES).alias("full"),
+        (F.col("id") % 15).cast("string").alias("few"),
+        F.when(F.col("id") % 2 == 0, F.lit("")).alias("empty"),
+        (F.col("id") % 7 * F.lit(-0.0)).alias("zeros"),
+        F.lit(None).cast("int").alias("none"),
+        F.struct((F.col("id") % 3).alias("a")).alias("nested"),
+        F.create_map(F.lit("k"), F.col("id") % 5).alias("mapped"),
+        F.unhex(F.hex(F.col("id") % 6)).alias("raw"),
+    )
+    found = {r.column: (r.n_rows, r.n_present, r.about) for r in column_states(df).collect()}
+    n, present, about = found.pop("id")
+    assert (n, present) == (50_000, 50_000) and abs(about - 50_000) < 50_000 * STATE_ERROR
+    assert {c: f[2] for c, f in found.items()} == {
+        "full": EXACT_VALUES, "few": 15, "empty": 1, "zeros": 1, "none": 0, "nested": 3, "mapped": 5, "raw": 6
+    }
+    assert found["empty"][1] == 25_000 and found["none"][1] == 0
+    assert [tuple(r)[2:] for r in column_states(df.limit(0)).collect()] == [(0, 0, 0)] * 9
+
+
+def test_kinds_by_states_equal_kinds_by_counts(spark):
+    df = spark.range(0, 20_000, 1, 4).select(
+        "id",
+        F.col("id").cast("string").alias("label"),
+        F.when(F.col("id") > 0, F.col("id").cast("string")).alias("label_with_null"),
+        F.when(F.col("id") > 0, F.col("id")).otherwise(1).cast("string").alias("one_twice"),
+        (F.col("id") % 9000).cast("string").alias("many"),
+        (F.col("id") % 16).cast("string").alias("sixteen"),
+        (F.col("id") % 15).cast("string").alias("fifteen"),
+        F.lit("x").alias("same"),
+    )
+    kinds = {k.name: (k.kind, k.distinct) for k in column_kinds(df)}
+    assert kinds == {
+        "id": ("range", 20_000), "label": ("unique", 20_000), "label_with_null": ("plain", 19_999), "one_twice": ("plain", 19_999),
+        "many": ("plain", 9000), "sixteen": ("plain", 16), "fifteen": ("dist", 15), "same": ("plain", 1),
+    }
+    rough = {k.name: k.kind for k in column_kinds(df, approx=True)}
+    assert {c for c in kinds if kinds[c][0] != rough[c]} <= {"one_twice"}  # one repeat in 20,000 is beyond an estimate
+    assert choose_dimension(df) == "fifteen" and choose_dimension(df.select("label", "one_twice", "many")) == "many"
+    assert choose_dimension(df.select("label", "one_twice")) == "one_twice"
+    assert choose_dimension(df.select("label", "same")) == "label"
+
+
+def test_states_do_not_exchange_values(spark):
+    df = spark.range(0, 1000, 1, 4).select(F.col("id").cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
+    plan = column_states(df)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and plan.count("Exchange SinglePartition") == 1
