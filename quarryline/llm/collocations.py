@@ -5,13 +5,15 @@ the one before it ends behind the same four; so equal stretches of text are cut
 becomes a dictionary of distinct chunks with the frequency of each in the parse. A run of up to five words belongs to
 the chunk in which it begins before the next trigger, so what chunks share is counted once.
 
-Counts are taken level by level. A phrase is as frequent as the threshold only if its words and pairs are, so a bitmap
-of fixed size says which words, then which pairs, may be. Bitmaps only let runs pass; what passes is counted by
+Counts are taken level by level. A phrase is as frequent as the threshold only if its parts are, so a bitmap of fixed
+size says which words, then which pairs, then which threes may be. Bitmaps only let runs pass; what passes is counted by
 its own words.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -26,10 +28,13 @@ from quarryline.session import workspace
 
 #: Most words of a phrase; words that a trigger looks at, one less; one in so many places is a trigger.
 MOST, TRIGGER, SPACING = 5, 4, 32
-#: Bits of a bitmap: 4 MB, whatever the corpus.
-BITS = 25
-#: Bytes of chunks worked on at a time; parts in which the best phrases of a language are found before they meet.
-WORK_BYTES, DEALT = 8 << 20, 64
+#: Bits of a bitmap: 4 MB, whatever the corpus. Widths that have one.
+BITS, LEVELS = 25, 3
+#: Bytes of chunks worked on at a time, and keys that a task sums up before it lets them go.
+WORK_BYTES, HELD = 2 << 20, 1 << 20
+#: Parts in which the best phrases of a language are found before they meet.
+DEALT = 64
+_STEP = np.uint64(0xD1B54A32D192ED03)
 
 # What ends a piece.
 _ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -98,51 +103,49 @@ def parse(documents: DataFrame) -> DataFrame:
 
 
 class _Chunks:
-    """Some chunks as arrays: the hash of every word, which of them is a word, and the times its chunk counts."""
+    """Some chunks as arrays, word by word: hashes, which are words, and the times their chunk counts."""
 
-    def __init__(self, langs: list[str], chunks: list[bytes], freqs: list[int]):
+    def __init__(self, langs: list[str], chunks: list[bytes], freqs: list[int], bitmaps: list[np.ndarray]):
         self.joined = b" ".join(chunks)
         self.starts, self.ends = _spans(self.joined)
-        hashes, self.offsets = word_hashes(chunks)
-        sizes = np.diff(self.offsets)
-        names = list(dict.fromkeys(langs))
-        self.langs, number = names, {n: i for i, n in enumerate(names)}
-        self.lang = np.repeat(np.array([number[n] for n in langs], np.int32), sizes)
-        salts = np.array([int.from_bytes(n.encode()[:7].ljust(7, b"\0"), "little") for n in names], np.uint64)
+        hashes, offsets = word_hashes(chunks)
+        sizes = np.diff(offsets)
+        self.langs = list(dict.fromkeys(langs))
+        number = {name: i for i, name in enumerate(self.langs)}
+        self.lang = np.repeat(np.array([number[name] for name in langs], np.int32), sizes)
+        salts = np.frombuffer(b"".join([hashlib.blake2b(name.encode(), digest_size=8).digest() for name in self.langs]), np.uint64)
         self.hashes = mix(hashes ^ mix(salts)[self.lang])
         self.times = np.repeat(np.array(freqs, np.int64), sizes)
-        self.is_word = np.frombuffer(self.joined, np.uint8)[self.starts] != _BREAK[0]
-        self.own = np.ones(len(hashes), bool)  # all but those that the next chunk begins with
-        for i in range(1, TRIGGER + 1):
-            self.own[self.offsets[1:] - i] = False
-
-    def runs(self, width: int, allowed: list[np.ndarray]) -> np.ndarray:
-        """Where runs of ``width`` words begin that are all words, inside one chunk, and pass the bitmaps."""
-        n = len(self.hashes) - width + 1
-        if n <= 0:
-            return np.empty(0, np.int64)
-        passes = self.is_word if not allowed else self.is_word & _passes(self.hashes, allowed[0])
-        at = np.flatnonzero(self.own[:n] & passes[:n])
-        for i in range(1, width):  # a run that begins in a chunk's own part ends before the chunk does
-            at = at[passes[at + i]]
-        if width > 1 and len(allowed) > 1:
-            for i in range(width - 1):
-                at = at[_passes(self.run_hashes(at + i, 2), allowed[1])]
-        return at
+        self._is_word = np.frombuffer(self.joined, np.uint8)[self.starts] != _BREAK[0]
+        self._left = np.repeat(offsets[1:], sizes) - np.arange(len(hashes))  # words to the end of the chunk
+        self._bitmaps = bitmaps
+
+    def runs(self, most: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each width up to ``most``, where runs of so many words begin that belong to the chunk they stand in and all
+        parts of which pass the bitmaps. What a chunk has in common with the next one belongs to that."""
+        passes = self._is_word
+        for width in range(1, most + 1):
+            if width > 1:
+                passes = passes & np.append(passes[1:], False) & (self._left >= width)
+            if width <= len(self._bitmaps):
+                at = np.flatnonzero(passes)
+                bit = self.run_hashes(at, width) >> np.uint64(64 - BITS)
+                held = self._bitmaps[width - 1][(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)
+                passes = passes.copy()
+                passes[at] = held & 1 > 0
+            yield width, np.flatnonzero(passes & (self._left > TRIGGER))
 
     def run_hashes(self, at: np.ndarray, width: int) -> np.ndarray:
+        if width == 1:
+            return self.hashes[at]
         total = np.full(len(at), width, np.uint64)
         for i in range(width):
-            total = total * np.uint64(0xD1B54A32D192ED03) + self.hashes[at + i]
+            total = total * _STEP + self.hashes[at + i]
         return mix(total)
 
 
-def _passes(hashes: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
-    bit = hashes >> np.uint64(64 - BITS)
-    return bitmap[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
-
-
-def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunks]:
+def _held(batches: Iterator[pa.RecordBatch], packed: list[bytes]) -> Iterator[_Chunks]:
+    bitmaps = [np.frombuffer(zlib.decompress(b), np.uint8) for b in packed]
     langs, chunks, freqs, size = [], [], [], 0
     for batch in batches:
         for lang, chunk, freq in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -151,46 +154,58 @@ def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[_Chunks]:
             freqs.append(freq)
             size += len(chunk)
             if size > WORK_BYTES:
-                yield _Chunks(langs, chunks, freqs)
+                yield _Chunks(langs, chunks, freqs, bitmaps)
                 langs, chunks, freqs, size = [], [], [], 0
     if chunks:
-        yield _Chunks(langs, chunks, freqs)
+        yield _Chunks(langs, chunks, freqs, bitmaps)
 
 
-def _sums(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the first place of each, and the sum of its times."""
-    order = np.argsort(keys, kind="stable")
+def _sums(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sum of the times of each."""
+    order = np.argsort(keys)
     keys = keys[order]
     begins = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[begins], order[begins], np.add.reduceat(times[order], begins)
+    return keys[begins], np.add.reduceat(times[order], begins)
+
 
+def _hashed(width: int, packed: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``h, times`` of the runs of one width: sums of as many slices as stay below ``HELD`` keys."""
 
-def _hashed(width: int, allowed: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bitmaps = [np.frombuffer(b, np.uint8) for b in allowed]
-    for chunks in _held(batches):
-        at = chunks.runs(width, bitmaps)
-        if len(at):
-            keys, _, times = _sums(chunks.run_hashes(at, width) if width > 1 else chunks.hashes[at], chunks.times[at])
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], ["h", "times"])
+    def rows(keys, times):
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], ["h", "times"])
 
+    keys, times = np.empty(0, np.uint64), np.empty(0, np.int64)
+    for chunks in _held(batches, packed):
+        *_, (_, at) = chunks.runs(width)
+        if not len(at):
+            continue
+        keys, times = np.concatenate((keys, chunks.run_hashes(at, width))), np.concatenate((times, chunks.times[at]))
+        keys, times = _sums(keys, times)
+        if len(keys) > HELD:
+            yield rows(keys, times)
+            keys, times = keys[:0], times[:0]
+    if len(keys):
+        yield rows(keys, times)
 
-def _phrases(allowed: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    bitmaps = [np.frombuffer(b, np.uint8) for b in allowed]
-    for chunks in _held(batches):
-        for width in range(1, MOST + 1):
-            at = chunks.runs(width, bitmaps)
+
+def _phrases(packed: list[bytes], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``lang, phrase, width, times`` of the runs that pass, each once a slice. Runs are told apart by hash and length."""
+    for chunks in _held(batches, packed):
+        for width, at in chunks.runs(MOST):
             if not len(at):
                 continue
-            counts: Counter = Counter()
-            a, b = chunks.starts[at].tolist(), chunks.ends[at + width - 1].tolist()
-            for lang, start, end, times in zip(chunks.lang[at].tolist(), a, b, chunks.times[at].tolist()):
-                counts[lang, chunks.joined[start:end]] += times
+            starts, ends = chunks.starts[at], chunks.ends[at + width - 1]
+            order = np.lexsort((ends - starts, chunks.run_hashes(at, width)))
+            keys, sizes = chunks.run_hashes(at, width)[order], (ends - starts)[order]
+            begins = np.flatnonzero(np.append(True, (keys[1:] != keys[:-1]) | (sizes[1:] != sizes[:-1])))
+            first = order[begins]
+            found = zip(starts[first].tolist(), ends[first].tolist())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([chunks.langs[lang] for lang, _ in counts], pa.string()),
-                    pa.array([phrase.decode() for _, phrase in counts], pa.string()),
-                    pa.array([width] * len(counts), pa.int32()),
-                    pa.array(list(counts.values()), pa.int64()),
+                    pa.array([chunks.langs[i] for i in chunks.lang[at[first]].tolist()], pa.string()),
+                    pa.array([chunks.joined[a:b].decode() for a, b in found], pa.string()),
+                    pa.array(np.full(len(first), width, np.int32)),
+                    pa.array(np.add.reduceat(chunks.times[at][order], begins)),
                 ],
                 ["lang", "phrase", "width", "times"],
             )
@@ -214,9 +229,11 @@ def _mapped(dictionary: DataFrame, run: Callable, schema: str) -> DataFrame:
 
 def frequent_phrases(dictionary: DataFrame, least: int) -> DataFrame:
     """``lang, phrase, width, f`` of every run of one to five words inside a piece that occurs ``least`` times or more."""
-    words = _bitmap(_mapped(dictionary, partial(_hashed, 1, []), "h long, times long"), least)
-    pairs = _bitmap(_mapped(dictionary, partial(_hashed, 2, [words]), "h long, times long"), least)
-    found = _mapped(dictionary, partial(_phrases, [words, pairs]), "lang string, phrase string, width int, times long")
+    packed: list[bytes] = []
+    for width in range(1, LEVELS + 1):
+        counted = _mapped(dictionary, partial(_hashed, width, list(packed)), "h long, times long")
+        packed.append(zlib.compress(_bitmap(counted, least), 1))
+    found = _mapped(dictionary, partial(_phrases, packed), "lang string, phrase string, width int, times long")
     return found.groupBy("lang", "phrase", "width").agg(F.sum("times").alias("f")).where(F.col("f") >= least)
 
 
