@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,40 +45,62 @@ def drop_empty_rows(df: DataFrame, columns: list[str] | None = None) -> DataFram
     return df.filter(reduce(Column.__or__, [F.col(f"`{c}`").isNotNull() for c in columns or df.columns]))
 
 
-def _spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether a quoted cell holds a line end: then, and only then, a line has an odd count of quotes."""
+def csv_files(spark: SparkSession, path: str) -> DataFrame:
+    """``file, n_lines, n_odd, spans_lines`` of every CSV file: whether a quoted cell may hold a line end, as a line with an odd
+    count of quotes tells. Only such files cannot be split among tasks."""
     odd = count_of(F.col("value"), '"') % 2 == 1
-    return bool(spark.read.text(path).agg(F.bool_or(odd)).first()[0])
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), odd.alias("odd"))
+    counts = lines.groupBy("file").agg(F.count("*").alias("n_lines"), F.count_if("odd").alias("n_odd"))
+    return counts.withColumn("spans_lines", F.col("n_odd") > 0)
+
+
+def _as_path(uri: str) -> str:
+    """A file as Spark names it, as a path that stands for this file only."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(uri))
 
 
 def scan_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """A headed, quoted CSV file (or folder of them) as text columns; a cell without characters is null.
 
-    Files whose cells may span lines cannot be split among tasks. By default one pass over the text
-    decides whether that is needed, so large plain files are still read in parallel.
+    Files whose cells may span lines cannot be split among tasks. By default one pass over the text tells which files those
+    are (``csv_files`` names them); all others are read in parallel. The driver gets a name per file, and only where there
+    are files of both sorts.
     """
+    whole = split = [path]
     if multi_line is None:
-        multi_line = _spans_lines(spark, path)
-    reader = spark.read.options(**DIALECT, multiLine=multi_line)
+        spans = csv_files(spark, path).groupBy("spans_lines").agg(F.count("*").alias("n")).collect()
+        if len(spans) < 2:
+            multi_line = bool(spans and spans[0]["spans_lines"])
+        else:
+            files = csv_files(spark, path).select("file", "spans_lines").collect()
+            whole = [_as_path(f["file"]) for f in files if f["spans_lines"]]
+            split = [_as_path(f["file"]) for f in files if not f["spans_lines"]]
+    reader = spark.read.options(**DIALECT)
     # Read headless first: Spark renames repeated header cells, which would hide a duplicate.
-    first = reader.csv(path, header=False).first()
+    first = reader.csv(split if multi_line is None else path, header=False, multiLine=bool(multi_line)).first()
     if first is None:
         raise ValueError("CSV needs a header row and at least one data row")
     raw = [cell.rstrip("\r") if cell else cell for cell in first]
     names = clean_names(raw)
     schema = T.StructType([T.StructField(name, T.StringType()) for name in raw])
-    # enforceSchema off: a further file with another header is an error, not shifted columns.
-    table = reader.schema(schema).csv(path, header=True, enforceSchema=False).toDF(*names)
-    if table.isEmpty():
-        raise ValueError("CSV needs a header row and at least one data row")
 
-    def cell(name: str) -> Column:
+    def cell(name: str, spanning: bool) -> Column:
         text = F.col(name)
-        if multi_line:  # a file may mix line ends
+        if spanning:  # a file may mix line ends
             text = F.regexp_replace(F.rtrim(text, F.lit("\r")), "\r\n?", "\n")
         return F.nullif(text, F.lit("")).alias(name)
 
-    return drop_empty_rows(table.select(*[cell(name) for name in names]))
+    def rows(paths: list[str], spanning: bool) -> DataFrame:
+        # enforceSchema off: a further file with another header is an error, not shifted columns.
+        held = reader.schema(schema).csv(paths, header=True, enforceSchema=False, multiLine=spanning).toDF(*names)
+        return held.select(*[cell(name, spanning) for name in names])
+
+    parts = [rows(whole, True)] if multi_line is not False else []
+    parts += [rows(split, False)] if not multi_line else []
+    table = reduce(DataFrame.union, parts)
+    if table.isEmpty():
+        raise ValueError("CSV needs a header row and at least one data row")
+    return drop_empty_rows(table)
 
 
 def _plain(field: T.StructField) -> Column:

@@ -1,6 +1,9 @@
+import re
+from urllib.parse import unquote
+
 import pytest
 
-from quarryline.sources.csv import clean_name, clean_names, drop_empty_rows, export_snapshot, scan_csv
+from quarryline.sources.csv import clean_name, clean_names, csv_files, drop_empty_rows, export_snapshot, scan_csv
 
 
 def scan(spark, tmp_path, text, **options):
@@ -96,3 +99,26 @@ def test_export_limit_and_columns(spark, rows, tmp_path):
     export_snapshot(df, str(tmp_path / "out"), columns=["b"], limit=10)
     table = scan_csv(spark, str(tmp_path / "out"))
     assert table.columns == ["b"] and table.count() == 10
+
+
+def test_one_stray_quote_costs_one_file(spark, tmp_path):
+    """Ninety-nine plain files and one whose cell holds a line end, under a name that is no plain path."""
+    folder = tmp_path / "drop [x] 100%"
+    folder.mkdir()
+    for i in range(99):
+        (folder / f"f{i}.csv").write_text(f"id,note\n{i},plain {i}\n")
+    (folder / "odd {1} é*.csv").write_text('id,note\n99,"two\r\nlines"\n100,"it said ""so"""\n')
+    files = csv_files(spark, str(folder).replace("[", "\\[").replace("]", "\\]")).collect()
+    assert len(files) == 100 and [unquote(f.file).rsplit("/", 1)[1] for f in files if f.spans_lines] == ["odd {1} é*.csv"]
+    table = scan_csv(spark, str(folder).replace("[", "\\[").replace("]", "\\]"))
+    found = {r.id: r.note for r in table.collect()}
+    assert found == {str(i): f"plain {i}" for i in range(99)} | {"99": "two\nlines", "100": 'it said "so"'}
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert sorted(re.findall(r"InMemoryFileIndex\((\d+) paths\)", plan)) == ["1", "99"]
+
+
+def test_files_of_both_sorts_must_agree_on_the_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,note\n1,x\n")
+    (tmp_path / "b.csv").write_text('id,text\n2,"a\nb"\n')
+    with pytest.raises(Exception):
+        scan_csv(spark, str(tmp_path)).collect()
