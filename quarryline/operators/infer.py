@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # The shapes a text value is recognised by, and the largest value of an INT column.
@@ -89,8 +90,9 @@ def spark_type(inferred: Column) -> Column:
     return known.otherwise("string")
 
 
-def infer_types(df: DataFrame) -> DataFrame:
-    """One row per text column: its position, inferred type, Spark type, longest value, values present.
+def infer_states(df: DataFrame) -> DataFrame:
+    """``position, column, shapes, longest, n_present`` of every text column: the shapes its values have, a bit for each, the
+    longest value and how many there are. States of parts make up the state of the whole (``merge_states``).
 
     The table is read once, turned on its side and reduced to one row per column in each task, so
     the exchange is tiny and the generated code does not grow with the number of columns.
@@ -108,15 +110,49 @@ def infer_types(df: DataFrame) -> DataFrame:
             F.count(text).alias("n_present"),
         )
     )
-    known = listing.join(facts, "column", "left").select(
+    return listing.join(facts, "column", "left").select(
         "position", "column", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("shapes", "longest", "n_present")]
     )
-    inferred = known.withColumn("inferred", _type_name(F.col("shapes"), F.col("longest")))
+
+
+def merge_states(states: DataFrame) -> DataFrame:
+    """One state per column from any number of them; a column stands where it first stood."""
+    return states.groupBy("column").agg(
+        F.min("position").alias("position"),
+        F.bit_or("shapes").alias("shapes"),
+        F.max("longest").alias("longest"),
+        F.sum("n_present").alias("n_present"),
+    )
+
+
+def types_of(states: DataFrame) -> DataFrame:
+    """One row per column: its position, inferred type, Spark type, longest value, values present."""
+    inferred = states.withColumn("inferred", _type_name(F.col("shapes"), F.col("longest")))
     return inferred.select(
         "position", "column", "inferred", spark_type(F.col("inferred")).alias("spark_type"), "longest", "n_present"
     )
 
 
+def infer_types(df: DataFrame) -> DataFrame:
+    """The type of every text column from all its values; see ``types_of``."""
+    return types_of(infer_states(df))
+
+
+def remember_states(df: DataFrame, folder: str, source: str) -> None:
+    """Keeps the states of one file's columns below ``folder``, in place of those kept for the same source before."""
+    name = hashlib.sha256(source.encode()).hexdigest()
+    states = infer_states(df).withColumn("source", F.lit(source))
+    states.coalesce(1).write.mode("overwrite").parquet(f"{folder}/state={name}")
+
+
+def remembered_types(spark: SparkSession, folder: str) -> DataFrame:
+    """The types of all files remembered below ``folder``, as if inferred from them together; no file is read again.
+
+    A column that some files lack has the type of those that have it.
+    """
+    return types_of(merge_states(spark.read.parquet(folder)))
+
+
 def collect_types(inferred: DataFrame) -> dict[str, str]:
     """Column name to inferred type; as many rows as the table has columns."""
     return {row["column"]: row["inferred"] for row in inferred.orderBy("position").collect()}

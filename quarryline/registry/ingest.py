@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cells import to_rectangular
-from ..operators.infer import cast_typed, collect_types, infer_types, ungroup_number
+from ..operators.infer import cast_typed, collect_types, infer_types, remember_states, remembered_types, ungroup_number
 from ..session import workspace
 from ..sources.csv import drop_empty_rows, export_snapshot, scan_csv
 from ..sources.generate import Field, synthetic_rows
@@ -69,6 +69,15 @@ def _text_lines(spark, sf) -> DataFrame:
     return table(spark, sf, "lineitem").select(*[F.expr(e).alias(name) for name, e, _ in _TEXT_COLUMNS])
 
 
+def _infer_in_parts(spark, sf) -> DataFrame:
+    """Seven parts of the table looked at one after the other, their states kept, and types of the whole from these."""
+    folder, lines = workspace(spark, "states"), table(spark, sf, "lineitem")
+    for part in range(1, 8):
+        texts = lines.filter(F.col("l_linenumber") == part).select(*[F.expr(e).alias(name) for name, e, _ in _TEXT_COLUMNS])
+        remember_states(texts, folder, f"part {part}")
+    return remembered_types(spark, folder)
+
+
 def _infer_sql(position: int, name: str, expression: str) -> str:
     return f"""
 SELECT {position} AS position, '{name}' AS "column", inferred,
@@ -356,6 +365,7 @@ CHECKS = {
            FROM orders WHERE o_orderstatus <> 'P' OR o_totalprice >= 250000""",
     ),
     "infer_types": Check(lambda spark, sf: infer_types(_text_lines(spark, sf)), _INFER_SQL),
+    "infer_types_in_parts": Check(_infer_in_parts, _INFER_SQL),
     "grouped_numbers": Check(_grouped_numbers, _GROUPED_SQL),
     "bronze_lineage": Check(_bronze_lineage, _BRONZE_SQL),
     "flat_append": Check(_flat_append, _FLAT_SQL),

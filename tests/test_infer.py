@@ -1,9 +1,21 @@
+from functools import reduce
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.errors import PySparkException
 
-from quarryline.operators.infer import cast_failures, cast_typed, collect_types, infer_types
+from quarryline.operators.infer import (
+    cast_failures,
+    cast_typed,
+    collect_types,
+    infer_states,
+    infer_types,
+    merge_states,
+    remember_states,
+    remembered_types,
+    types_of,
+)
 
 CASES = {
     ("1", "-2"): "INT",
@@ -94,3 +106,24 @@ def test_moments_survive(spark, moments):
     types = collect_types(infer_types(df))
     assert types["c"] == "DATETIME"
     assert [r.c for r in cast_typed(df, types).collect()] == moments
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from(["", "7", "-2147483648", "3.5", "true", "2026-07-01", "2026-07-01 09:15", "x" * 40, "1,234"]), max_size=4), min_size=1, max_size=4))
+def test_states_of_parts_make_the_state_of_the_whole(spark, parts):
+    frames = [spark.createDataFrame([(v, v) for v in part], "a string, b string").coalesce(1) for part in parts]
+    whole = spark.createDataFrame([(v, v) for part in parts for v in part], "a string, b string").coalesce(1)
+    states = reduce(lambda x, y: x.union(y), [infer_states(f) for f in frames])
+    assert sorted(types_of(merge_states(states)).collect()) == sorted(infer_types(whole).collect())
+
+
+def test_a_further_file_widens_types_and_earlier_ones_are_not_read(spark, rows, tmp_path):
+    folder = str(tmp_path / "states")
+    remember_states(rows([("1", "2026-07-01")], "n string, day string"), folder, "one.csv")
+    assert collect_types(remembered_types(spark, folder)) == {"n": "INT", "day": "DATE"}
+    remember_states(rows([("3.5", "later"), ("2", None)], "n string, day string"), folder, "two.csv")
+    remember_states(rows([("x", "7")], "place string, n string"), folder, "three.csv")
+    assert collect_types(remembered_types(spark, folder)) == {"n": "DOUBLE", "place": "VARCHAR(32)", "day": "VARCHAR(32)"}
+    remember_states(rows([("4", "2026-07-02")], "n string, day string"), folder, "two.csv")  # the file came again
+    found = {r.column: (r.inferred, r.n_present) for r in remembered_types(spark, folder).collect()}
+    assert found == {"n": ("INT", 3), "place": ("VARCHAR(32)", 1), "day": ("DATE", 2)}
