@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from ..operators.medallion import choose_dimension, dedup_latest, dimension_scores, promote_gold, promote_silver
 from ..plans.build import build_layers
+from ..session import workspace
 from ..sources.tables import with_lineage
+from ..streaming.layers import LayerSpec, read_gold, stream_layers
 from .base import Check, table
 from .ingest import new_schema
 
@@ -45,6 +47,24 @@ WITH loads AS (
          o_totalprice, o_orderdate, o_orderpriority, 2 FROM orders WHERE o_totalprice >= 10000)"""
 
 
+_APPENDED = LayerSpec(
+    ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"], ["o_orderkey"], "o_orderstatus", "o_totalprice",
+    "SUM", buckets=8,
+)
+
+
+def _appended(spark, sf) -> DataFrame:
+    """Gold after three loads: all orders, then pending ones finished, then a fifth of them at twice the price."""
+    place = workspace(spark, "appended")
+    dearer = table(spark, sf, "orders").filter("o_orderkey % 5 = 0").withColumn("o_totalprice", F.col("o_totalprice") * 2)
+    third = with_lineage(dearer, "third.csv", F.lit("2026-07-01 03:00:00").cast("timestamp_ntz"))
+    loads = _two_loads(spark, sf)
+    for load in (loads.filter("_source = 'first.csv'"), loads.filter("_source = 'second.csv'"), third):
+        load.write.mode("append").parquet(f"{place}/bronze")
+        stream_layers(spark, f"{place}/bronze", f"{place}/layers", f"{place}/checkpoint", _APPENDED)
+    return read_gold(spark, f"{place}/layers", _APPENDED).withColumn("sum_o_totalprice", F.round("sum_o_totalprice", 2))
+
+
 def _choose(spark, sf):
     silver = table(spark, sf, "orders")
     chosen = choose_dimension(silver)
@@ -108,6 +128,15 @@ CHECKS = {
         _gold("lineitem", "l_suppkey", "l_quantity", "AVG"),
         "SELECT l_suppkey, round(avg(l_quantity), 5) AS avg_l_quantity FROM lineitem GROUP BY 1",
     ),
+    "layers_appended": Check(
+        _appended,
+        _LOADS_SQL
+        + """, all_loads AS (
+          SELECT o_orderkey, o_orderstatus, o_totalprice, load FROM loads
+          UNION ALL SELECT o_orderkey, o_orderstatus, o_totalprice * 2, 3 FROM orders WHERE o_orderkey % 5 = 0),
+        silver AS (SELECT * FROM all_loads QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY load DESC) = 1)
+        SELECT o_orderstatus, round(sum(o_totalprice), 2) AS sum_o_totalprice FROM silver GROUP BY 1""",
+    ),
     "medallion_gold": Check(
         _medallion_gold, "SELECT c_mktsegment, count(*) AS count_rows FROM customer GROUP BY 1"
     ),

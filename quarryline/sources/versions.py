@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +27,7 @@ class Conflict(RuntimeError):
 
 @dataclass(frozen=True)
 class Change:
-    """What a change did: the version it made, rows concerned, and files it read again, wrote and left alone."""
+    """What a change did: the version it made, rows (of a merge, buckets) concerned, and files it read again, wrote and left alone."""
 
     version: int
     rows: int
@@ -94,14 +95,21 @@ class StoredTable:
     def versions(self) -> list[int]:
         return [int(name) for name in self._folder.names("versions") if name.isdigit()]
 
-    def _state(self, version: int | None = None) -> tuple[int, T.StructType, list[str]]:
+    def _stored(self, version: int | None = None) -> tuple[int, dict]:
         known = self.versions()
         if not known or version is not None and version not in known:
             raise ValueError(f"no such version of the table in {self._folder.path}")
         version = known[-1] if version is None else version
-        state = json.loads(self._folder.read("versions", f"{version:0{_DIGITS}d}"))
+        return version, json.loads(self._folder.read("versions", f"{version:0{_DIGITS}d}"))
+
+    def _state(self, version: int | None = None) -> tuple[int, T.StructType, list[str]]:
+        version, state = self._stored(version)
         return version, T.StructType.fromJson(state["schema"]), state["files"]
 
+    def notes(self) -> dict:
+        """What the newest version's maker wrote down beside it; nothing if there is no version."""
+        return self._stored()[1].get("notes", {}) if self.versions() else {}
+
     def _rows(self, schema: T.StructType, files: list[str]) -> DataFrame:
         if not files:
             return self._spark.createDataFrame([], schema)
@@ -120,8 +128,8 @@ class StoredTable:
         rows.write.parquet(f"{self._folder.path}/data/{part}")
         return [f"{part}/{name}" for name in self._folder.names("data", part) if name.endswith(".parquet")]
 
-    def _commit(self, version: int, schema: T.StructType, files: list[str]) -> None:
-        text = json.dumps({"schema": schema.jsonValue(), "files": files})
+    def _commit(self, version: int, schema: T.StructType, files: list[str], notes: dict | None = None) -> None:
+        text = json.dumps({"schema": schema.jsonValue(), "files": files, "notes": notes or {}})
         try:
             self._folder.create(text, "versions", f"{version:0{_DIGITS}d}")
         except Conflict:
@@ -159,7 +167,7 @@ class StoredTable:
         if not confirm:
             raise PermissionError(f"changing the table in {self._folder.path} needs confirmation")
         version, schema, files = self._state()
-        name = F.substring_index("_metadata.file_path", "/", -2)
+        name = F.substring_index("_metadata.file_path", "/", -1 - files[0].count("/")) if files else None
         hit = self._rows(schema, files).where(holds(predicate)).groupBy(name.alias("file")) if files else None
         found = {r["file"]: r["n"] for r in hit.agg(F.count("*").alias("n")).collect()} if hit else {}
         if not found:
@@ -191,3 +199,48 @@ class StoredTable:
         for file in gone:
             self._folder.delete("data", *file.split("/"))
         return gone
+
+
+class KeyedTable(StoredTable):
+    """A stored table of one row per key, its files dealt out by a hash of the key.
+
+    New rows concern the files of their own keys' buckets: these are read, merged and written anew, others are not opened.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, keys: list[str], buckets: int = 64):
+        super().__init__(spark, folder)
+        self._keys, self._buckets = keys, buckets
+
+    def _bucket(self) -> Column:
+        return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in self._keys]), F.lit(self._buckets)).cast("int").alias("_bucket")
+
+    def _written(self, rows: DataFrame) -> list[str]:
+        part = uuid.uuid4().hex
+        dealt = rows.select("*", self._bucket()).repartition("_bucket")
+        dealt.write.partitionBy("_bucket").parquet(f"{self._folder.path}/data/{part}")
+        return [
+            f"{part}/{folder}/{name}"
+            for folder in self._folder.names("data", part)
+            if folder.startswith("_bucket=")
+            for name in self._folder.names("data", part, folder)
+            if name.endswith(".parquet")
+        ]
+
+    def merge(self, rows: DataFrame, combine: Callable[[DataFrame], DataFrame], notes: dict | None = None) -> Change:
+        """The version in which ``combine`` has made one row per key of the rows held and the new ones.
+
+        It gets both in one frame, with ``_new`` telling them apart, and gives back the table's columns. It sees all rows of the
+        keys concerned and some others, which it must leave as they are.
+        """
+        if self.versions():
+            version, schema, files = self._state()
+        else:
+            version, schema, files = 0, T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema.fields]), []
+        concerned = {f"_bucket={r[0]}" for r in rows.select(self._bucket()).distinct().collect()}
+        touched = [f for f in files if f.split("/")[1] in concerned]
+        held = self._rows(schema, touched).withColumn("_new", F.lit(False))
+        merged = combine(held.unionByName(rows.withColumn("_new", F.lit(True))))
+        written = self._written(merged.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields]))
+        kept = [f for f in files if f.split("/")[1] not in concerned]
+        self._commit(version + 1, schema, kept + written, notes)
+        return Change(version + 1, len(concerned), touched, written, len(kept))
