@@ -28,10 +28,11 @@ from quarryline.session import workspace
 
 #: Most words of a phrase; words that a trigger looks at, one less; one in so many places is a trigger.
 MOST, TRIGGER, SPACING = 5, 4, 32
-#: Bits of a bitmap: 4 MB, whatever the corpus. Widths that have one.
-BITS, LEVELS = 25, 3
+#: Bits of a bitmap: 4 MB, whatever the corpus. Widths that have one. Bits of a hash that is counted for one: where two runs
+#: share them, both may pass that else would not.
+BITS, LEVELS, HASH_BITS = 25, 3, 40
 #: Bytes of chunks worked on at a time, and keys that a task sums up before it lets them go.
-WORK_BYTES, HELD = 2 << 20, 1 << 20
+WORK_BYTES, HELD = 2 << 20, 1 << 21
 #: Parts in which the best phrases of a language are found before they meet.
 DEALT = 64
 _STEP = np.uint64(0xD1B54A32D192ED03)
@@ -172,14 +173,15 @@ def _hashed(width: int, packed: list[bytes], batches: Iterator[pa.RecordBatch])
     """``h, times`` of the runs of one width: sums of as many slices as stay below ``HELD`` keys."""
 
     def rows(keys, times):
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(times)], ["h", "times"])
+        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(times)], ["h", "times"])
 
     keys, times = np.empty(0, np.uint64), np.empty(0, np.int64)
     for chunks in _held(batches, packed):
         *_, (_, at) = chunks.runs(width)
         if not len(at):
             continue
-        keys, times = np.concatenate((keys, chunks.run_hashes(at, width))), np.concatenate((times, chunks.times[at]))
+        keys = np.concatenate((keys, chunks.run_hashes(at, width) >> np.uint64(64 - HASH_BITS)))
+        times = np.concatenate((times, chunks.times[at]))
         keys, times = _sums(keys, times)
         if len(keys) > HELD:
             yield rows(keys, times)
@@ -215,7 +217,7 @@ def _bitmap(counted: DataFrame, least: int) -> bytes:
     """The bits of the hashes that count ``least`` or more, put together in tasks: the driver gets 4 KB for each 32,768 of
     them."""
     frequent = counted.groupBy("h").agg(F.sum("times").alias("times")).where(F.col("times") >= least)
-    bit = F.shiftrightunsigned("h", 64 - BITS) + 1  # Spark numbers bits from 1
+    bit = F.shiftright("h", HASH_BITS - BITS) + 1  # Spark numbers bits from 1
     part = F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("part")
     out = bytearray(1 << BITS >> 3)
     for row in frequent.groupBy((F.bitmap_bucket_number(bit) - 1).alias("block")).agg(part).toLocalIterator():
