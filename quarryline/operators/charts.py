@@ -129,10 +129,39 @@ def crosstab(
 ) -> DataFrame:
     """A table of rows by columns with the aggregate in the cells.
 
-    Naming the column values saves the job that looks for them; a value they do not name is an error, since its rows would
+    Every column value becomes a column, of which Spark allows ``spark.sql.pivotMaxValues`` (10,000); ``crosstab_sparse`` has no
+    such limit. Naming the column values saves the job that looks for them; a value they do not name is an error, since its rows would
     be lost.
     """
     if values is not None:
         named = F.coalesce(F.col(column).isin(*values), F.lit(False)) | (F.col(column).isNull() if None in values else F.lit(False))
         df = df.where(F.when(named, True).otherwise(F.raise_error(F.format_string("crosstab: no column for %s", F.col(column).cast("string"))).cast("boolean")))
     return df.groupBy(row).pivot(column, values).agg(aggregate(aggregation, measure))
+
+
+def column_numbers(df: DataFrame, column: str) -> DataFrame:
+    """``column, column_no``: the distinct values, null among them, numbered from 0 in their order, null last.
+
+    Values are spread by range and numbered inside their task; what meets in one task is a count per range.
+    """
+    order = F.col(column).asc_nulls_last()
+    spread = df.select(F.col(f"`{column}`").alias(column)).distinct().repartitionByRange(order).withColumn("_range", F.spark_partition_id())
+    inside = spread.withColumn("_i", F.row_number().over(W.partitionBy("_range").orderBy(order)))
+    sizes = inside.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_before", F.sum("_n").over(W.orderBy("_range")) - F.col("_n")).drop("_n")
+    return inside.join(before, "_range").select(column, (F.col("_before") + F.col("_i") - 1).alias("column_no"))
+
+
+def crosstab_sparse(df: DataFrame, row: str, column: str, measure: str, aggregation: str = "SUM", width: int = 10_000) -> DataFrame:
+    """The cells of a cross-tab of any number of columns: ``row, part, cells``.
+
+    ``cells`` lists a row's cells as ``column_no, column, value`` in order of columns (see ``column_numbers``), leaving out those
+    that no row of the table falls into. Part p of a row holds the columns from p times ``width`` on, ``width`` of them at most, so
+    no list outgrows a task. Null is a row and a column like any other.
+    """
+    cells = df.groupBy(F.col(f"`{row}`").alias("_row"), F.col(f"`{column}`").alias("_column")).agg(aggregate(aggregation, measure).alias("_value"))
+    numbers = column_numbers(cells.select(F.col("_column").alias("_name")), "_name")
+    placed = cells.join(numbers, F.col("_column").eqNullSafe(F.col("_name")))
+    cell = F.struct("column_no", F.col("_column").alias("column"), F.col("_value").alias("value"))
+    part = F.expr(f"column_no div {int(width)}").alias("part")
+    return placed.groupBy(F.col("_row").alias(row), part).agg(F.sort_array(F.collect_list(cell)).alias("cells"))

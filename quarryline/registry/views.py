@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.charts import ShelfField, category, crosstab, geo_pairs, scatter_points, series, share_of_total, shelf_query
+from ..operators.charts import ShelfField, category, crosstab, crosstab_sparse, geo_pairs, scatter_points, series, share_of_total, shelf_query
 from ..operators.infer import cast_typed
 from ..plans.view import ChartSpec, Shelves, snapshot_view, view_query
 from ..session import workspace
@@ -68,6 +68,12 @@ def _geo(spark, sf):
     return geo_pairs(places, "n_name", "c_mktsegment")
 
 
+def _crosstab_sparse(spark, sf):
+    """Quantities by line status and part, the cells of each row in parts of 500 columns."""
+    table_of_cells = crosstab_sparse(table(spark, sf, "lineitem"), "l_linestatus", "l_partkey", "l_quantity", width=500)
+    return table_of_cells.select("l_linestatus", "part", F.inline("cells")).withColumnRenamed("column", "l_partkey")
+
+
 def _crosstab(spark, sf):
     cells = crosstab(table(spark, sf, "lineitem"), "l_linenumber", "l_returnflag", "l_quantity")
     return _rounded(cells, "A", "N", "R")
@@ -183,6 +189,12 @@ CHECKS = {
     "geo_pairs": Check(
         _geo, "SELECT DISTINCT n_name, c_mktsegment FROM customer JOIN nation ON c_nationkey = n_nationkey"
     ),
+    "crosstab_sparse": Check(
+        _crosstab_sparse,
+        """SELECT l_linestatus, (n - 1) // 500 AS part, n - 1 AS column_no, l_partkey, value
+           FROM (SELECT l_linestatus, l_partkey, sum(l_quantity) AS value, dense_rank() OVER (ORDER BY l_partkey) AS n
+                 FROM lineitem GROUP BY 1, 2)""",
+    ),
     "crosstab": Check(
         _crosstab,
         """SELECT l_linenumber, round(sum(l_quantity) FILTER (l_returnflag = 'A'), 2) AS "A",

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from quarryline.operators.charts import ShelfField, category, crosstab, geo_pairs, scatter_points, series, share_of_total, shelf_query
+from quarryline.operators.charts import ShelfField, category, crosstab, crosstab_sparse, geo_pairs, scatter_points, series, share_of_total, shelf_query
 from quarryline.plans.view import ChartSpec, Shelves, snapshot_view, title_of, view_query
 
 
@@ -160,3 +160,21 @@ def test_a_gantt_of_dates_keeps_its_shelves(visits):
     layout = Shelves(mark="GanttBar", cols=(ShelfField("at", "tday"),), rows=(ShelfField("channel"),))
     found = view_query(visits, ChartSpec(table="visits", shelves=layout))
     assert found.columns == ["tday_at", "channel"] and found.count() == 5
+
+
+def test_a_sparse_crosstab_has_the_cells_of_the_groups(spark):
+    """More column values than a pivot allows, nulls on both sides."""
+    df = spark.range(40_000).selectExpr(
+        "if(id % 7 = 0, null, id % 5) AS place", "if(id % 11 = 0, null, id % 12000) AS item", "cast(id % 13 AS int) AS qty"
+    )
+    found = crosstab_sparse(df, "place", "item", "qty", width=5000)
+    assert found.selectExpr("max(size(cells)) AS n").first().n <= 5000
+    cells = {(r.place, r.column): (r.part, r.column_no, r.value) for r in found.selectExpr("place", "part", "inline(cells)").collect()}
+    grouped = df.groupBy("place", "item").sum("qty").collect()
+    items = {v: i for i, v in enumerate([*sorted({r.item for r in grouped} - {None}), None])}
+    assert cells == {(r.place, r.item): (items[r.item] // 5000, items[r.item], r["sum(qty)"]) for r in grouped}
+    for r in found.collect():
+        assert [c.column_no for c in r.cells] == sorted(c.column_no for c in r.cells)
+    with pytest.raises(Exception, match="pivot"):
+        crosstab(df, "place", "item", "qty").collect()
+    assert crosstab_sparse(df.limit(0), "place", "item", "qty").count() == 0
