@@ -46,5 +46,9 @@ def with_object(df: DataFrame, text: Column, fields: list[str], into: str) -> Da
 
 def with_quoted_object(df: DataFrame, text: Column, fields: list[str], into: str) -> DataFrame:
     """As ``with_object``, for an object in a reply: from its first ``{`` to its last ``}``."""
-    first, last = F.instr(text, "{"), F.length(text) - F.instr(F.reverse(text), "}") + 1
-    return with_object(df, F.when((first > 0) & (last > first), F.substr(text, first, last - first + 1)).otherwise(text), fields, into)
+
+    def quoted(t: Column) -> Column:
+        first, last = F.instr(t, "{"), F.length(t) - F.instr(F.reverse(t), "}") + 1
+        return F.when((first > 0) & (last > first), F.substr(t, first, last - first + 1)).otherwise(t)
+
+    return with_object(df, F.transform(F.array(text), quoted)[0], fields, into)  # the text is worked out once, not for each use
