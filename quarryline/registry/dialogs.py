@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.commands import apply_filters, commands_since, normalize_commands
+from ..operators.commands import apply_filters, apply_in_force, commands_since, normalize_commands
 from ..operators.dialog import spoken_digest, transcripts
 from ..session import workspace
-from ..streaming.drops import stream_commands
+from ..sources.versions import StoredTable
+from ..streaming.drops import stream_commands, stream_filters
 from .base import Check, table
 
 
@@ -115,6 +116,16 @@ def _streamed(spark, sf):
     return spark.read.parquet(f"{folder}/out")
 
 
+def _streamed_filters(spark, sf):
+    """Orders by the filters in force after commands came in two goes, the later ones first."""
+    folder = workspace(spark, "filters")
+    for half in (1, 0):
+        _sent(spark, sf).where(F.col("seq") % 2 == half).write.mode("append").json(f"{folder}/in")
+        stream_filters(spark, f"{folder}/in", f"{folder}/out", f"{folder}/checkpoint")
+    in_force = StoredTable(spark, f"{folder}/out").read()
+    return apply_in_force(table(spark, sf, "orders"), in_force, "Orders", ["o_orderstatus", "o_orderpriority"])
+
+
 def _filters(spark, sf):
     orders, commands = table(spark, sf, "orders"), normalize_commands(_sent(spark, sf))
     return apply_filters(orders, commands, "Orders", ["o_orderstatus", "o_orderpriority"])
@@ -184,6 +195,7 @@ CHECKS = {
     "stream_commands": Check(_streamed, _COMMANDS_SQL + " SELECT * FROM commands"),
     "commands_since": Check(_since, _SINCE_SQL),
     "apply_filters": Check(_filters, _FILTERS_SQL),
+    "stream_filters": Check(_streamed_filters, _FILTERS_SQL),
     "apply_filters_typed": Check(
         _typed_filters,
         """SELECT *, 'number' AS by FROM lineitem WHERE l_quantity = 10 AND l_returnflag = 'N'

@@ -6,10 +6,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.commands import normalize_commands
+from ..operators.commands import filters_in_force, normalize_commands
 from ..operators.infer import cast_typed
 from ..sources.csv import DIALECT, drop_empty_rows
 from ..sources.tables import with_lineage
+from ..sources.versions import StoredTable
 
 
 def stream_bronze(
@@ -56,3 +57,23 @@ def stream_commands(spark: SparkSession, folder: str, out: str, checkpoint: str)
         .start()
     )
     query.awaitTermination()
+
+
+def stream_filters(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None:
+    """Brings the filters in force, a stored table at ``out``, up to date with the command files not yet seen.
+
+    The last command per worksheet and field is the stream's state, which the checkpoint keeps: earlier files are not read
+    again, and a run that stopped in the middle goes on from there. Every version of the table is whole, so readers find the
+    filters before or after a run of files.
+    """
+    sent = spark.readStream.schema("seq bigint, command_id string, body string").json(folder)
+    table = StoredTable(spark, out)
+    query = (
+        filters_in_force(normalize_commands(sent))
+        .writeStream.foreachBatch(lambda batch, number: table.replace(batch.coalesce(1)))
+        .option("checkpointLocation", checkpoint)
+        .outputMode("complete")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()

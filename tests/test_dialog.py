@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators.commands import apply_filters, commands_since, normalize_commands
+from quarryline.operators.commands import apply_filters, apply_in_force, commands_since, filters_in_force, normalize_commands
 from quarryline.operators.dialog import digest_nothing, spoken_digest, transcripts
-from quarryline.streaming.drops import stream_bronze, stream_commands
+from quarryline.sources.versions import StoredTable
+from quarryline.streaming.drops import stream_bronze, stream_commands, stream_filters
 
 
 def test_transcripts(rows):
@@ -86,7 +87,7 @@ def test_since(rows):
     assert commands_since(commands, "cmd_9").count() == 3
     odd = commands.withColumn("seq", F.when(F.col("seq") == 0, -5).when(F.col("seq") == 1, None).otherwise(F.col("seq")))
     assert commands_since(odd, "cmd_9").count() == 3
-    assert {r.command_id for r in commands_since(odd, "cmd_0").collect()} == {"cmd_2"}
+    assert {r.command_id for r in commands_since(odd, "cmd_0").collect()} == {"cmd_1", "cmd_2"}  # no seq: behind all others
 
 
 def test_filters(rows):
@@ -172,3 +173,37 @@ def test_stream_commands(spark, tmp_path):
     post("2.json", (3, {"parameters": {"value": "b"}}))
     found = spark.read.parquet(out).orderBy("seq").collect()
     assert [(r.seq, r.field, r.value) for r in found] == [(1, "f", "a"), (2, "Stage", None), (3, "Stage", "b")]
+
+
+def test_streamed_filters_equal_the_batch_after_a_restart(spark, rows, tmp_path, monkeypatch):
+    inbox, out, checkpoint = tmp_path / "inbox", str(tmp_path / "out"), str(tmp_path / "checkpoint")
+    inbox.mkdir()
+    deals, posted = rows([("Won", 1), ("Lost", 2), ("Won", 2), (None, 3)], "stage string, size int"), []
+
+    def post(name, *commands):
+        posted.extend((seq, f"cmd_{seq}", json.dumps({"action": "set_filter", "worksheet": w, "field": f, "value": v})) for seq, w, f, v in commands)
+        lines = [json.dumps(dict(zip(("seq", "command_id", "body"), p))) for p in posted[-len(commands) :]]
+        (inbox / name).write_text("\n".join(lines) + "\n")
+
+    def in_force():
+        stream_filters(spark, str(inbox), out, checkpoint)
+        sent_so_far = normalize_commands(rows(posted, "seq long, command_id string, body string"))
+        found = StoredTable(spark, out).read()
+        assert sorted(map(repr, found.collect())) == sorted(map(repr, filters_in_force(sent_so_far).collect()))
+        left = apply_in_force(deals, found, "W")
+        assert sorted(map(repr, left.collect())) == sorted(map(repr, apply_filters(deals, sent_so_far, "W").collect()))
+        return {(r.worksheet, r.field): r.value for r in found.collect()}
+
+    post("1.json", (5, "W", "Stage", "Won"), (6, "V", "size", "2"))
+    assert in_force() == {("W", "stage"): "Won", ("V", "size"): "2"}
+    post("2.json", (3, "W", "stage", "Lost"), (5, "W", "Stage", "Won"), (7, "W", "SIZE", "2"))  # late, again, new
+    with monkeypatch.context() as patch:
+        patch.setattr(StoredTable, "replace", lambda *a: 1 / 0)
+        with pytest.raises(Exception):
+            stream_filters(spark, str(inbox), out, checkpoint)
+    assert in_force() == {("W", "stage"): "Won", ("V", "size"): "2", ("W", "size"): "2"}
+    post("3.json", (8, "W", "stage", None), (9, "V", "size", "x"))
+    assert in_force() == {("W", "stage"): None, ("V", "size"): "x", ("W", "size"): "2"}
+    versions = StoredTable(spark, out).versions()
+    stream_filters(spark, str(inbox), out, checkpoint)
+    assert StoredTable(spark, out).versions() == versions  # nothing new, nothing done
