@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -273,52 +274,94 @@ _PROFILE = (
 )
 
 
+def _probe_cells(df: DataFrame, kinds: list[ColumnKind]) -> DataFrame:
+    """A row per probed column and cell: ``column, kind, value`` and, of ranges, the number. Days and values are what is
+    counted; a range's numbers go without one, so they add up in each task."""
+    fields = {f.name: f for f in df.schema.fields}
+    none = {"value": F.lit(None).cast("string"), "whole": F.lit(None).cast("bigint"), "real": F.lit(None).cast("double")}
+    structs = []
+    for k in kinds:
+        cell, field = F.col(f"`{k.name}`"), fields[k.name]
+        if k.kind == "range":
+            own = {"real": cell.cast("double")} | ({} if is_float(field) else {"whole": cell.cast("bigint")})
+        elif k.kind == "date":
+            own = {"value": cell.cast("date").cast("string")}
+        else:
+            own = {"value": (cell + F.lit(0).cast(field.dataType) if is_float(field) else cell).cast("string")}
+        parts = [c.alias(name) for name, c in (none | own).items()]
+        structs.append(F.struct(F.lit(k.name).alias("column"), F.lit(k.kind).alias("kind"), F.lit(k.type_name).alias("type"), *parts))
+    cells = df.select(F.explode(F.array(*structs)).alias("c")).select("c.*")
+    return cells.where("kind <> 'date' OR value IS NOT NULL")
+
+
 def _probe_findings(df: DataFrame, kinds: list[ColumnKind], top: int) -> DataFrame:
-    of_kind = {kind: [k.name for k in kinds if k.kind == kind] for kind in ("date", "dist", "range")}
+    """``column, varies, finding`` of every column with a probe: one scan, one exchange of a row per day, value or range and
+    task, and one of these by column."""
+    fields = {f.name: f for f in df.schema.fields}
+    probed = [k for k in kinds if k.kind in ("date", "dist", "range")]
+    decimals = [k.name for k in probed if k.kind == "range" and isinstance(fields[k.name].dataType, T.DecimalType)]
+    together = [k for k in probed if k.name not in decimals]
     parts = []
-    if of_kind["date"]:
-        parts.append(
-            daily_verdict(df, of_kind["date"]).select(
-                "column",
-                "varies",
-                F.concat(
-                    F.format_string(
-                        "%s days %s..%s, per-day count ",
-                        "n_days",
-                        F.col("first_day").cast("date").cast("string"),
-                        F.col("last_day").cast("date").cast("string"),
-                    ),
-                    F.when(F.col("varies"), "varies").otherwise(
-                        F.format_string("constant at %s: a line would be flat or straight", "first_count")
-                    ),
-                ).alias("finding"),
-            )
-        )
-    if of_kind["dist"]:
-        parts.append(
-            distribution_verdict(df, of_kind["dist"], top).select(
-                "column",
-                "varies",
-                F.concat("shown", F.when(F.col("varies"), " (varies)").otherwise(" (all equal: flat)")).alias("finding"),
-            )
-        )
-    if of_kind["range"]:
-        parts.append(
-            numeric_range(df, of_kind["range"]).select(
-                "column",
-                F.lit(True).alias("varies"),
-                F.concat(F.lit("continuous measure, "), "shown").alias("finding"),
-            )
-        )
+    if decimals:  # their digits fit no number that other columns share
+        ranges = numeric_range(df, decimals).select("column", F.lit(True).alias("varies"), F.concat(F.lit("continuous measure, "), "shown").alias("finding"))
+        parts.append(ranges)
+    if together:
+        parts.append(_findings_together(df, together, top))
     if not parts:
         return df.sparkSession.createDataFrame([], _VERDICT)
     return reduce(DataFrame.unionByName, parts)
 
 
+def _findings_together(df: DataFrame, kinds: list[ColumnKind], top: int) -> DataFrame:
+    counted = (
+        _probe_cells(df, kinds)
+        .groupBy("column", "kind", "type", "value")
+        .agg(
+            F.count("*").alias("n"),
+            F.count("real").alias("n_real"),
+            F.sum("real").alias("total"),
+            *[f(c).alias(f"{name}_{c}") for name, f in (("min", F.min), ("max", F.max)) for c in ("whole", "real")],
+        )
+    )
+    few = F.when(F.col("kind") == "dist", F.struct((-F.col("n")).alias("n"), "value"))  # as few as make a distribution
+    facts = counted.groupBy("column", "kind", "type").agg(
+        F.count("*").alias("n_values"),
+        F.min("value").alias("first"),
+        F.max("value").alias("last"),
+        F.min_by("n", "value").alias("first_count"),
+        (F.max("n") != F.min("n")).alias("differ"),
+        F.sort_array(F.collect_list(few)).alias("values"),
+        *[F.first(c).alias(c) for c in ("n_real", "total", "min_whole", "min_real", "max_whole", "max_real")],
+    )
+
+    def number(name: str) -> Column:
+        real = F.col(f"{name}_real")
+        text = F.when(F.col("type") == "float", real.cast("float").cast("string")).when(F.col("type") == "double", real.cast("string"))
+        return F.concat(F.lit(f"{name} "), text.otherwise(F.col(f"{name}_whole").cast("string")))
+
+    average = F.concat(F.lit("avg "), F.round(F.col("total") / F.col("n_real"), 2).cast("string"))
+    listed = F.transform(F.slice("values", 1, top), lambda v: F.concat_ws("=", F.coalesce(v["value"], F.lit("null")), (-v["n"]).cast("string")))
+    more = F.when(F.size("values") > top, F.format_string(" and %d more", F.size("values") - top)).otherwise("")
+    finding = (
+        F.when(F.col("kind") == "range", F.concat(F.lit("continuous measure, "), F.concat_ws(", ", number("min"), number("max"), average)))
+        .when(
+            F.col("kind") == "date",
+            F.concat(
+                F.format_string("%s days %s..%s, per-day count ", "n_values", "first", "last"),
+                F.when(F.col("differ"), "varies").otherwise(
+                    F.format_string("constant at %s: a line would be flat or straight", "first_count")
+                ),
+            ),
+        )
+        .otherwise(F.concat(F.array_join(listed, ", "), more, F.when(F.col("differ"), " (varies)").otherwise(" (all equal: flat)")))
+    )
+    return facts.select("column", (F.col("differ") | (F.col("kind") == "range")).alias("varies"), finding.alias("finding"))
+
+
 def profile_table(df: DataFrame, name: str, approx: bool = False, top: int = SHOWN_VALUES) -> DataFrame:
     """One row per column: type, role, distinct values, kind, whether it varies, and a note naming ``top`` values.
 
-    One aggregate decides the kinds; then one scan per kind in use covers all columns of that kind.
+    One aggregate decides the kinds; then one scan covers the probes of all columns.
     """
     kinds = column_kinds(df, approx)
     if not kinds[0].n_rows:
@@ -371,10 +414,23 @@ def list_columns(tables: dict[str, DataFrame]) -> str:
     )
 
 
-def profile_namespace(tables: dict[str, DataFrame], approx: bool = False) -> DataFrame:
-    """The profiles of several tables in one, their first aggregates run side by side."""
+def profile_namespace(tables: dict[str, DataFrame], approx: bool = False, folder: str | None = None) -> DataFrame:
+    """The profiles of several tables in one, some tables at a time side by side.
+
+    With a ``folder`` that all executors see, each table's profile is a job of its own, written there as it is done; so the plan
+    does not grow with the number of tables, and what is done stays done. Without one the result is a plan over all tables.
+    """
+
+    def profiled(name: str) -> DataFrame:
+        profile = profile_table(tables[name], name, approx)
+        if folder is None:
+            return profile
+        path = f"{folder}/table={hashlib.sha256(name.encode()).hexdigest()[:16]}"
+        profile.coalesce(1).write.mode("overwrite").parquet(path)
+        return profile.sparkSession.read.schema(profile.schema).parquet(path)
+
     with ThreadPoolExecutor(PARALLEL_TABLES) as pool:
-        profiles = list(pool.map(lambda name: profile_table(tables[name], name, approx), sorted(tables)))
+        profiles = list(pool.map(profiled, sorted(tables)))
     return reduce(DataFrame.unionByName, profiles)
 
 

@@ -15,6 +15,7 @@ from ..operators.profile import (
     series_quality,
     value_distribution,
 )
+from ..session import workspace
 from .base import Check, table
 
 # Columns and types of the tables that are profiled below, for writing the SQL side out.
@@ -42,6 +43,12 @@ _TABLES = {
     "supplier": {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"},
     "nation": {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"},
     "region": {"r_regionkey": "int", "r_name": "string"},
+    "documents": {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"},
+    "embeddings": {"vec_id": "bigint", "embedding": "array<float>", "label": "int"},
+    "pages": {"page_id": "bigint", "url": "string", "html": "string"},
+    "benchmark": {"item_id": "bigint", "text": "string"},
+    "labels": {"doc_id": "bigint", "quality": "int", "toxic": "int"},
+    "conversations": {"conv_id": "bigint", "turn": "bigint", "role": "string", "text": "string"},
 }
 
 
@@ -195,7 +202,7 @@ CHECKS = {
         lambda spark, sf: profile_table(table(spark, sf, "orders"), "orders"), _profile_sql("orders")
     ),
     "profile_namespace": Check(
-        lambda spark, sf: profile_namespace({name: table(spark, sf, name) for name in _TABLES}),
+        lambda spark, sf: profile_namespace({name: table(spark, sf, name) for name in _TABLES}, folder=workspace(spark, "profiles")),
         " UNION ALL ".join(_profile_sql(name) for name in _TABLES),
     ),
     "rank_dimensions": Check(

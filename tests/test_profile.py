@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from quarryline.operators.medallion import choose_dimension
 from quarryline.operators.profile import (
     EXACT_VALUES,
+    _probe_findings,
     STATE_ERROR,
     column_kinds,
     column_states,
@@ -208,3 +209,31 @@ def test_states_do_not_exchange_values(spark):
     df = spark.range(0, 1000, 1, 4).select(F.col("id").cast("string").alias("a"), (F.col("id") % 3).cast("string").alias("b"))
     plan = column_states(df)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning" not in plan and plan.count("Exchange SinglePartition") == 1
+
+
+def test_probes_of_all_kinds_are_one_scan(spark, tmp_path):
+    df = spark.range(300).selectExpr(
+        "id", "cast(id % 3 AS string) AS few", "cast(id / 7 AS float) AS ratio", "cast(id AS decimal(12,3)) AS price",
+        "date_add(date'2026-01-01', cast(id % 40 AS int)) AS day", "if(id % 2 = 0, 0.0D, -0.0D) AS zero", "id % 2 = 1 AS odd",
+    )
+    df.write.parquet(str(tmp_path / "t"))
+    kept = spark.read.parquet(str(tmp_path / "t"))
+    plain = [k for k in column_kinds(kept) if k.name != "price"]
+    plan = _probe_findings(kept, plain, 12)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+    found = {r.column_name: r.note for r in profile_table(kept, "t").collect()}
+    assert found == {
+        "id": "300 distinct; continuous measure, min 0, max 299, avg 149.5",
+        "few": "3 distinct; 0=100, 1=100, 2=100 (all equal: flat)",
+        "ratio": "300 distinct; continuous measure, min 0.0, max 42.714287, avg 21.36",
+        "price": "300 distinct; continuous measure, min 0.000, max 299.000, avg 149.50",
+        "day": "40 distinct; 40 days 2026-01-01..2026-02-09, per-day count varies",
+        "zero": "1 distinct",
+        "odd": "2 distinct; false=150, true=150 (all equal: flat)",
+    }
+
+
+def test_profiles_written_one_by_one_are_the_same(spark, tmp_path):
+    tables = {"a": spark.range(20).selectExpr("id", "id % 2 AS odd"), "b": spark.range(3).selectExpr("'x' AS same"), "c": spark.range(0)}
+    together, apart = profile_namespace(tables), profile_namespace(tables, folder=str(tmp_path / "profiles"))
+    assert together.columns == apart.columns and sorted(together.collect()) == sorted(apart.collect())
