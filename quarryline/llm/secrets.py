@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and literals that reach a sensitive name.
 
-Three patterns give the base spans. Beyond them, lines of source and configuration are lexed into names, operators and
-literals; each ``name operator value`` becomes a pair, names that stand for constants are followed to the literals they
-were given, and a literal is scored by the names it ends up in and by its own look.
+Three patterns give the base spans. Beyond them, source and configuration text is lexed as a whole into names, operators,
+brackets and literals; each ``name operator value`` becomes a pair, names that stand for constants are followed to the
+literals they were given, and a literal is scored by the names it ends up in and by its own look.
 """
 
 from __future__ import annotations
@@ -38,14 +38,22 @@ PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|<.*>|\.+|your[-_ ]?.*|change[-_ ]?me|n
 #: Score from which a literal counts: three points for the name and two for the literal's look, say.
 THRESHOLD = 4
 
+#: Words that a sentence has and a passphrase seldom.
+SENTENCE = set("a an and are at be for from in is it least must not of on or should that the this to use will with you your".split())
+#: Functions whose first argument is the name of a setting and whose further ones stand for it.
+GETTERS = {"config", "env", "fetch", "get", "get_env", "get_property", "getenv", "getproperty", "lookup", "setting"}
+
 _LEXEME = re.compile(
-    r"""(?P<string>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
+    r'''(?P<triple>"""(?:[^"\\]|\\[\s\S]|"(?!""))*"""|\x27\x27\x27(?:[^\x27\\]|\\[\s\S]|\x27(?!\x27\x27))*\x27\x27\x27)'''
+    r"""|(?P<string>"(?:[^"\\\n]|\\[\s\S])*"|'(?:[^'\\\n]|\\[\s\S])*'|`[^`\n]*`)"""
     r"""|\$\{(?P<braced>[A-Za-z_][\w.-]*)\}|\$(?P<dollar>[A-Za-z_]\w*)"""
+    r"""|(?P<carried>\\\r?\n)|(?P<block>[|>][+-]?\d?[ \t]*\n)"""
     r"""|(?P<op>:=|=>|==|!=|<=|>=|[=:+])"""
     r"""|(?P<word>[A-Za-z0-9_][A-Za-z0-9_./+-]*)"""
-    r"""|(?P<end>[;,(){}\[\]\n]|//|\#)"""
+    r"""|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<line>\n[ \t\r]*(?P<blank>\n)?)|(?P<end>[;,]|//|\#)"""
 )
 _NAME = re.compile(r"[A-Za-z_][\w.-]*\Z")
+_INDENT = re.compile(r"[ \t]*")
 
 
 @dataclass(frozen=True)
@@ -59,51 +67,139 @@ class _Value:
     quoted: bool
 
 
-def _pairs(text: str) -> list[tuple[str, list[_Value]]]:
-    """Names with the operands of what they are given, from the lines that hold an operator."""
-    out: list[tuple[str, list[_Value]]] = []
-    at = 0
+class _Frame:
+    """What stands between two brackets, or outside all: the name that waits for its value, what it has been given, and where
+    values go that no name of their own is given: to the name in front of the bracket, if there is one."""
+
+    def __init__(self, into: list[_Value] | None = None, getter: bool = False):
+        self.into, self.skips = into, getter
+        self.target: str | None = None
+        self.values: list[_Value] = []
+        self.wants = False
+        self.last: _Value | None = None
+
+
+def _lines_of(text: str, start: int, end: int) -> list[_Value]:
+    """The lines of a literal that spans several, each without blanks around it."""
+    out, at = [], start
+    for line in text[start:end].split("\n"):
+        body = line.strip()
+        if body:
+            first = at + line.index(body[0])
+            out.append(_Value(body, first, first + len(body), False, True))
+        at += len(line) + 1
+    return out
+
+
+def _block_end(text: str, key: int, start: int) -> int:
+    """Where the lines end that stand deeper than the line ``key`` is in."""
+    depth = len(_INDENT.match(text, text.rfind("\n", 0, key) + 1).group())
+    end = at = start
     while at < len(text):
         stop = text.find("\n", at)
         stop = len(text) if stop < 0 else stop
-        if text.find("=", at, stop) >= 0 or text.find(":", at, stop) >= 0:
-            out += _line(text, at, stop)
+        if text[at:stop].strip():
+            if len(_INDENT.match(text, at, stop).group()) <= depth:
+                break
+            end = stop
         at = stop + 1
-    return out
+    return end
 
 
-def _line(text: str, start: int, stop: int) -> list[tuple[str, list[_Value]]]:
+def _pairs(text: str) -> list[tuple[str, list[_Value]]]:
+    """Names with the operands of what they are given, from a whole text.
+
+    A value may stand on the next line, be put together by ``+`` or side by side, be an argument of a call or a member of a
+    list, or a block of deeper lines. Names inside brackets have values of their own. A blank line ends whatever is open, so
+    that a bracket nobody closes does not reach further.
+    """
     out: list[tuple[str, list[_Value]]] = []
-    last: _Value | None = None  # what an operator would make a target
-    target, values, wants = None, [], False
-    for m in _LEXEME.finditer(text, start, stop):
-        kind = m.lastgroup
-        if kind in ("string", "word", "braced", "dollar"):
+    stack: list[_Frame] = []
+    frame, at = _Frame(), 0
+
+    def close(f: _Frame) -> None:
+        if f.target is not None and f.values:
+            out.append((f.target, f.values))
+        f.target, f.values, f.wants = None, [], False
+
+    def take(values: list[_Value]) -> None:
+        if frame.target is not None and not frame.wants:
+            beside = stack and values[0].quoted and frame.values and frame.values[-1].quoted
+            if not beside:  # the value is over; this may be the next target
+                close(frame)
+        if frame.target is not None:
+            frame.values += values
+            frame.wants = False
+        elif frame.into is not None and not frame.skips:
+            frame.into += values
+        frame.last = values[-1]
+
+    while m := _LEXEME.search(text, at):
+        kind, at = m.lastgroup if m.lastgroup != "blank" else "line", m.end()
+        if kind == "triple":
+            if lines := _lines_of(text, m.start() + 3, m.end() - 3):
+                take(lines)
+        elif kind in ("string", "word", "braced", "dollar"):
             quoted = kind == "string"
             a, b = (m.start() + 1, m.end() - 1) if quoted else m.span(kind)
             body = text[a:b]
-            value = _Value(body, a, b, kind in ("braced", "dollar") or (not quoted and bool(_NAME.match(body))), quoted)
-            if target is not None and wants:
-                values.append(value)
-            elif target is not None:  # the value is over; this may be the next target
-                out.append((target, values))
-                target, values = None, []
-            last, wants = value, False
+            take([_Value(body, a, b, kind in ("braced", "dollar") or (not quoted and bool(_NAME.match(body))), quoted)])
+        elif kind == "block":
+            if frame.wants and m.group()[0] in "|>":
+                at = _block_end(text, m.start(), m.end())
+                if lines := _lines_of(text, m.end(), at):
+                    take(lines)
+                at = max(at, m.end())
         elif kind == "op" and m.group() in ("=", ":", ":=", "=>"):
-            if target is not None and values and values[-1] is last and len(values) == 1:
-                out.append((target, values))  # a = b = "…": the value is itself a target
-                values = []
+            last = frame.last
+            if frame.target is not None and len(frame.values) == 1 and frame.values[-1] is last:
+                out.append((frame.target, frame.values))  # a = b = "…": the value is itself a target
+                frame.target, frame.values = None, []
             if last is not None and (last.quoted or _NAME.match(last.text)):
-                target, values, wants = last.text, [], True
+                if frame.into and frame.into[-1] is last:
+                    frame.into.pop()  # the name of an argument
+                close(frame)
+                frame.target, frame.wants = last.text, True
         elif kind == "op" and m.group() == "+":
-            wants = target is not None and bool(values)
-        else:
-            if target is not None:
-                out.append((target, values))
-            target, values, wants, last = None, [], False, None
-    if target is not None:
-        out.append((target, values))
-    return [(name, found) for name, found in out if found]
+            frame.wants = frame.target is not None and bool(frame.values)
+        elif kind == "open":
+            last = frame.last
+            called = last is not None and not last.quoted and text[last.end : m.start()] == ""
+            held = frame.values if frame.target is not None else frame.into
+            if called and held and held[-1] is last:
+                held.pop()  # a function, or what an index looks into
+            open_to = held if m.group() == "(" or (m.group() == "[" and not called) else None
+            name = _plain(last.text).split("_") if called else [""]
+            getter = name[-1] in GETTERS or "_".join(name[-2:]) in GETTERS
+            if frame.target is not None:
+                frame.wants = False
+            frame.last = None
+            stack.append(frame)
+            frame = _Frame(open_to, getter and m.group() == "(")
+        elif kind == "close":
+            close(frame)
+            if stack:
+                frame = stack.pop()
+                if m.group() == "}":
+                    close(frame)
+            frame.last = None
+        elif kind == "line":
+            if m.group("blank"):
+                for f in (frame, *reversed(stack)):
+                    close(f)
+                frame, stack, at = _Frame(), [], m.end() - 1
+            elif not stack and not frame.wants:
+                close(frame)
+                frame.last = None
+        elif kind != "carried":
+            if kind != "end" or m.group() == "," or not stack:
+                close(frame)
+                frame.last = None
+            if m.group() == ",":
+                frame.skips = False
+    for f in (frame, *reversed(stack)):
+        close(f)
+    return out
 
 
 def _plain(name: str) -> str:
@@ -117,13 +213,19 @@ def name_score(name: str) -> int:
     if parts[-1] in HARMLESS:
         return 0
     joined = {*parts, *("_".join(parts[i : i + 2]) for i in range(len(parts) - 1))}
+    joined |= {p[:-1] for p in joined if p.endswith("s")}  # passwords
     return max((SENSITIVE[p] for p in joined if p in SENSITIVE), default=0)
 
 
 def literal_score(text: str, quoted: bool) -> int:
-    """0 to 3 for length, mixed kinds of characters and entropy; bare words need a digit to count at all."""
-    if len(text) < 6 or PLACEHOLDER.match(text) or " " in text:
+    """0 to 3 for length, mixed kinds of characters and entropy; bare words need a digit to count at all. A text of several
+    words counts 2 when it is quoted, has a digit and is no sentence: three to eight words, none of them of ``SENTENCE``."""
+    if len(text) < 6 or PLACEHOLDER.match(text):
         return 0
+    if " " in text:
+        words = text.lower().split()
+        passphrase = quoted and 3 <= len(words) <= 8 and any(c.isdigit() for c in text) and not SENTENCE.intersection(words)
+        return 2 if passphrase else 0
     digit = any(c.isdigit() for c in text)
     if not quoted and not (digit and any(c.isalpha() for c in text)):
         return 0
