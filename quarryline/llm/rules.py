@@ -94,28 +94,35 @@ def any_failed(rules: Rules) -> Column:
 def host_verdicts(measured: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
     """One row per host: ``host, n_docs, n_failed, rate, host_ok``.
 
-    ``rate`` is the host's failure rate drawn towards the rate of all documents by a beta prior whose strength is fitted
-    to the spread of the hosts' own rates (method of moments, kept within 1 and 1000 documents). A host is turned down
-    when that rate is over ``rules.host_rate``. Rows without a host count for no host.
+    ``rate`` is the host's failure rate drawn towards the rate of all documents by a beta prior. Its strength, within 1 and
+    1000 documents, is fitted by the moments of beta-binomial counts: the spread of the hosts' rates less what documents drawn at
+    random would give hosts of these sizes, so that many small hosts do not look like many different ones. Hosts that differ
+    no more than by chance, or of one document each, are drawn to the common rate as strongly as can be. A host is turned
+    down when its rate is over ``rules.host_rate``. Rows without a host count for no host.
     """
     hosts = (
         measured.where(F.col(host).isNotNull())
         .groupBy(F.col(host).alias("host"))
         .agg(F.count("*").alias("n_docs"), F.sum(any_failed(rules).cast("long")).alias("n_failed"))
     )
-    # one row: sums over hosts from which mean, spread and strength follow
+    # one row: sums over hosts from which mean, correlation and strength follow
     prior = (
         hosts.agg(
             F.sum("n_docs").cast("double").alias("n"),
             F.sum("n_failed").cast("double").alias("f"),
             F.sum(F.col("n_failed") * F.col("n_failed") / F.col("n_docs")).alias("ff"),
+            F.sum(F.col("n_docs").cast("double") * F.col("n_docs")).alias("nn"),
+            F.count("*").cast("double").alias("k"),
+        )
+        .select("*", (F.col("f") / F.col("n")).alias("mean"))
+        .select(
+            "mean",
+            # what is between hosts beyond the k - 1 that chance alone gives, over the most that there could be
+            F.when(F.col("mean") * (1 - F.col("mean")) > 0, F.expr("(ff - n * mean * mean) / (mean * (1 - mean)) - (k - 1)")).alias("excess"),
+            F.expr("n - nn / n - (k - 1)").alias("room"),
         )
-        .select((F.col("f") / F.col("n")).alias("mean"), (F.col("ff") / F.col("n")).alias("square"))
-        .select("mean", (F.col("square") - F.col("mean") * F.col("mean")).alias("spread"))
-    )
-    strength = F.when(F.col("spread") <= 0, F.lit(1000.0)).otherwise(
-        F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("mean") * (1 - F.col("mean")) / F.col("spread") - 1))
     )
+    strength = F.when((F.col("excess") > 0) & (F.col("room") > 0), F.greatest(F.lit(1.0), F.least(F.lit(1000.0), F.col("room") / F.col("excess") - 1))).otherwise(1000.0)
     fitted = prior.select(F.struct("mean", strength.alias("strength")).alias("prior"))
     return (
         hosts.withColumn("_prior", fitted.scalar())

@@ -32,9 +32,13 @@ judged AS (
   FROM measured),
 hosts AS (SELECT source, count(*) AS n, sum(any_failed::INT)::BIGINT AS f FROM judged WHERE source IS NOT NULL GROUP BY source),
 moments AS (
-  SELECT sum(f)::DOUBLE / sum(n) AS m, sum(f * f / n::DOUBLE) / sum(n) - (sum(f)::DOUBLE / sum(n)) ** 2 AS v FROM hosts),
+  SELECT *, f / n AS m FROM (
+    SELECT sum(n)::DOUBLE AS n, sum(f)::DOUBLE AS f, sum(f * f / n::DOUBLE) AS ff, sum(n::DOUBLE * n) AS nn, count(*)::DOUBLE AS hosts FROM hosts)),
+excess AS (
+  SELECT m, CASE WHEN m * (1 - m) > 0 THEN (ff - n * m * m) / (m * (1 - m)) - (hosts - 1) END AS e, n - nn / n - (hosts - 1) AS room
+  FROM moments),
 prior AS (
-  SELECT m, CASE WHEN v <= 0 THEN 1000.0 ELSE greatest(1.0, least(1000.0, m * (1 - m) / v - 1)) END AS k FROM moments),
+  SELECT m, CASE WHEN e > 0 AND room > 0 THEN greatest(1.0, least(1000.0, room / e - 1)) ELSE 1000.0 END AS k FROM excess),
 verdicts AS (SELECT source, (f + m * k) / (n + k) <= 0.5 AS host_ok FROM hosts, prior)
 """
 
