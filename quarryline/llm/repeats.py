@@ -35,6 +35,9 @@ _BASE = 0x9E3779B97F4A7C15
 _ROWS = "text binary, first int, last int, bin long, segment long, n long"
 
 
+_SPANS = "array<struct<start:long,end:long>>"
+
+
 def _gram(length: int) -> int:
     """Bytes of a minimizer."""
     return max(1, length * 2 // 25)
@@ -314,15 +317,18 @@ def _removed(length: int):
                     kept.append(text[at:first])
                     at = last + 1
                 rest = b"".join(kept) + text[at:]
-                rows.append((name, len(text) - len(rest), len(spans), hashlib.sha256(rest).hexdigest()))
-            yield _batch(rows, ["text", "n_removed", "n_spans", "rest_sha256"], [pa.binary(), pa.int64(), pa.int64(), pa.string()])
+                out = [{"start": first, "end": last + 1} for first, last in spans]
+                rows.append((name, len(text) - len(rest), out, hashlib.sha256(rest).hexdigest()))
+            listed = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+            yield _batch(rows, ["text", "n_removed", "spans", "rest_sha256"], [pa.binary(), pa.int64(), listed, pa.string()])
 
     return run
 
 
 def remove_repeats(documents: DataFrame, length: int = LENGTH, wide_bin: int = WIDE_BIN) -> DataFrame:
     """One row per row of ``documents`` (columns ``doc_id`` and ``text``; others are ignored): ``doc_id, n_bytes,
-    n_removed, n_spans, kept_sha256``.
+    n_removed, n_spans, kept_sha256, spans``, the last being the bytes that go as an array of ``start, end`` (end exclusive), in
+    order and apart from each other; the text without them is what is left.
 
     A byte goes when a string of ``length`` bytes that covers it starts anywhere else in the input, in the same text or
     another; copies of a text are other texts, so repeated rows lose all their strings. Null texts are empty; texts shorter
@@ -376,13 +382,14 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH, wide_bin: int = W
         sure.union(whole).union(single).distinct().groupBy("text").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     )
     changed = packed.join(ranges, "text").select("text", "packed", "ranges").mapInArrow(
-        _removed(length), "text binary, n_removed long, n_spans long, rest_sha256 string"
+        _removed(length), f"text binary, n_removed long, spans {_SPANS}, rest_sha256 string"
     )
     named = documents.select("doc_id", "text").mapInArrow(_named, "doc_id long, n_bytes long, text binary, whole_sha256 string")
     return named.join(changed, "text", "left").select(
         "doc_id",
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
+        F.coalesce(F.size("spans"), F.lit(0)).cast("long").alias("n_spans"),
         F.coalesce("rest_sha256", "whole_sha256").alias("kept_sha256"),
+        F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"),
     )
