@@ -140,6 +140,39 @@ def test_host_verdicts_shrink_and_reach_documents(spark):
     assert rules.quality_rules(docs.limit(0)).count() == 0 and rules.keep_good(docs.limit(0)).count() == 0
 
 
+def hosts_of(spark, sizes):
+    """Documents of hosts, of which so many fail, and the hosts' verdicts."""
+    good = " ".join(f"w{i}" for i in range(80))
+    rows = [(h, i, "# # #" if i < failed else good) for h, (n, failed) in sizes.items() for i in range(n)]
+    docs = spark.createDataFrame([(k, t, h) for k, (h, _, t) in enumerate(rows)], "doc_id long, text string, source string")
+    verdicts = rules.host_verdicts(rules.measure(docs, "doc_id", "source"), "source").collect()
+    return docs, {r.host: (r.host_ok, r.rate) for r in verdicts}
+
+
+def test_one_failure_of_a_small_host_is_no_verdict(spark):
+    docs, found = hosts_of(spark, {f"h{i}": (1, int(i < 5)) for i in range(25)})
+    assert all(ok and rate == pytest.approx(0.2, abs=0.002) for ok, rate in found.values())
+    assert sum(r.kept for r in rules.quality_rules(docs).collect()) == 20  # what fails goes, its host does not
+
+
+def test_hosts_of_many_sizes_are_turned_down_by_their_own_weight(spark):
+    rnd = random.Random(9)
+    sizes = {f"clean{i}": (n, sum(rnd.random() < 0.05 for _ in range(n))) for i, n in enumerate([1, 2, 3, 5, 8, 13, 40, 90] * 3)}
+    sizes |= {"bad1": (1, 1), "bad2": (2, 2), "bad9": (9, 9), "bad60": (60, 57), "bad120": (120, 90), "half": (80, 30)}
+    docs, found = hosts_of(spark, sizes)
+    n, f, k = sum(a for a, _ in sizes.values()), sum(b for _, b in sizes.values()), len(sizes)
+    m, nn = f / n, sum(a * a for a, _ in sizes.values())
+    excess = sum(a * (b / a - m) ** 2 for a, b in sizes.values()) / (m * (1 - m)) - (k - 1)
+    strength = max(1, min(1000, (n - nn / n - (k - 1)) / excess - 1))
+    for host, (a, b) in sizes.items():
+        rate = (b + m * strength) / (a + strength)
+        assert found[host][1] == pytest.approx(rate) and found[host][0] == (rate <= 0.5)
+    assert {h for h, (ok, _) in found.items() if not ok and sizes[h][0] > 3} == {"bad9", "bad60", "bad120"}
+    assert found["bad1"][1] < found["bad2"][1] < found["bad9"][1]
+    kept = {r.doc_id for r in rules.quality_rules(docs).collect() if r.kept}
+    assert not any(d.doc_id in kept for d in docs.collect() if not found[d.source][0])  # a turned down host takes all its documents
+
+
 def test_rules_are_native(spark, texts):
     plan = rules.measure(table(spark, texts), "doc_id")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -237,6 +270,49 @@ def test_redaction_masks_values_and_counts_again(spark):
     assert rows[2].text is None and rows[3].text == "clean" and rows[3].n_chars == 5
 
 
+@pytest.mark.parametrize(
+    "text, secret",
+    [
+        ('db_pwd = Secret("hunter2hunter2")', ["hunter2hunter2"]),
+        ('{"db_pwd":\n "hunter2hunter2"}', ["hunter2hunter2"]),
+        ("password: |\n  hunter2hunter2\nuser: bob7bob7", ["hunter2hunter2"]),
+        ('db_pwd = "correct horse battery 9"', ["correct horse battery 9"]),
+        ('db_pwd = os.getenv("X9X9X9X9", "s3cr3tpass9")', ["s3cr3tpass9"]),
+        ('x = 1\ndb_pwd = (\n  "abc123"\n  "def45678"\n)\n', ["abc123", "def45678"]),
+        ('connect(host="h0sth0st1", db_pwd="hunter2hunter2", port=3)', ["hunter2hunter2"]),
+        ('db_pwd = \"\"\"\nhunter2hunter2\n\"\"\"', ["hunter2hunter2"]),
+        ("db_pwd = \\\n   'hunter2hunter2'", ["hunter2hunter2"]),
+        ('note (see\n\ndb_pwd = "hunter2hunter2"', ["hunter2hunter2"]),
+        ('passwords = ["hunter2aa", "hunter3bb"]', ["hunter2aa", "hunter3bb"]),
+        ("tls:\n  private_key: >-\n    MIIEvQIBADANBgkq1\n    hkiG9w0BAQEFAASC2\n  port: a1b2c3d4", ["MIIEvQIBADANBgkq1", "hkiG9w0BAQEFAASC2"]),
+        ('a = {"db_pwd": f(g("hunter2hunter2")), "user": "b0bb0bb0b"}', ["hunter2hunter2"]),
+        ('db_pwd = env["X9X9X9X9"]\nuser = "b0bb0bb0b"', []),
+        ('db_pwd = "it must be at least 8"', []),
+        ("db_pwd: must be at least 8 characters", []),
+        ("db_pwd:\n\nhunter2hunter2", []),
+        ('db_pwd = read(path="/etc/f1le/f2le")', []),
+        ("((( [[[ db_pwd = 'hunter2hunter2' ))) }}} ]]]", ["hunter2hunter2"]),
+    ],
+)
+def test_whole_texts_are_lexed(text, secret):
+    found = secrets.scan(text)
+    assert [text[a:b] for a, kind, b, _ in found if kind == "literal"] == secret
+    masked = secrets.redact(text, found)
+    assert not any(s in masked for s in secret)
+
+
+def test_secrets_of_odd_tables(spark):
+    long = "the key: ((( word = " * 20_000 + '\n\ndb_pwd = Secret("hunter2hunter2")'
+    docs = table(spark, [long, "db_pwd = 'hunter2hunter2'", "db_pwd = 'hunter2hunter2'", None, ""], [1, 2, 2, None, None])
+    rows = sorted((r.doc_id or -1, r.spans) for r in secrets.secret_scan(docs).collect())
+    start = len(long) - len('hunter2hunter2")')
+    assert rows == [(-1, ""), (-1, ""), (1, f"literal:{start}:{start + 14}"), (2, "literal:10:24"), (2, "literal:10:24")]
+    masked = secrets.redact_secrets(docs)
+    assert masked.columns == docs.columns
+    assert sorted((r.doc_id or -1, (r.text or "")[-20:]) for r in masked.collect())[-2:] == [(2, "db_pwd = '[SECRET]'")] * 2
+    assert secrets.secret_scan(docs.limit(0)).count() == 0 and secrets.redact_secrets(docs.limit(0)).count() == 0
+
+
 # ---- tokenizers ------------------------------------------------------------------------------------------------------
 
 
@@ -307,6 +383,7 @@ def test_repeats_equal_brute_force(spark, texts, wide):
         kept = bytes(b for b, g in zip(t, gone) if not g)
         r = rows[k]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest())
+        assert [i for s in r.spans for i in range(s.start, s.end)] == [i for i, g in enumerate(gone) if g] and len(r.spans) == spans
 
 
 def test_repeats_of_nothing(spark, texts):
