@@ -82,14 +82,14 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.2
     return float(np.clip(ratio.min(initial=0.98), 0.005, 0.98))
 
 
-def _sample(labels: DataFrame, label: str, trains: Column, positives: int, unlabelled: int) -> DataFrame:
-    """``doc_id, is_positive``, bounded: the ids whose hashes come first."""
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & trains).groupBy("doc_id").agg(F.max(label).alias("label"))
-    )
+def _sample(documents: DataFrame, labels: DataFrame, label: str, trains: Column, positives: int, unlabelled: int) -> DataFrame:
+    """``doc_id, is_positive``, bounded: the ids whose hashes come first, positives among those with labels and unlabelled
+    among all documents of the fold, labelled or not."""
+    trained = F.col("doc_id").isNotNull() & trains
+    known = labels.where(trained).groupBy("doc_id").agg(F.max(label).alias("label"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     first = known.where("label = 1").orderBy(*order).limit(positives).select("doc_id", F.lit(1).alias("is_positive"))
-    rest = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled)
+    rest = documents.where(trained).select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(unlabelled)
     return first.union(rest.select("doc_id", F.lit(0).alias("is_positive")))
 
 
@@ -111,10 +111,10 @@ def learn_and_score(
 
     ``describe`` gives raw features of texts, ``prepare`` looks at those of the sample and gives a function from raw
     features to rows of a matrix. ``held_out`` is over ``doc_id``. The classifier is fitted on at most ``positives`` and
-    ``unlabelled`` labelled rows of the other fold; the prior is read from all documents.
+    ``unlabelled`` rows of the other fold; the prior is read from all documents.
     """
     docs = documents.select("doc_id", "text")
-    sample = F.broadcast(_sample(labels, label, ~F.coalesce(held_out, F.lit(False)), positives, unlabelled))
+    sample = F.broadcast(_sample(docs, labels, label, ~F.coalesce(held_out, F.lit(False)), positives, unlabelled))
 
     def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

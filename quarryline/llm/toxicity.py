@@ -1,8 +1,8 @@
 """A toxicity classifier from confirmed toxic texts and unlabelled ones.
 
-A text is described by the runs of five bytes inside its words (a blank may stand at either end), each hashed to a
-bucket. Buckets that are more frequent among positives than among the unlabelled become features: whether the text has
-them, whatever its length.
+A text is described by its words without the marks around them and by the runs of five bytes inside its words (a blank may
+stand at either end), each hashed to a bucket of its own kind. Buckets that are more frequent among positives than among
+the unlabelled become features: whether the text has them, whatever its length.
 """
 
 from __future__ import annotations
@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.llm.pu import POSITIVES, UNLABELLED, learn_and_score
-from quarryline.llm.words import mix, slices
+from quarryline.llm.words import mix, slices, word_hashes
 
 WIDTH, BITS = 5, 20
 #: Features at most; how many times as frequent they must be among positives, and by how many standard errors.
-FEATURES, LIFT, ERRORS = 1500, 2.0, 6.0
+FEATURES, LIFT, ERRORS = 3000, 2.0, 5.0
+_MARKS = str.maketrans({c: " " for c in ".,;:!?\"'()"})
 
 
 def grams(texts: list[str]) -> list[np.ndarray]:
@@ -47,13 +48,24 @@ def grams(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def words(texts: list[str]) -> list[np.ndarray]:
+    """The buckets of each text's words, distinct and in order; marks that end words or sentences are blanks."""
+    normals = [" ".join(t.lower().translate(_MARKS).split()).encode() for t in texts]
+    out = []
+    for start, end in slices(normals):
+        hashes, offsets = word_hashes(normals[start:end])
+        buckets = (hashes >> np.uint64(64 - BITS)).astype(np.int32)
+        out += [np.unique(buckets[a:b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+    return out
+
+
 def _describe(texts: list[str]) -> list[np.ndarray]:
-    return grams(texts)
+    return [np.concatenate((g, w + np.int32(1 << BITS))) for g, w in zip(grams(texts), words(texts))]
 
 
 def _prepare(positive: list[np.ndarray], unlabelled: list[np.ndarray]):
     counts = [
-        np.bincount(np.concatenate([*rows, np.empty(0)]).astype(np.int64), minlength=1 << BITS) for rows in (positive, unlabelled)
+        np.bincount(np.concatenate([*rows, np.empty(0)]).astype(np.int64), minlength=2 << BITS) for rows in (positive, unlabelled)
     ]
     p, u = counts[0] / len(positive), counts[1] / len(unlabelled)
     usual = np.maximum(u, 0.5 / len(unlabelled))
@@ -61,7 +73,7 @@ def _prepare(positive: list[np.ndarray], unlabelled: list[np.ndarray]):
     gain[(p < LIFT * usual) | (gain < ERRORS)] = 0
     chosen = np.argsort(-gain, kind="stable")[:FEATURES]
     chosen = chosen[gain[chosen] > 0]
-    column = np.full(1 << BITS, -1, np.int32)
+    column = np.full(2 << BITS, -1, np.int32)
     column[chosen] = np.arange(len(chosen))
 
     def matrix(rows: list[np.ndarray]) -> np.ndarray:

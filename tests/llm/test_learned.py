@@ -35,12 +35,12 @@ def _judged(spark, operator, label):
 
 def test_quality_on_held_out_labels(spark):
     recall, false = _judged(spark, quality.quality_scores, "quality")
-    assert recall > 0.95 and false < 0.15
+    assert recall > 0.95 and false < 0.1
 
 
 def test_toxicity_on_held_out_labels(spark):
     recall, false = _judged(spark, toxicity.toxicity_scores, "toxic")
-    assert recall > 0.85 and false < 0.12
+    assert recall > 0.9 and false < 0.03
 
 
 @pytest.mark.parametrize("operator, label", [(quality.quality_scores, "quality"), (toxicity.toxicity_scores, "toxic")])
