@@ -256,17 +256,16 @@ def _payload() -> Column:
         ),
     )
     body = F.to_json(F.struct(F.array(F.lit(" line "), F.lit("text")).alias("columns"), rows.alias("rows")))
-    fenced = F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nAnything else?"))
-    return (
-        F.when(F.col("doc_id") % 10 == 3, F.lit("I could not find a table."))
-        .when(F.col("doc_id") % 10 == 7, F.lit('{"columns": [], "rows": []}'))
-        .otherwise(fenced)
-        .alias("payload")
-    )
+    return F.concat(F.lit("Here it is:\n```json\n"), body, F.lit("\n```\nAnything else?")).alias("payload")
 
 
 def _unnest_json(spark, sf):
-    payloads = table(spark, sf, "documents").select("doc_id", _payload())
+    documents = table(spark, sf, "documents")
+    broken = F.when(F.col("doc_id") % 10 == 3, F.lit("I could not find a table.")).when(
+        F.col("doc_id") % 10 == 7, F.lit('{"columns": [], "rows": []}')
+    )
+    without = documents.select((-1 - F.col("doc_id")).alias("doc_id"), broken.alias("payload")).filter("payload IS NOT NULL")
+    payloads = documents.select("doc_id", _payload()).unionByName(without)
     rows = unnest_json_tables(payloads, "payload", ["doc_id"])
     named = to_rectangular(rows, ["line", "text"], keep=("doc_id", "status", "row_no"))
     return named.select(
@@ -278,9 +277,9 @@ def _unnest_json(spark, sf):
 _UNNEST_SQL = """
 SELECT doc_id, 'ok' AS status, CAST(i - 1 AS INTEGER) AS row_no, CAST(i - 1 AS VARCHAR) AS line,
        replace(replace(string_split(text, chr(10))[i], '```json', ''), '```', '') AS text
-FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i) WHERE doc_id % 10 NOT IN (3, 7)
+FROM documents, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS u(i)
 UNION ALL
-SELECT doc_id, CASE doc_id % 10 WHEN 3 THEN 'not json' ELSE 'no tabular data' END, -1, '-', '-'
+SELECT -1 - doc_id, CASE doc_id % 10 WHEN 3 THEN 'not json' ELSE 'no tabular data' END, -1, '-', '-'
 FROM documents WHERE doc_id % 10 IN (3, 7)"""
 
 _FIELDS = [
