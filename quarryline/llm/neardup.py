@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from quarryline.llm.components import components
-from quarryline.llm.words import mix, normal, shingle_set, shingles, slices
+from quarryline.llm.words import mix, normal, pieces, shingle_set, shingles, slices
 from quarryline.session import workspace
 
 #: Slots of a signature, and how many of them make a band: two texts of similarity 0.75 share no band five times in a
@@ -171,7 +171,7 @@ def _shared_bands(classes: DataFrame) -> DataFrame:
 
 def _class_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The words of the rows that belong to the class asked for; a repeated doc_id may bring other texts."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole, whole.schema.get_field_index("text"))):
         ids, words = [], []
         for text, id_, digest in zip(
             batch.column("text").cast(pa.binary()).to_pylist(), batch.column("id").to_pylist(), batch.column("digest").to_pylist()
@@ -209,7 +209,9 @@ def _by_differences(stars: DataFrame, found: DataFrame) -> DataFrame:
     label = found.select(F.col("node").alias("b"), "root")
     around = stars.join(label, "b", "left").withColumn("root", F.coalesce("root", "b"))
     open_hubs = around.groupBy("a").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.bool_and("similar").alias("all")).where("low < high AND NOT all")
-    around = around.join(open_hubs.select("a"), "a", "left_semi")
+    # pairs without their differences meet their hub's verdict; differences are dealt by pair, then by hub and difference
+    open_pairs = around.select("a", "b").join(open_hubs.select("a"), "a", "left_semi")
+    around = around.join(open_pairs, ["a", "b"], "left_semi")
     each = around.select("a", "b", "root", "similar", "size_a", "weight", F.explode("differences").alias("e"))
     seen = each.groupBy("a", "e").agg(F.count("*").alias("k")).where("k > 1")  # what stands once is shared by none
     order = Window.partitionBy("a", "b").orderBy("k", "e")
@@ -236,7 +238,7 @@ def _by_differences(stars: DataFrame, found: DataFrame) -> DataFrame:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with the digest of their words, or with the text itself where it has none."""
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole, 2)):
         texts = batch.column(2).cast(pa.binary()).to_pylist()
         words = [normal(t) for t in texts]
         yield pa.RecordBatch.from_arrays(

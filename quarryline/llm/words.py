@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 WIDTH = 5
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2^64
@@ -43,6 +45,15 @@ def slices(texts: list[bytes], size: int = _SLICE) -> Iterator[tuple[int, int]]:
         yield start, len(texts)
 
 
+def pieces(batch: pa.RecordBatch, column: int, size: int = _SLICE) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about ``size`` bytes of one text column, one row at least; an empty batch as it is."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(lengths, dtype=np.int64) // size
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(lengths)]
+    for a, b in zip(cuts, cuts[1:]):
+        yield batch.slice(a, b - a)
+
+
 def _table(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, kept for the next slice."""
     if not _powers or len(_powers[0]) < n:
