@@ -20,8 +20,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-#: Bytes of text in a block, a row at least; bytes of distinct words worked on at a time.
-BLOCK_BYTES, WORK_BYTES = 16 << 20, 6 << 20
+#: Bytes of text in a block, a row at least; bytes of distinct words worked on at a time, and words that blocks have asked for
+#: by then, each of them four bytes.
+BLOCK_BYTES, WORK_BYTES, ASKED = 8 << 20, 4 << 20, 4 << 20
 _SCHEMA = "block binary, bucket int, payload binary"
 
 
@@ -94,10 +95,10 @@ class _Block:
         sequences = []
         for text in texts:
             digest.update(struct.pack("<q", len(text)) + text)
-            sequences.append(np.array([numbers.setdefault(w, len(numbers)) for w in words_of(text.decode("utf-8", "replace"))], np.int64))
+            sequences.append(np.array([numbers.setdefault(w, len(numbers)) for w in words_of(text.decode("utf-8", "replace"))], np.int32))
         self.name = digest.digest()
-        counts = np.bincount(np.concatenate([*sequences, np.empty(0, np.int64)]), minlength=len(numbers))
-        rank = np.empty(len(numbers), np.int64)
+        counts = np.bincount(np.concatenate([*sequences, np.empty(0, np.int32)]), minlength=len(numbers))
+        rank = np.empty(len(numbers), np.int32)
         rank[np.argsort(-counts, kind="stable")] = np.arange(len(numbers))
         self.sequences = [rank[s] for s in sequences]
         by_bucket: list[list[tuple[bytes, int]]] = [[] for _ in range(buckets)]
@@ -134,26 +135,26 @@ def _rows(rows: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def _answers(batches: Iterator[pa.RecordBatch], solve, pack_answers) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[bytes, int, list[bytes]]] = []
+def _answers(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[bytes, int, np.ndarray]] = []
     distinct: dict[bytes, int] = {}
-    size = 0
+    size = asked = 0
 
     def flush():
-        answers = solve(list(distinct))
-        return [_rows([(block, bucket, pack_answers([answers[distinct[w]] for w in words]))]) for block, bucket, words in held]
+        take = solve(list(distinct))
+        return [_rows([(block, bucket, take(numbers))]) for block, bucket, numbers in held]
 
     for batch in batches:
         for block, bucket, payload in zip(*(column.to_pylist() for column in batch.columns)):
             words = unpack_words(payload)
-            held.append((block, bucket, words))
-            for word in words:
-                if word not in distinct:
-                    distinct[word] = len(distinct)
-                    size += len(word)
-            if size > WORK_BYTES:
+            before = len(distinct)
+            numbers = np.array([distinct.setdefault(word, len(distinct)) for word in words], np.int32)
+            size += sum(len(words[i]) for i in np.flatnonzero(numbers >= before).tolist())
+            asked += len(words)
+            held.append((block, bucket, numbers))
+            if size > WORK_BYTES or asked > ASKED:
                 yield from flush()
-                held, distinct, size = [], {}, 0
+                held, distinct, size, asked = [], {}, 0, 0
     if held:
         yield from flush()
 
@@ -196,8 +197,7 @@ def _assembled(batches: Iterator[pa.RecordBatch], unpack_answers, assemble) -> I
 def per_distinct_word(
     documents: DataFrame,
     words_of: Callable[[str], list[str]],
-    solve: Callable[[list[bytes]], list],
-    pack_answers: Callable[[list], bytes],
+    solve: Callable[[list[bytes]], Callable[[np.ndarray], bytes]],
     unpack_answers: Callable[[bytes], list],
     assemble: Callable[[list, list[int], list, list], pa.RecordBatch],
     schema: str,
@@ -207,8 +207,9 @@ def per_distinct_word(
     """Rows of ``schema`` that ``assemble`` makes of each block's ids, text sizes in bytes, words as numbers and answers.
 
     Documents come to ``assemble`` as their words in order or, with ``frequencies``, as pairs of distinct words and how
-    often each stands there. ``words_of`` cuts a text, ``solve`` answers distinct words, and the packers carry answers in bytes. There are as many
-    buckets as ``spark.sql.shuffle.partitions``; a task works on at most WORK_BYTES of distinct words at a time.
+    often each stands there. ``words_of`` cuts a text, and ``solve`` answers distinct words: it gives back what packs the answers of
+    the words of some numbers, their places in its list, into bytes. There are as many buckets as
+    ``spark.sql.shuffle.partitions``; a task holds at most WORK_BYTES of distinct words and ASKED numbers at a time.
     """
     spark = documents.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -239,7 +240,7 @@ def per_distinct_word(
             yield _rows([(block.name, -1, payload)])
 
     answers = docs.mapInArrow(ask, _SCHEMA).repartition(buckets, "bucket").mapInArrow(
-        lambda batches: _answers(batches, solve, pack_answers), _SCHEMA
+        lambda batches: _answers(batches, solve), _SCHEMA
     )
     return (
         docs.mapInArrow(keep, _SCHEMA)

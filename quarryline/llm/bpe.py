@@ -11,7 +11,7 @@ import base64
 import hashlib
 import heapq
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from quarryline.llm.blocks import pack, per_distinct_word, unpack, unvarints, varints
 
 _NONE = np.iinfo(np.int32).max
+_PIECE = 1 << 19  # bytes of words whose pairs are first looked up at a time
 # Letters, numbers and white space below U+0100, where the common pattern is matched by the faster engine.
 _LETTERS, _NUMBERS, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 
@@ -80,11 +81,11 @@ class Merges:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return [self.ranks[p] for p in parts]
 
-    def replay(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word (none of them empty). A word that is a token itself is that token."""
+    def replay(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (none of them empty) one behind the other, and how many each has. A word that is a token itself
+        is that token."""
         if not words:
-            return []
-        whole = {i: self.ranks[w] for i, w in enumerate(words) if w in self.ranks}
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         sizes = np.array([len(w) for w in words], np.int64)
         starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         token = self._bytes[np.frombuffer(b"".join(words), np.uint8)]
@@ -95,8 +96,9 @@ class Merges:
         before = np.arange(-1, n - 1, dtype=np.int32)
         before[starts] = -1
         rank = np.full(n, _NONE, np.int32)
-        inside = np.flatnonzero(after >= 0)
-        rank[inside] = self.pair_ranks(token[inside], token[inside + 1])
+        for low in range(0, n, _PIECE):
+            inside = np.flatnonzero(after[low : low + _PIECE] >= 0) + low
+            rank[inside] = self.pair_ranks(token[inside], token[inside + 1])
         index: dict[int, list[np.ndarray]] = {}
         queue: list[int] = []
 
@@ -115,7 +117,8 @@ class Merges:
                     heapq.heappush(queue, r)
                 index[r].append(part)
 
-        note(inside)
+        for low in range(0, n, _PIECE):
+            note(np.arange(low, min(n, low + _PIECE), dtype=np.int32))
         odd = []  # words in which a merge gave a pair of lower rank: their equal pairs may not be merged at once
         while queue:
             r = heapq.heappop(queue)
@@ -144,18 +147,37 @@ class Merges:
                 odd.append(touched[rank[touched] < r])
             note(np.unique(touched))
         left_over = token >= 0
-        ids, counts = token[left_over], np.add.reduceat(left_over.astype(np.int64), starts)
-        out = np.split(ids, np.cumsum(counts)[:-1])
+        ids, counts = token[left_over], np.add.reduceat(left_over.astype(np.int8), starts, dtype=np.int64)
+        begins = np.cumsum(counts) - counts
+        other = {i: [self.ranks[words[i]]] for i in np.flatnonzero(counts > 1).tolist() if words[i] in self.ranks}
         for place in np.unique(np.concatenate(odd)).tolist() if odd else []:
             at = int(np.searchsorted(starts, place, "right")) - 1
-            out[at] = np.array(self.one(words[at]), np.int32)
-        for at, only in whole.items():
-            out[at] = np.array([only], np.int32)
-        return out
+            if at not in other and words[at] not in self.ranks:
+                other[at] = self.one(words[at])
+        if other:  # put in place of what the merges gave
+            parts, done = [], 0
+            for at in sorted(other):
+                parts += [ids[done : begins[at]], np.array(other[at], np.int32)]
+                done = begins[at] + counts[at]
+                counts[at] = len(other[at])
+            ids = np.concatenate([*parts, ids[done:]])
+        return ids, counts
 
 
-def _pack_ids(answers: list[np.ndarray]) -> bytes:
-    return pack(varints(np.array([len(a) for a in answers], np.int64)), varints(np.concatenate(answers)))
+def _places(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Where stretches stand that begin at ``begins`` and are ``sizes`` long, place by place."""
+    ahead = np.cumsum(sizes) - sizes
+    return np.arange(sizes.sum()) + np.repeat(begins - ahead, sizes)
+
+
+def _answers_of(ids: np.ndarray, counts: np.ndarray) -> Callable[[np.ndarray], bytes]:
+    """Packs the ids of the words of some numbers."""
+    begins = np.cumsum(counts) - counts
+
+    def take(numbers: np.ndarray) -> bytes:
+        return pack(varints(counts[numbers]), varints(ids[_places(begins[numbers], counts[numbers])]))
+
+    return take
 
 
 def _unpack_ids(payload: bytes) -> list[np.ndarray]:
@@ -204,15 +226,17 @@ def encode(documents: DataFrame, rank_file: str, pattern: str, with_ids: bool =
         ]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
-            columns.append(pa.array([[int(t) for i in s for t in by_number[i]] for s in numbers], pa.list_(pa.int32())))
+            flat, begins = np.concatenate([*by_number, np.empty(0, np.int64)]).astype(np.int32), np.cumsum(lengths) - lengths
+            places = [_places(begins[s], lengths[s]) for s in sequences]
+            ends = np.concatenate(([0], np.cumsum([len(p) for p in places]))).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(ends, flat[np.concatenate([*places, np.empty(0, np.int64)]).astype(np.int64)]))
             names.append("ids")
         return pa.RecordBatch.from_arrays(columns, names)
 
     return per_distinct_word(
         documents,
         splitter,
-        lambda words: merges().replay(words),
-        _pack_ids,
+        lambda words: _answers_of(*merges().replay(words)),
         _unpack_ids,
         assemble,
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""),

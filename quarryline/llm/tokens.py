@@ -71,6 +71,10 @@ def token_counts(documents: DataFrame, model_file: str, limit: int = LIMIT) -> D
         pieces = _Pieces(file.read())
     pieces.check()
 
+    def solve(words):
+        counts = np.array(pieces.count(words), np.int64)
+        return lambda numbers: varints(counts[numbers])
+
     def assemble(ids, sizes, frequencies, by_number):
         counts = np.array(by_number, np.int64)
         totals = [int((counts[numbers] * times).sum()) for numbers, times in frequencies]
@@ -87,8 +91,7 @@ def token_counts(documents: DataFrame, model_file: str, limit: int = LIMIT) -> D
     return per_distinct_word(
         documents,
         pre_tokens,
-        pieces.count,
-        lambda answers: varints(np.array(answers, np.int64)),
+        solve,
         lambda payload: unvarints(payload).tolist(),
         assemble,
         "doc_id long, n_bytes long, n_tokens long, over_limit boolean",

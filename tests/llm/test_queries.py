@@ -52,7 +52,7 @@ def test_pipeline_equals_brute_force(spark):
     assert set(rows) == set(clean)
     for i, text in clean.items():
         ids = library.encode_ordinary(text)
-        assert rows[i].n_tokens == len(ids)
+        assert rows[i].n_tokens == len(ids) and rows[i].ids == ids
         assert rows[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert rows[i].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
 
