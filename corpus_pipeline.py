@@ -15,28 +15,31 @@ from quarryline.session import workspace
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose host passes."""
+    """Documents that pass the base rules and whose host passes. A null or empty text has no words and goes; a row without host
+    is judged by itself; repeated rows are judged each."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: that of the least id. A text without words has no copies; rows without id
+    all stay; of rows that repeat an id and its words one stays."""
     return keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of ``benchmark``."""
+    """Documents that hold no item of ``benchmark``. Empty items are held by none, and null texts hold none."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secret values masked and ``n_chars`` counted again."""
+    """All documents, secret values masked and ``n_chars`` counted again. Null texts stay null; no row is added or lost."""
     return redact_secrets(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The number of tokens and the digests of ids and decoded bytes, per document."""
-    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """The ids of each document, how many they are, and the digests of ids and of the bytes they stand for. Masked texts are what
+    ``decode`` makes of the ids. Nulls, empty texts and repeated rows as in ``encode``."""
+    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
 
 
 STAGES = [
