@@ -107,7 +107,7 @@ class StoredTable:
         return version, T.StructType.fromJson(state["schema"]), state["files"]
 
     def notes(self) -> dict:
-        """What the newest version's maker wrote down beside it; nothing if there is no version."""
+        """What was written down beside the newest version, or the one it was changed from; nothing if there is none."""
         return self._stored()[1].get("notes", {}) if self.versions() else {}
 
     def _rows(self, schema: T.StructType, files: list[str]) -> DataFrame:
@@ -155,7 +155,7 @@ class StoredTable:
             for f in schema.fields
         ]
         written = self._written(rows.select(*placed))
-        self._commit(version + 1, schema, files + written)
+        self._commit(version + 1, schema, files + written, self._stored(version)[1].get("notes"))
         return Change(version + 1, self._rows(schema, written).count(), [], written, len(files))
 
     def change(self, predicate: str | Column, assignments: dict[str, str | Column] | None = None, confirm: bool = False) -> Change:
@@ -176,7 +176,7 @@ class StoredTable:
         changed = delete_rows(touched, predicate) if assignments is None else update_rows(touched, assignments, predicate)
         written = self._written(changed)
         kept = [f for f in files if f not in found]
-        self._commit(version + 1, schema, kept + written)
+        self._commit(version + 1, schema, kept + written, self._stored(version)[1].get("notes"))
         return Change(version + 1, sum(found.values()), sorted(found), written, len(kept))
 
     def delete(self, predicate: str | Column, confirm: bool = False) -> Change:

@@ -92,4 +92,5 @@ def test_a_merge_opens_the_buckets_of_its_keys_only(spark, rows, tmp_path):
     assert len(found) == 401 and {k for k, v in found.items() if v} == {7, 1000}
     change = table.delete("k = 1000", confirm=True)
     assert change.rows == 1 and len(change.replaced) == 1 and table.read().count() == 400
+    assert table.notes() == {"by": "me"}
     assert table.merge(rows([], "k bigint, v int"), newest).replaced == []
