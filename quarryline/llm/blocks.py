@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 
 #: Bytes of text in a block, a row at least; bytes of distinct words worked on at a time, and words that blocks have asked for
 #: by then, each of them four bytes.
-BLOCK_BYTES, WORK_BYTES, ASKED = 8 << 20, 4 << 20, 4 << 20
+BLOCK_BYTES, WORK_BYTES, ASKED = 16 << 20, 4 << 20, 4 << 20
 _SCHEMA = "block binary, bucket int, payload binary"
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quarryline.llm.blocks import pack, per_distinct_word, unpack, unvarints, varints
+from quarryline.llm.blocks import BLOCK_BYTES, pack, per_distinct_word, unpack, unvarints, varints
 
 _NONE = np.iinfo(np.int32).max
 _PIECE = 1 << 19  # bytes of words whose pairs are first looked up at a time
@@ -199,13 +199,16 @@ class _Once:
         return _Once._read[self._name]
 
 
-def encode(documents: DataFrame, rank_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
+def encode(
+    documents: DataFrame, rank_file: str, pattern: str, with_ids: bool = False, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """One row per row of ``documents`` (columns ``doc_id`` and ``text``; others are ignored): ``doc_id, n_tokens,
     ids_sha256, decoded_sha256``, with ``ids`` as an array behind them when asked for.
 
     ``rank_file`` is a file of ranks in the form of the tiktoken library and ``pattern`` cuts words; the driver reads the
     file and the tasks get its bytes. ``ids_sha256`` is of the decimal ids joined by commas, ``decoded_sha256`` of the
-    bytes that the ids stand for. Null and empty texts have no tokens; special strings are plain text; a null ``doc_id``
+    bytes that the ids stand for. Documents are kept in blocks of ``block_bytes``: larger ones send fewer words twice, smaller
+    ones need less memory. Null and empty texts have no tokens; special strings are plain text; a null ``doc_id``
     is carried along, repeated rows are encoded each, and an empty table gives an empty table.
     """
     with open(rank_file, "rb") as file:
@@ -240,6 +243,7 @@ def encode(documents: DataFrame, rank_file: str, pattern: str, with_ids: bool =
         _unpack_ids,
         assemble,
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""),
+        block_bytes=block_bytes,
     )
 
 
