@@ -13,6 +13,9 @@ from quarryline.llm.secrets import redact_secrets
 from quarryline.registry.base import Check, table
 from quarryline.session import workspace
 
+#: Bytes of text in a block of the last stage: half the usual, since the workers of earlier stages hold memory beside it.
+BLOCK_BYTES = 8 << 20
+
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose host passes. A null or empty text has no words and goes; a row without host
@@ -39,7 +42,8 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each document, how many they are, and the digests of ids and of the bytes they stand for. Masked texts are what
     ``decode`` makes of the ids. Nulls, empty texts and repeated rows as in ``encode``."""
-    return encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return encode(docs, ranks, public_tokenizers.PATTERN, with_ids=True, block_bytes=BLOCK_BYTES)
 
 
 STAGES = [
