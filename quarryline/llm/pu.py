@@ -39,8 +39,8 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     stay."""
     prior = np.float32(prior)
     w = np.zeros(positive.shape[1] + 1, np.float32)
-    p = np.hstack([positive, np.ones((len(positive), 1), np.float32)]).astype(np.float32)
-    u = np.hstack([unlabelled, np.ones((len(unlabelled), 1), np.float32)]).astype(np.float32)
+    p = np.hstack([positive, np.ones((len(positive), 1), np.float32)], dtype=np.float32)
+    u = np.hstack([unlabelled, np.ones((len(unlabelled), 1), np.float32)], dtype=np.float32)
     mean, square = np.zeros_like(w), np.zeros_like(w)
     best, least = w, np.inf
     for step in range(1, steps + 1):
@@ -124,12 +124,13 @@ def learn_and_score(
             )
 
     rows = docs.join(sample, "doc_id").select("text", "is_positive").mapInArrow(raw, "is_positive int, raw binary").collect()
-    by_kind = [[np.frombuffer(r.raw, np.float32) for r in rows if r.is_positive == kind] for kind in (0, 1)]
-    others, found = by_kind
+    others, found = [[np.frombuffer(r.raw, np.float32) for r in rows if r.is_positive == kind] for kind in (0, 1)]
+    del rows  # the raw features take as much as the matrices; the driver holds only these from here on
     model, matrix = None, None
     if found and others:
         matrix = prepare(found, others)
         p, u = matrix(found), matrix(others)
+        del found, others
         half = len(p) // 2 or 1
         first = fit(p[:half], u, 0.5, decay=3e-3)  # no prior yet: it only has to rank, and to do so on unseen texts
 

@@ -65,7 +65,7 @@ def _describe(texts: list[str]) -> list[np.ndarray]:
 
 def _prepare(positive: list[np.ndarray], unlabelled: list[np.ndarray]):
     counts = [
-        np.bincount(np.concatenate([*rows, np.empty(0)]).astype(np.int64), minlength=2 << BITS) for rows in (positive, unlabelled)
+        np.bincount(np.concatenate([*rows, np.empty(0, np.float32)]).astype(np.int64), minlength=2 << BITS) for rows in (positive, unlabelled)
     ]
     p, u = counts[0] / len(positive), counts[1] / len(unlabelled)
     usual = np.maximum(u, 0.5 / len(unlabelled))
