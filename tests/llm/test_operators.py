@@ -386,6 +386,15 @@ def test_repeats_equal_brute_force(spark, texts, wide):
         assert [i for s in r.spans for i in range(s.start, s.end)] == [i for i, g in enumerate(gone) if g] and len(r.spans) == spans
 
 
+def test_repeats_give_what_is_left(spark):
+    passage = " ".join(f"w{i}" for i in range(120))  # over 400 bytes, in two documents
+    clean = " ".join(f"c{i}" for i in range(150))
+    docs = [f"head one {passage} x1", f"head two {passage} y2", clean, None]
+    rows = {r.doc_id: r for r in repeats.remove_repeats(table(spark, docs)).collect()}
+    assert [rows[i].text for i in range(4)] == ["head onex1", "head twoy2", clean, ""]
+    assert all(rows[i].kept_sha256 == hashlib.sha256(rows[i].text.encode()).hexdigest() for i in range(4))
+
+
 def test_repeats_of_nothing(spark, texts):
     assert repeats.remove_repeats(table(spark, texts).limit(0)).count() == 0
     rows = repeats.remove_repeats(table(spark, [None, "x" * 500], [None, None])).collect()
